@@ -70,14 +70,13 @@ def next_hashes(hashes: Column, k: int) -> Column:
         steps.append(step)
         width += step
 
-    def join(h: Column, step: int) -> Column:
-        tail = F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0)))
-        return F.zip_with(
-            F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))),
-            tail,
-            lambda a, b: F.xxhash64(a, b),
-        )
+    def join(step: int):
+        def of(h: Column) -> Column:
+            left = F.greatest(F.size(h) - step, F.lit(0))
+            return F.zip_with(F.slice(h, 1, left), F.slice(h, step + 1, left), lambda a, b: F.xxhash64(a, b))
+
+        return of
 
     for step in steps:
-        out = let(out, lambda h, step=step: join(h, step))
+        out = let(out, join(step))
     return out

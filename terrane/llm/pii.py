@@ -248,7 +248,7 @@ def found_spans(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
         return F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
 
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    both = F.array_sort(
+    both = F.sort_array(
         F.concat(
             F.transform("base", lambda s: ordered(s, rank(s))),
             F.transform("terms", lambda s: ordered(s, rank(s))),

@@ -24,6 +24,8 @@ from terrane.llm.common import stage
 from terrane.llm.hashing import Powers, U, odd_constants, mix, text_buffers, word_hashes
 
 SAMPLE = 20_000
+#: Least score of an accepted document.
+ACCEPTED = 0.7
 STATS = (
     "words", "word_bytes", "upper", "digit", "symbol", "exclaim", "stop", "wide", "pipe",
     "lines", "line_words", "distinct", "top", "pairs", "fives", "dup_lines",
@@ -103,7 +105,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             )
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(
         run, kinds + ", " + ", ".join(f"{k} double" for k in STATS)
     )
 
@@ -224,9 +226,8 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
-    """The columns `keep` with held_out, score and predicted for each row of docs."""
-    stats = stage(statistics(docs, keep), "quality-stats")
+def trained(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
+    """The ensemble learned from the labelled rows of stats that aren't held out."""
     known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter(
         "doc_id is not null and y in (0, 1)"
     )
@@ -237,7 +238,19 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
         .limit(sample)
         .toPandas()
     )
-    model = fitted(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
-    return stats.select(*keep, held_out().alias("held_out"), model.score().alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.7).cast("int")
+    return fitted(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of docs."""
+    stats = stage(statistics(docs), "quality-stats")
+    model = trained(stats, labels, sample)
+    return stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score")).withColumn(
+        "predicted", (F.col("score") >= ACCEPTED).cast("int")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that the classifier accepts; texts are never shuffled."""
+    model = trained(stage(statistics(docs), "quality-stats"), labels, sample)
+    return statistics(docs, tuple(docs.columns)).filter(model.score() >= ACCEPTED).select(*docs.columns)

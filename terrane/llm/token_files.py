@@ -33,7 +33,7 @@ from terrane.llm.bpe import tokenizer_path, transducer
 from terrane.llm.common import stage
 
 MAGIC = b"TRNC"
-HEAD = struct.Struct("<4sHIIQIII")
+HEAD = "<4sHIIQIII"
 #: Ids of a block, and of a segment at which it is closed.
 BLOCK = 4096
 SEGMENT = 4 << 20
@@ -226,7 +226,7 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int =
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     table = zlib.compress(nulls.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + lens.tobytes())
     named = zlib.compress(names.astype("<u4").tobytes())
-    head = HEAD.pack(MAGIC, 1, block, len(ids), len(flat), blocks, len(table), len(named)) + table + named
+    head = struct.pack(HEAD, MAGIC, 1, block, len(ids), len(flat), blocks, len(table), len(named)) + table + named
     raw = flat.astype("<u4")
     marks = [
         struct.pack("<III", len(w), len(part), zlib.crc32(part.tobytes()))
@@ -238,12 +238,13 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int =
 
 def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, ids per document and all ids; a damaged block raises DamagedBlock."""
-    magic, version, block, docs, n, blocks, t, m = HEAD.unpack_from(data)
-    at = HEAD.size + t + m
+    magic, version, block, docs, n, blocks, t, m = struct.unpack_from(HEAD, data)
+    size = struct.calcsize(HEAD)
+    at = size + t + m
     if magic != MAGIC or version != 1 or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise DamagedBlock("the segment's head is damaged")
-    table = zlib.decompress(data[HEAD.size : HEAD.size + t])
-    names = np.frombuffer(zlib.decompress(data[HEAD.size + t : at]), "<u4")
+    table = zlib.decompress(data[size : size + t])
+    names = np.frombuffer(zlib.decompress(data[size + t : at]), "<u4")
     nulls = np.frombuffer(table, np.uint8, docs)
     doc_ids = np.frombuffer(table, "<i8", docs, docs)
     lens = np.frombuffer(table, "<u4", docs, docs * 9)
