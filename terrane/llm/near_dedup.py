@@ -7,8 +7,9 @@
    estimates how many samples differ, most exactly where the sets are similar.
 2. Equal sets are one class (they are linked at similarity 1); only the class's
    least document goes on.
-3. Round one links each member of a bucket with the leader whose sketch is
-   nearest, if the whole shingle sets confirm it, and takes components.
+3. Round one links each member of buckets with two of their leaders, the least
+   and the one whose sketch is nearest, if the whole shingle sets confirm it, and
+   takes components.
 4. Round two compares, in each bucket that still spans components, all members
    of different components, block by block of bounded size, by sketches; what
    the sketch can't rule out is confirmed on whole sets. So no link between
@@ -39,7 +40,7 @@ from terrane.llm.hashing import Powers, U, mix, odd_constants, row_shingles
 #: Bits of an odd sketch, in longs of 64, and members of a block in round two.
 SKETCH_BITS = 512
 LONGS = SKETCH_BITS // 64
-BLOCK = 256
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,8 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
         )
 
     starred = with_sides(buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    first = stage(starred.groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b"), "near-first")
+    hubs = F.array_distinct(F.array(F.min_by("a", F.struct("odd", "a")), F.min("a")))
+    first = stage(starred.groupBy("b").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("a"), "b"), "near-first")
     linked = stage(confirmed(first, docs, plan), "near-links")
     found = stage(components(linked, "near-stars"), "near-found")
 
