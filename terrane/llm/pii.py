@@ -51,7 +51,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 class Disclosure:
     support: int = 3
     posterior: float = 0.8
-    bits: float = 3.0
+    bits: float = 2.0
     #: From here on a term is removed rather than generalised.
     certain: float = 0.95
 
@@ -151,6 +151,40 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def least_counts(docs: DataFrame, cells: list[int]) -> DataFrame:
+    """(term, least): so many different texts hold a marked word at the least.
+
+    Each partition counts its own different texts, one row for each word it
+    holds; the greatest of these counts is a lower bound for the corpus.
+    """
+    marked = frozenset(cells)
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: dict[str, bool] = {}
+        texts: set[int] = set()
+        counts: dict[str, int] = {}
+        for batch in batches:
+            for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key in texts:
+                    continue
+                texts.add(key)
+                for word in set(_TERM.findall(text.as_py().lower())):
+                    hit = seen.get(word)
+                    if hit is None:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        hit = seen[word] = zlib.crc32(word.encode()) % CELLS in marked
+                    if hit:
+                        counts[word] = counts.get(word, 0) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"]
+        )
+
+    return keyed(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.max("n").alias("least"))
+
+
 def occurrences(docs: DataFrame, cells: list[int]) -> DataFrame:
     """text_key, term, start, end of the words whose cell is marked."""
     marked = frozenset(cells)
@@ -180,6 +214,12 @@ def occurrences(docs: DataFrame, cells: list[int]) -> DataFrame:
     return keyed(docs).mapInArrow(run, "text_key long, term string, start long, end long")
 
 
+def marked_cells(terms: DataFrame) -> list[int]:
+    """The cells of the bitmap that terms fall in: CELLS numbers at most."""
+    mark = F.udf(cell, "int")
+    return [r[0] for r in terms.select("term").distinct().select(mark("term").alias("c")).distinct().collect()]
+
+
 def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataFrame, DataFrame] | None:
     """(terms with posterior and bits, occurrences), or None where nothing is near anything."""
     mentions = base.filter(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*").distinct()
@@ -192,13 +232,17 @@ def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataF
         .select("entity", "term"),
         "pii-pairs",
     )
-    mark = F.udf(cell, "int")
-    cells = [r[0] for r in pairs.select("term").distinct().select(mark("term").alias("c")).distinct().collect()]
-    if not cells:
+    together = mentions.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "text_key").distinct()
+    together = stage(together.groupBy("entity", "term").agg(F.count("*").alias("both")), "pii-together")
+    if not (cells := marked_cells(together)):
+        return None
+    # Words too common to reach the posterior go before any of their places are listed.
+    possible = together.join(least_counts(docs, cells), "term", "left")
+    possible = possible.filter(F.col("both") >= rule.posterior * F.coalesce("least", F.lit(0)))
+    together = stage(possible.select("entity", "term", "both"), "pii-possible")
+    if not (cells := marked_cells(together)):
         return None
     seen = stage(occurrences(docs, cells), "pii-words")
-    together = mentions.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "text_key").distinct()
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("both"))
     with_term = seen.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
     with_entity = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     total = base.select("text_key").distinct().count()
