@@ -94,18 +94,20 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     need = text.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("need"))
     links = stage(neighbours(text.select("doc_id")).join(need, "doc_id"), "fingerprint-links")
     giver = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("taker"), "need")
-    rows = text.join(giver, "doc_id", "left")
+    # Both uses of the texts read the same exchange by doc_id; a null doc_id has no neighbour.
+    known = text.filter("doc_id is not null")
     given = (
-        rows.filter("taker is not null")
+        known.join(giver, "doc_id")
         .select(F.col("taker").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.col("need").cast("int")).alias("lead"), fingerprint(F.col("text")).alias("next_fp")).alias("g"))
         .groupBy("doc_id")
         .agg(F.min("g").alias("g"))
         .select("doc_id", "g.lead", "g.next_fp")
     )
+    alone = text.filter("doc_id is null").withColumns({"lead": F.lit(None).cast("string"), "next_fp": F.lit(None).cast("array<bigint>")})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     both = (
-        rows.select("doc_id", "text")
-        .join(given, "doc_id", "left")
+        known.join(given, "doc_id", "left")
+        .unionByName(alone)
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn(
             "edited",
