@@ -8,8 +8,8 @@
 2. Equal sets are one class (they are linked at similarity 1); only the class's
    least document goes on.
 3. Round one links each member of buckets with two of their leaders, the least
-   and the one whose sketch is nearest, if the whole shingle sets confirm it, and
-   takes components.
+   and the one that shares most buckets, if the sketch allows and the whole
+   shingle sets confirm it, and takes components.
 4. Round two compares, in each bucket that still spans components, all members
    of different components, block by block of bounded size, by sketches; what
    the sketch can't rule out is confirmed on whole sets. So no link between
@@ -38,7 +38,7 @@ from terrane.llm.graph import components
 from terrane.llm.hashing import Powers, U, mix, odd_constants, row_shingles
 
 #: Bits of an odd sketch, in longs of 64, and members of a block in round two.
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 LONGS = SKETCH_BITS // 64
 BLOCK = 512
 
@@ -59,9 +59,13 @@ class Plan:
         return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** self.rows))
 
     @property
-    def samples(self) -> int:
+    def banded(self) -> int:
+        """Samples that the bands are made of; the sketch uses all."""
         return self.rows * self.bands
 
+    #: MinHash samples folded into a sketch.
+    samples: int = 400
+
     @property
     def most_odd(self) -> int:
         """Odd cells that a linked pair exceeds by chance five deviations out."""
@@ -93,7 +97,7 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
                 minima.append(m)
             rows = len(n)
             m = np.array(minima, U).reshape(rows, plan.samples)
-            keys = mix((m.reshape(rows, plan.bands, plan.rows) * weight).sum(axis=2, dtype=U) + tag)
+            keys = mix((m[:, : plan.banded].reshape(rows, plan.bands, plan.rows) * weight).sum(axis=2, dtype=U) + tag)
             at = (mix(m ^ cell) >> U(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
             at += np.arange(rows)[:, None] * SKETCH_BITS
             odd = (np.bincount(at.ravel(), minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
@@ -187,9 +191,10 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
             near_lengths(F.col("a_n_shingles"), F.col("b_n_shingles"), plan) & (F.col("odd") <= plan.most_odd)
         )
 
-    starred = with_sides(buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    hubs = F.array_distinct(F.array(F.min_by("a", F.struct("odd", "a")), F.min("a")))
-    first = stage(starred.groupBy("b").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("a"), "b"), "near-first")
+    shared = buckets.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
+    hubs = F.array_distinct(F.array(F.max_by("leader", F.struct("n", F.expr("-leader"))), F.min("leader")))
+    starred = shared.groupBy("rep").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("a"), F.col("rep").alias("b"))
+    first = stage(with_sides(starred).select("a", "b"), "near-first")
     linked = stage(confirmed(first, docs, plan), "near-links")
     found = stage(components(linked, "near-stars"), "near-found")
 
