@@ -1,0 +1,249 @@
+"""Operators against brute force, libraries and exact round trips, on small fixtures."""
+
+import hashlib
+import os
+import re
+import zlib
+from itertools import pairwise
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terrane.llm import bpe, fingerprint, mixing, near_dedup, pii, quality, rules, secrets, sharding, token_files
+
+ODD = [None, "", " \n\t", "one", "Ünï 日本語 🎉 ΑΣ", "a b c d e f g h i j " * 40, "x" * 30000, "I'll don't <|endoftext|> '''s", "1.2.3.4 +1 (017) 555-7713 a@b.co"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Odd texts, ties, copies, null ids, and extra columns whose names clash."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(300)]
+    texts = [*ODD]
+    for i in range(60):
+        base = list(rng.choice(words, 60))
+        texts.append(" ".join(base))
+        if i % 3 == 0:
+            base[5] = "changed"
+            texts += [" ".join(base), " ".join(base).upper()]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or ""), 0.5, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (3, "one", "en", None, 3, 0.5, "x"), (None, "no id here", "en", "s1", 9, 0.5, "x")], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_near_duplicates(docs, empty):
+    def sets(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+
+    rows = {r["doc_id"]: sets(r["text"]) for r in docs.collect() if r["doc_id"] is not None}
+    up = {i: i for i in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in rows:
+        for j in rows:
+            both = len(rows[i] & rows[j])
+            if j < i and both and 100 * both >= 85 * len(rows[i] | rows[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = near_dedup.near_duplicates(docs, near_dedup.Plan(3, 85)).collect()
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(rows[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
+    assert len(got) == docs.count()
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_sharding(docs, empty):
+    got = sharding.sharded(docs, shards=5).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r)
+    for rows in by.values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert all(r["size"] == len(text[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in got)
+    assert sharding.sharded(empty).count() == 0
+
+
+def test_maps():
+    loads = {s: 100 + s % 7 for s in range(400)}
+    first = sharding.balanced_map(sharding.first_map(4, 400), loads, 4)
+    totals = [sum(loads[s] for s in range(400) if first[s] == k) for k in range(4)]
+    assert max(totals) - min(totals) <= 110
+    grown = sharding.grown_map(first, loads)
+    assert all(b in (a, 4) for a, b in zip(first, grown, strict=True))
+    assert abs(sum(loads[s] for s in range(400) if grown[s] == 4) - sum(totals) / 5) <= 120
+
+
+@pytest.fixture(scope="module")
+def library():
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.tokenizer_path())
+
+
+def test_bpe(docs, library):
+    got = sorted(bpe.encoded(docs).collect(), key=repr)
+    there = []
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        said = library.decode(ids, skip_special_tokens=False)
+        there.append((r["doc_id"], len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), said))))
+    assert [tuple(r) for r in got] == sorted(there, key=repr) or sorted(map(repr, map(tuple, got))) == sorted(map(repr, there))
+
+
+def test_streaming_is_whole(library):
+    t = bpe.transducer(bpe.tokenizer_path())
+    for run in ("thin" * 4000, "ab" * 5000, "!?" * 3000):
+        assert t.encode(run) == library.encode(run, add_special_tokens=False).ids
+    assert "".join(t.decode(t.encode("Héllo wörld 🎉"))) == "héllo wörld 🎉 "
+    assert t.lookahead > 0
+
+
+def test_token_files(docs, empty, library):
+    got = sorted(map(tuple, token_files.read_back(token_files.written(docs)).collect()), key=lambda r: r[1])
+    start = 0
+    for doc_id, first, n, crc in got:
+        assert first == start
+        start += n
+    assert [r[0] for r in got[1:]] == sorted(r[0] for r in got[1:])
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for doc_id, _, n, crc in got:
+        ids = np.array([*library.encode(text[doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
+    assert token_files.read_back(token_files.written(empty)).count() == 0
+
+
+def test_damage_is_found():
+    data = bytearray(token_files.pack_segment([1, None], [np.arange(6000) % 97, np.array([1])]))
+    assert token_files.unpack_segment(bytes(data))[0] == [1, None]
+    data[-40] ^= 1
+    with pytest.raises(token_files.DamagedBlock):
+        token_files.unpack_segment(bytes(data))
+
+
+def test_pii(spark, docs, empty):
+    assert pii.base_spans("x a.b@c.de, 1.2.3.400 10.0.0.255, 4111 1111 1111 1111 +1 (017) 555-7713") == [
+        (2, 10, "email"), (22, 32, "ip"), (34, 53, "card"), (54, 71, "phone"),
+    ]
+    assert pii.base_spans("@x.y a@b 4111111111111112 +1 2") == []
+    assert pii.found_spans(docs).count() == docs.count()
+    assert pii.found_spans(empty).count() == 0
+    rows = [(i, f"filler number{'abcdefghij'[i]} line{i} Johnson works with john@mail.example.com on topic{'abcdefghij'[i] * 3}") for i in range(8)]
+    rows += [(100 + i, f"other text about nothing {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 4} works with filler on line") for i in range(60)]
+    d = spark.createDataFrame([*rows, (200, "Johnson was seen again")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.found_spans(d).collect()}
+    assert got[200] == "term:0:7" and got[100] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(d).collect()}
+    assert clean[200] == "<TERM> was seen again" and "<EMAIL>" in clean[0] and clean[100] == rows[8][1]
+
+
+def test_quality(spark, docs, empty):
+    rows = [(i, ("good words come here " + f"w{i} ") * 3 if i % 4 else "$$$ ### buy!!! %%% " * 5) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows], "doc_id long, quality int")
+    got = quality.scored(d, labels).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert all(r["predicted"] == int(r["doc_id"] % 4 > 0) for r in got)
+    assert quality.scored(docs, labels.limit(0)).filter("score = 0.5").count() == docs.count()
+    assert quality.scored(empty, labels).count() == 0
+    assert quality.accepted(docs, labels).columns == docs.columns
+
+
+def test_rules(docs, empty):
+    def base(t):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen, hit = {}, set()
+        for i in range(len(w) - 7):
+            seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+        for at in seen.values():
+            if len(at) > 1:
+                hit |= {i + k for i in at for k in range(8)}
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = rules.ruled(docs).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        n = base(text[r["doc_id"]])
+        assert tuple(r)[1:6] == n
+        assert r["base_failed"] == (n[0] < 20 or 100 * n[4] > 30 * n[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert rules.ruled(empty).count() == 0
+
+
+def test_fingerprints(docs, empty):
+    rows = [r for r in docs.collect() if r["doc_id"] not in (None, 3)]
+    d = docs.filter("doc_id is null or doc_id <> 3")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprinted(d).collect()}
+    order = sorted(rows, key=lambda r: -r["doc_id"])
+    for a, b in pairwise([*order, order[0]]):
+        t, u = a["text"] or "", b["text"] or ""
+        k = len(t) // 3
+        assert got[a["doc_id"]]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()
+    same = {}
+    for r in rows:
+        assert same.setdefault(r["text"] or "", got[r["doc_id"]]["fingerprint"]) == got[r["doc_id"]]["fingerprint"]
+    assert fingerprint.fingerprinted(empty).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "big" if i % 10 else f"small{i % 3}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.placed(d, mixing.Mixture(block_tokens=200)).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    tokens, share, slots = {}, {}, {}
+    for r in got:
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["n_tokens"]
+        share[r["source"]] = r["weight"]
+        slots.setdefault((r["source"], r["epoch"], r["block"]), []).append(r["slot"])
+    total = sum(tokens.values())
+    assert all(abs(tokens[s] - share[s] * total) <= 30 for s in tokens)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert mixing.placed(docs).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert mixing.placed(empty).count() == 0
+
+
+def test_secrets(spark, empty):
+    key = hashlib.sha1(b"1").hexdigest()
+    d = spark.createDataFrame([(1, f'so token = "{key}" and 4111111111111111 on'), (2, f"commit {key} by und.34@mail7.example.com"), (3, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["end"], r["is_secret"]) for r in secrets.scanned(d).collect())
+    assert got[0] == (1, 12, 52, True)
+    assert [g[3] for g in got[1:]] == [False] * 3
+    assert secrets.scanned(empty).count() == 0
+
+
+def test_without_this_package():
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    for p in (root / "terrane").rglob("*.py"):
+        if "llm" not in p.parts:
+            for node in ast.walk(ast.parse(p.read_text())):
+                if isinstance(node, ast.ImportFrom):
+                    assert ".llm" not in (node.module or "")
+
+
+def test_pipeline(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    docs.filter("doc_id is not null").drop("score", "ids").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(i, 1 if i > 8 else 0) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert 0 < out.count()
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
