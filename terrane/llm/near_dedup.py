@@ -165,6 +165,98 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     ).select("a", "b").distinct()
 
 
+def crossing_pairs(plan: Plan):
+    """Over rows sorted by block (bucket, i, j): pairs of different components that sketches allow.
+
+    Holds one Arrow batch and one block, of 2 * BLOCK members or so, at a time.
+    """
+
+    def of(x: np.ndarray):
+        own, rep, c, n = x[:, 4], x[:, 5], x[:, 6], x[:, 7]
+        sketch = np.ascontiguousarray(x[:, 8:]).view(U)
+        across = x[0, 1] != x[0, 2]
+        for k in range(0, len(x), 64):
+            r = slice(k, k + 64)
+            ok = (rep[r, None] < rep) & (c[r, None] != c)
+            ok &= 100 * np.minimum(n[r, None], n) >= plan.percent * np.maximum(n[r, None], n)
+            if across:
+                ok &= own[r, None] != own
+            one, two = np.nonzero(ok)
+            odd = np.bitwise_count(sketch[k + one] ^ sketch[two]).sum(axis=1, dtype=np.int64)
+            near = odd <= plan.most_odd
+            one, two = k + one[near], two[near]
+            if len(one):
+                yield np.column_stack([rep[one], rep[two], x[one, 3], x[one, 0], x[one, 1], x[one, 2]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = np.zeros((0, 8 + LONGS), np.int64)
+
+        def found(x: np.ndarray):
+            cuts = np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1
+            for block in np.split(x, cuts):
+                if len(block) > 1:
+                    for out in of(block):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.ascontiguousarray(out[:, k])) for k in range(6)], names=["a", "b", "m", "bucket", "i", "j"]
+                        )
+
+        for batch in batches:
+            rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8 + LONGS)])
+            held = np.concatenate([held, rows])
+            if len(held):
+                whole = len(held) - int(np.argmax((held[::-1, :3] != held[-1, :3]).any(axis=1)))
+                if (held[0, :3] != held[-1, :3]).any():
+                    yield from found(held[:whole])
+                    held = held[whole:]
+        if len(held):
+            yield from found(held)
+
+    return run
+
+
+def confirmed_in_blocks(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs (a, b, bucket, i, j) that are linked by their whole sets.
+
+    Each block gets the sets of its own members once, not once for each pair.
+    """
+    block = ["bucket", "i", "j"]
+    members = stage(pairs.select(*block, F.col("a").alias("node")).union(pairs.select(*block, "b")).distinct(), "near-members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sets = stage(shingle_sets(wanted, plan), "near-sets")
+    none = F.lit(None).cast("array<long>")
+    rows = members.join(sets, "node").select(*block, F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = rows.unionByName(pairs.select(*block, F.lit(1).alias("kind"), "a", "b", none.alias("shingles")))
+    together = rows.repartition(*block).sortWithinPartitions(*block, "kind")
+
+    def run(batches):
+        import pyarrow as pa
+
+        # A doc_id with several texts is one node with several sets.
+        at, known = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            one, two = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            links = []
+            for k, (*key, kind) in enumerate(keys):
+                if key != at:
+                    at, known = key, {}
+                if kind == 0:
+                    known.setdefault(one[k], []).append(batch.column(6)[k].values.to_numpy(zero_copy_only=False).copy())
+                    continue
+                for x in known[one[k]]:
+                    for y in known[two[k]]:
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * common >= plan.percent * (len(x) + len(y) - common):
+                            links.append((one[k], two[k]))
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return together.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     plan = plan or Plan()
@@ -211,42 +303,15 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
         member.withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select(
-            "bucket",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            F.struct("rep", "c", "n_shingles", "own", *cells).alias("x"),
-        )
-    )
-    meets = dealt.groupBy("bucket", "i", "j").agg(F.collect_list("x").alias("xs"))
-
-    def apart(x: Column, y: Column) -> Column:
-        return (
-            (x["rep"] < y["rep"])
-            & (x["c"] != y["c"])
-            & near_lengths(x["n_shingles"], y["n_shingles"], plan)
-            & (odd_cells(lambda k: x[k], lambda k: y[k]) <= plan.most_odd)
-        )
-
-    crossing = (
-        meets.filter(F.size("xs") > 1)
-        .select(
-            F.explode(
-                F.flatten(
-                    F.transform(
-                        "xs",
-                        lambda x: F.transform(
-                            F.filter("xs", lambda y: apart(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))
-                        ),
-                    )
-                )
-            ).alias("p")
-        )
-        .select("p.a", "p.b")
-        .distinct()
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "rep", "c", "n_shingles", *cells)
     )
+    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    crossing = met.mapInArrow(crossing_pairs(plan), "a long, b long, m long, bucket long, i long, j long")
+    # Of the blocks that a pair meets in, that of the largest bucket keeps it, so that few hold many.
+    at = F.struct((-F.col("m")).alias("m"), "bucket", "i", "j")
+    crossing = crossing.groupBy("a", "b").agg(F.min(at).alias("at")).select("a", "b", "at.bucket", "at.i", "at.j")
     second = stage(crossing.join(first, ["a", "b"], "left_anti"), "near-second")
-    more = stage(confirmed(second, docs, plan), "near-more")
+    more = stage(confirmed_in_blocks(second, docs, plan), "near-more")
     all_links = linked.union(more)
     found = stage(components(all_links, "near-stars"), "near-found")
     classes = (
