@@ -26,6 +26,7 @@ from terrane.operators import dictionary as D
 from terrane.operators import lookup as L
 from terrane.operators import rank as R
 from terrane.operators.prefix_match import digit_boundary, first_wins, missing_words, prefix_match
+from terrane.operators.storage import settled
 
 TARGETS = ("all", "residential", "parcel")
 
@@ -85,14 +86,14 @@ class Geocoder:
             gazetteer.city,
             {"city_key": "long", "pref_key": "long", "county": "string", "city": "string", "ward": "string"} | places,
         )
-        self.pref = missing_words(pref.withColumn("key", self.spell(F.col("pref"))), MISSING_WORDS["pref"])
+        self.pref = settled(missing_words(pref.withColumn("key", self.spell(F.col("pref"))), MISSING_WORDS["pref"]), "book-pref")
         named = D.city_with_pref(city, pref)
         full = F.concat(D.blank("county"), D.blank("city"), D.blank("ward"))
         short = F.concat(D.blank("city"), D.blank("ward"))
         keys = F.array_distinct(F.array(full, short, D.blank("ward")))
         cities = named.withColumn("key", F.explode(keys)).filter("key <> ''")
         cities = cities.withColumn("key", self.spell(F.col("key")))
-        self.city = missing_words(cities, MISSING_WORDS["city"] + ["区"])
+        self.city = settled(missing_words(cities, MISSING_WORDS["city"] + ["区"]), "book-city")
         self.town = None
         if gazetteer.town is not None:
             town = padded(
@@ -102,7 +103,7 @@ class Geocoder:
             )
             rows = D.inherited(D.town_full(town, city, pref))
             rows = D.town_keys(rows).withColumn("key", self.spell(F.col("key"))).filter("key <> ''")
-            self.town = first_wins(rows, ["city_key", "key", "machiaza_id"], [F.col("town_key")])
+            self.town = settled(first_wins(rows, ["city_key", "key", "machiaza_id"], [F.col("town_key")]), "book-town")
         table = lambda df, *more: None if df is None else padded(df, {"town_key": "long"} | {c: "string" for c in more} | {"rep_lat": "double", "rep_lon": "double"})
         self.blk = table(gazetteer.rsdt_blk, "blk_id", "blk_num")
         self.dsp = table(gazetteer.rsdt_dsp, "blk_id", "rsdt_id", "rsdt2_id", "rsdt_num", "rsdt_num2")
@@ -130,7 +131,9 @@ class Geocoder:
     ) -> DataFrame:
         """Adds the hits of a dictionary; keeps an original that had none, or only uncertain ones."""
         names = [v for v in values if v in book.columns]
-        d = book.select("key", "amb", *(F.col(v).alias(f"_d_{v}") for v in names))
+        # A row that inherited its place says so; others have a place of their own level.
+        inherits = "coordinate_level" in book.columns
+        d = book.select("key", "amb", *(F.col(v).alias(f"_d_{v}") for v in names), *([F.col("coordinate_level").alias("_d_at")] if inherits else []))
         asked = cands.filter(eligible & (F.col("rest") != ""))
         hits = digit_boundary(prefix_match(asked, d, "rest", cand_id="cand")).withColumn("_from", F.col("cand"))
         if agree is not None:
@@ -142,7 +145,7 @@ class Geocoder:
             hits.withColumn("_level", level)
             .withColumns(set_ | {
                 "match_level": F.col("_level"),
-                "coordinate_level": F.when(place, F.col("_level")).otherwise(F.col("coordinate_level")),
+                "coordinate_level": F.when(place, F.col("_d_at" if inherits else "_level")).otherwise(F.col("coordinate_level")),
                 "matched_cnt": F.col("matched_cnt") + F.col("depth"),
                 "ambiguous_cnt": F.col("ambiguous_cnt") + F.col("amb"),
                 "rest": F.regexp_replace("unmatched", "^[@␣ ]+", ""),
@@ -156,20 +159,22 @@ class Geocoder:
         return named.select(*cands.columns).unionByName(kept)
 
     def stages(self, lines: DataFrame) -> DataFrame:
-        """All candidates of all lines."""
-        c = self.start(lines)
+        """All candidates of all lines; each stage uses its input more than once and is written down."""
+        c = settled(self.start(lines), "geocode-start")
         place = ["rep_lat", "rep_lon"]
         c = self.expanded(c, self.pref, F.col("match_level") == 0, F.lit(1), ["pref_key", "pref", "lg_code", *place])
+        c = settled(c, "geocode-pref")
         c = self.expanded(
             c, self.city, F.col("match_level") < 2, F.lit(2), ["pref_key", "city_key", "lg_code", "pref", "county", "city", "ward", *place],
             F.col("pref_key").isNull() | (F.col("pref_key") == F.col("_d_pref_key")),
         )
+        c = settled(c, "geocode-city")
         if self.town is not None:
             values = ["pref_key", "city_key", "town_key", "lg_code", "pref", "county", "city", "ward", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code", "rsdt_addr_flg", *place]
-            c = self.in_town(c, values)
+            c = settled(self.in_town(c, values), "geocode-town")
         for table, step in ((self.blk, self.block), (self.dsp, self.residence), (self.parcel, self.lot)):
             if table is not None:
-                c = step(c)
+                c = settled(step(c), f"geocode-{step.__name__}")
         return c
 
     def in_town(self, c: DataFrame, values: list[str]) -> DataFrame:
