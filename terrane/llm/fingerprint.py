@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import let, next_hashes, stage, whole_text, words
+from terrane.llm.common import let, next_hashes, whole_text, words
 
 K = 128
 SHINGLE = 5
@@ -62,52 +62,87 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next smaller doc_id, after the least the greatest.
+def longs(values: list[int]) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
-    Ids are dealt into ranges, and only one row for each range is ever put in one
-    task, to carry on from the range below.
-    """
-    spark = ids.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stage(
-        ids.filter("doc_id is not null").distinct().repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id()),
-        "fingerprint-ids",
-    )
-    ends = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
-    over = Window.orderBy("part")
-    ends = ends.select(
-        "part",
-        F.coalesce(F.lag("top").over(over), F.max("top").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"),
+
+def range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds lie below doc_id, by binary search."""
+    known = longs(bounds)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0).cast("long")
+    return F.aggregate(
+        longs(steps),
+        F.lit(0).cast("long"),
+        lambda at, step: F.when(
+            F.try_element_at(known, (at + step).cast("int")) < doc_id, at + step
+        ).otherwise(at),
     )
-    inside = dealt.withColumn("lower", F.lag("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return inside.join(ends, "part").select("doc_id", F.coalesce("lower", "below").alias("next_id"))
+
+
+def in_ranges(text: DataFrame) -> DataFrame:
+    """(doc_id, text, part, ghost): rows dealt into ranges of doc_id.
+
+    The rows of a range's greatest doc_id are also put, as ghosts, before the
+    next range (those of the last before the first), so that each range holds
+    the next document of all its own. The driver learns one bound and one
+    greatest doc_id for each range, as many as four times the partitions of a shuffle.
+    """
+    ids = text.select("doc_id")
+    n = 4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
+    bounds = sorted(set(found or []))
+    part = range_of(F.col("doc_id"), bounds)
+    top = {r.part: r.top for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top")).collect()}
+    used = sorted(top)
+    after = dict(zip(used, [*used[1:], *used[:1]], strict=True))
+    ranges = range(len(bounds) + 1)
+    at = (F.col("part") + 1).cast("int")
+    own = F.struct("part", F.lit(0).alias("ghost"))
+    ghost = F.struct(F.element_at(longs([after.get(r, 0) for r in ranges]), at).alias("part"), F.lit(1).alias("ghost"))
+    is_top = F.col("doc_id") == F.element_at(longs([top.get(r, 0) for r in ranges]), at)
+    placed = F.when(is_top, F.array(own, ghost)).otherwise(F.array(own))
+    return text.withColumn("part", part).select("doc_id", "text", F.inline(placed))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how near they are.
 
-    Where one doc_id has several texts, its neighbour is edited with the least of
-    them. A row without doc_id has no next document and loses its last third.
+    Texts are exchanged once, into ranges of doc_id in which each row finds its
+    next document before it. Where one doc_id has several texts, its neighbour is
+    edited with the least of them. A row without doc_id has no next document and
+    loses its last third.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("string").alias("text"))
-    need = text.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("need"))
-    links = stage(neighbours(text.select("doc_id")).join(need, "doc_id"), "fingerprint-links")
-    giver = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("taker"), "need")
-    # Both uses of the texts read the same exchange by doc_id; a null doc_id has no neighbour.
-    known = text.filter("doc_id is not null")
-    given = (
-        known.join(giver, "doc_id")
-        .select(F.col("taker").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.col("need").cast("int")).alias("lead"), fingerprint(F.col("text")).alias("next_fp")).alias("g"))
-        .groupBy("doc_id")
-        .agg(F.min("g").alias("g"))
-        .select("doc_id", "g.lead", "g.next_fp")
+    order = [F.desc("ghost"), F.col("doc_id"), F.desc("text")]
+    rows = (
+        in_ranges(text.filter("doc_id is not null"))
+        .repartition("part")
+        .sortWithinPartitions("part", *order)
+        .withColumn("fp", fingerprint(F.col("text")))
+    )
+    near = Window.partitionBy("part").orderBy(*order)
+    # The first row of a doc_id follows the least text of the next; its other rows take over what it found.
+    first = (F.lag("ghost").over(near) == 1) | (F.lag("doc_id").over(near) != F.col("doc_id"))
+    met = F.when(first, F.struct(F.lag("text").over(near).alias("text"), F.lag("fp").over(near).alias("fp")))
+    known = (
+        rows.withColumn("met", met)
+        .withColumn("next", F.last("met", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter("ghost = 0")
+        .select("doc_id", "text", "fp", F.col("next.text").alias("lead"), F.col("next.fp").alias("next_fp"))
+    )
+    alone = text.filter("doc_id is null").select(
+        "doc_id",
+        "text",
+        fingerprint(F.col("text")).alias("fp"),
+        F.lit(None).cast("string").alias("lead"),
+        F.lit(None).cast("array<bigint>").alias("next_fp"),
     )
-    alone = text.filter("doc_id is null").withColumns({"lead": F.lit(None).cast("string"), "next_fp": F.lit(None).cast("array<bigint>")})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     both = (
-        known.join(given, "doc_id", "left")
-        .unionByName(alone)
+        known.unionByName(alone)
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn(
             "edited",
@@ -120,7 +155,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             "doc_id",
             "n_chars",
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            fingerprint(F.col("text")).alias("a"),
+            F.col("fp").alias("a"),
             fingerprint(F.col("edited")).alias("b"),
             F.coalesce("next_fp", F.array().cast("array<bigint>")).alias("c"),
         )
