@@ -200,6 +200,25 @@ def test_fingerprints(docs, empty):
     assert fingerprint.fingerprinted(empty).count() == 0
 
 
+def test_fingerprints_over_many_ranges(spark):
+    """Each range finds its next document; a repeated doc_id lends the least of its texts."""
+    rows = [(i * i * 7 - 500, f"{i} " + "word " * (i % 11)) for i in range(300)]
+    rows += [(7 * 25 - 500, "another text"), (7 * 25 - 500, "a third one"), (None, "no next document")]
+    got = fingerprint.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least: dict = {}
+    for i, t in rows:
+        if i is not None:
+            least[i] = min(least.get(i, t), t)
+    ids = sorted(least)
+    below = dict(zip(ids, [ids[-1], *ids[:-1]], strict=True))
+    edited = []
+    for i, t in rows:
+        k = len(t) // 3
+        lead = "" if i is None else least[below[i]][:k]
+        edited.append((str(i), hashlib.sha256((t[: len(t) - k] + lead).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(edited)
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, " ".join(["w"] * (1 + i % 9)), "big" if i % 10 else f"small{i % 3}") for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
