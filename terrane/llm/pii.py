@@ -1,19 +1,21 @@
 """PII by pattern, and by what the corpus says a term gives away.
 
 Base spans are found by pattern in every whole text. Each distinct value found is
-a protected entity. The words near an entity's mentions (eight on either side in
-the line) are candidate terms; a term's disclosure is estimated over the corpus:
+a protected entity. All words of the texts that hold an entity are candidate
+terms; a term's disclosure is estimated over the corpus, in whole texts:
 
     posterior = texts that hold both / texts that hold the term
     bits      = log2(posterior / (texts that hold the entity / all texts))
 
-A term that occurs near one entity in at least `support` different contexts and
-passes both thresholds reveals that entity. Every occurrence of it, in any text,
-becomes a span of kind `term`; sanitising generalises it, or removes it where the
-posterior is near certain. Copies of a text or of a context count once.
+A term that occurs with one entity in at least `support` different texts, or near
+its mentions (eight words on either side in the line) in as many different
+contexts, and passes both thresholds reveals that entity. Every occurrence of it,
+in any text, becomes a span of kind `term`; sanitising generalises it, or removes
+it where the posterior is near certain. Copies of a text or of a context count once.
 
-Candidate terms are marked in a bitmap of fixed size, only to spare the second
-pass over the texts most words; the counts come from exact joins.
+Texts that hold entities and candidate terms are marked in tables of fixed size,
+and words too common for any entity of a text are left out of it, only to spare
+the later passes most words; the counts come from exact joins.
 
 A null text is empty; nulls and repeated rows keep their rows; a corpus without
 protected entities has no terms.
@@ -36,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CELLS = 1 << 20
 #: Words on either side of a mention that count as near.
 NEAR = 8
+#: So many of the commonest words are left out early; the others go by the exact counts.
+COMMON = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -119,7 +123,7 @@ def cell(term: str) -> int:
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans and near (entity, term, context) of each row."""
+    """doc_id, text_key, spans, entities and near (entity, term, context) of each row."""
 
     def run(batches):
         import pyarrow as pa
@@ -129,20 +133,22 @@ def base_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             spans = [base_spans(t.as_py() or "") for t in batch.column(2)]
             terms = [list(near_terms(t.as_py(), s)) if s else [] for t, s in zip(batch.column(2), spans, strict=True)]
+            names = [sorted({entity(t.as_py()[a:b], k) for a, b, k in s}) if s else [] for t, s in zip(batch.column(2), spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([[dict(zip(("start", "end", "kind"), x, strict=True)) for x in s] for s in spans], span),
+                    pa.array(names, pa.list_(pa.string())),
                     pa.array([[dict(zip(("entity", "term", "context"), x, strict=True)) for x in n] for n in terms], near),
                 ],
-                names=["doc_id", "text_key", "spans", "near"],
+                names=["doc_id", "text_key", "spans", "entities", "near"],
             )
 
     return keyed(docs).mapInArrow(
         run,
         "doc_id long, text_key long, spans array<struct<start: long, end: long, kind: string>>, "
-        "near array<struct<entity: string, term: string, context: long>>",
+        "entities array<string>, near array<struct<entity: string, term: string, context: long>>",
     )
 
 
@@ -151,18 +157,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def least_counts(docs: DataFrame, cells: list[int]) -> DataFrame:
-    """(term, least): so many different texts hold a marked word at the least.
+def least_counts(docs: DataFrame) -> DataFrame:
+    """(term, least): so many different texts hold a word at the least.
 
     Each partition counts its own different texts, one row for each word it
     holds; the greatest of these counts is a lower bound for the corpus.
     """
-    marked = frozenset(cells)
 
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[str, bool] = {}
         texts: set[int] = set()
         counts: dict[str, int] = {}
         for batch in batches:
@@ -170,14 +174,8 @@ def least_counts(docs: DataFrame, cells: list[int]) -> DataFrame:
                 if key in texts:
                     continue
                 texts.add(key)
-                for word in set(_TERM.findall(text.as_py().lower())):
-                    hit = seen.get(word)
-                    if hit is None:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        hit = seen[word] = zlib.crc32(word.encode()) % CELLS in marked
-                    if hit:
-                        counts[word] = counts.get(word, 0) + 1
+                for word in {m.lower() for m in set(_TERM.findall(text.as_py()))}:
+                    counts[word] = counts.get(word, 0) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"]
         )
@@ -185,6 +183,51 @@ def least_counts(docs: DataFrame, cells: list[int]) -> DataFrame:
     return keyed(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.max("n").alias("least"))
 
 
+def text_terms(docs: DataFrame, held: DataFrame, common: dict[str, int], posterior: float) -> DataFrame:
+    """(text_key, entities, terms) of each different text in held, without the words
+    that are in too many texts (common: at the least) to reach the posterior there.
+
+    A term is free where it stands outside of all base spans once at least.
+    """
+    import numpy as np
+
+    most = F.aggregate("entities", F.lit(0).cast("long"), lambda a, e: F.greatest(a, e["with_entity"]))
+    tops = held.groupBy(F.pmod("text_key", F.lit(CELLS)).alias("c")).agg(F.max(most).alias("most")).collect()
+    bounds = np.zeros(CELLS, np.int64)
+    for r in tops:
+        bounds[r["c"]] = r["most"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("term", pa.string()), ("free", pa.bool_())]))
+        texts: set[int] = set()
+        for batch in batches:
+            keys: list[int] = []
+            lists: list[list[dict]] = []
+            for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                bound = int(bounds[key % CELLS])
+                if not bound or key in texts:
+                    continue
+                texts.add(key)
+                whole = text.as_py()
+                parts, at = [], 0
+                for a, b, _ in base_spans(whole):
+                    parts.append(whole[at : max(a, at)])
+                    at = max(at, b)
+                # Words cut by a span are not free; what a cut leaves of one is no word of the text.
+                free = {m.lower() for m in set(_TERM.findall("@".join([*parts, whole[at:]])))}
+                found = {m.lower() for m in set(_TERM.findall(whole))}
+                keys.append(key)
+                lists.append([{"term": w, "free": w in free} for w in found if bound >= posterior * common.get(w, 0)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(lists, kind)], names=["text_key", "terms"]
+            )
+
+    words = keyed(docs).mapInArrow(run, "text_key long, terms array<struct<term: string, free: boolean>>").filter(F.size("terms") > 0)
+    return words.dropDuplicates(["text_key"]).join(held, "text_key")
+
+
 def occurrences(docs: DataFrame, cells: list[int]) -> DataFrame:
     """text_key, term, start, end of the words whose cell is marked."""
     marked = frozenset(cells)
@@ -221,34 +264,52 @@ def marked_cells(terms: DataFrame) -> list[int]:
 
 
 def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataFrame, DataFrame] | None:
-    """(terms with posterior and bits, occurrences), or None where nothing is near anything."""
-    mentions = base.filter(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*").distinct()
+    """(terms with posterior and bits, occurrences), or None where no text holds an entity with a candidate."""
+    near = base.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*").distinct()
     pairs = stage(
-        mentions.select("entity", "term", "context")
-        .distinct()
-        .groupBy("entity", "term")
+        near.groupBy("entity", "term")
         .agg(F.count("*").alias("contexts"))
         .filter(F.col("contexts") >= rule.support)
         .select("entity", "term"),
         "pii-pairs",
     )
-    together = mentions.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "text_key").distinct()
-    together = stage(together.groupBy("entity", "term").agg(F.count("*").alias("both")), "pii-together")
-    if not (cells := marked_cells(together)):
+    mentions = base.select("text_key", F.explode("entities").alias("entity")).distinct()
+    total = base.select("text_key").distinct().count()
+    # An entity in too few texts has near terms only; one in too many reveals too few bits with any term.
+    with_entity = mentions.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    with_entity = with_entity.join(pairs.select("entity", F.lit(True).alias("_near")).distinct(), "entity", "left")
+    with_entity = with_entity.filter(
+        (F.log2(F.lit(float(total)) / F.col("with_entity")) >= rule.bits)
+        & ((F.col("with_entity") >= rule.support) | F.col("_near"))
+    )
+    with_entity = stage(with_entity.drop("_near"), "pii-entities")
+    held = mentions.join(with_entity, "entity").groupBy("text_key")
+    held = stage(held.agg(F.collect_list(F.struct("entity", "with_entity")).alias("entities")), "pii-held")
+    if held.isEmpty():
         return None
+    least = stage(least_counts(docs).filter(F.col("least") >= rule.support), "pii-least")
+    common = {r["term"]: r["least"] for r in least.orderBy(F.desc("least")).limit(COMMON).collect()}
+    together = (
+        text_terms(docs, held, common, rule.posterior)
+        .select("terms", F.explode("entities").alias("e"))
+        .select("e.entity", "e.with_entity", F.explode("terms").alias("t"))
+        .groupBy("entity", "with_entity", F.col("t.term").alias("term"))
+        .agg(F.count("*").alias("both"), F.count_if("t.free").alias("free"))
+    )
     # Words too common to reach the posterior go before any of their places are listed.
-    possible = together.join(least_counts(docs, cells), "term", "left")
-    possible = possible.filter(F.col("both") >= rule.posterior * F.coalesce("least", F.lit(0)))
-    together = stage(possible.select("entity", "term", "both"), "pii-possible")
+    together = (
+        together.join(pairs.withColumn("_near", F.lit(True)), ["entity", "term"], "left")
+        .filter((F.col("free") >= rule.support) | F.col("_near"))
+        .join(least, "term", "left")
+        .filter(F.col("both") >= rule.posterior * F.coalesce("least", F.lit(0)))
+    )
+    together = stage(together.select("entity", "with_entity", "term", "both"), "pii-possible")
     if not (cells := marked_cells(together)):
         return None
     seen = stage(occurrences(docs, cells), "pii-words")
     with_term = seen.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    with_entity = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = base.select("text_key").distinct().count()
     terms = (
         together.join(with_term, "term")
-        .join(with_entity, "entity")
         .withColumn("posterior", F.col("both") / F.col("with_term"))
         .withColumn("bits", F.log2(F.col("posterior") * F.lit(float(total)) / F.col("with_entity")))
         .filter((F.col("posterior") >= rule.posterior) & (F.col("bits") >= rule.bits))
@@ -263,7 +324,7 @@ def all_spans(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     rule = rule or Disclosure()
     base = stage(base_table(docs), "pii-base")
     found = revealing(docs, base, rule)
-    rows = base.withColumnRenamed("spans", "base").drop("near")
+    rows = base.withColumnRenamed("spans", "base").drop("entities", "near")
     if found is None:
         return rows.withColumn("terms", F.expr("cast(array() as array<struct<start: long, end: long, kind: string, posterior: double>>)"))
     terms, seen = found

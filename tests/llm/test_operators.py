@@ -149,6 +149,26 @@ def test_pii(spark, docs, empty):
     assert clean[200] == "<TERM> was seen again" and "<EMAIL>" in clean[0] and clean[100] == rows[8][1]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mail = "john@mail.example.com"
+    rows = [(i, f"{mail}\n{letters[i] * 5} far\n{letters[i] * 4} Quillon came") for i in range(4)]
+    far = " ".join(["and some more of the filler words"] * 3)
+    # In ten texts with the entity, near it in seven: posterior 1, not 0.7.
+    rows += [(10 + i, f"{letters[i] * 6} Vexley {'' if i < 7 else far} wrote {mail}") for i in range(10)]
+    rows += [(100 + i, f"{letters[i % 26] * 4} and some more of the filler words came far {letters[i // 26] * 3} wrote") for i in range(120)]
+    # Four of five texts with Tarn hold the entity: exactly the threshold; three of five with Bosk: below it.
+    rows += [(300 + i, f"{letters[i] * 7} Tarn\n{mail if i < 4 else 'none'}") for i in range(5)]
+    rows += [(310 + i, f"{letters[i] * 8} Bosk\n{mail if i < 3 else 'none'}") for i in range(5)]
+    # Copies of one text are one text.
+    rows += [(400 + i, f"Zephan and {mail}") for i in range(5)]
+    d = spark.createDataFrame([*rows, (500, "Quillon Vexley Tarn Bosk Zephan")], "doc_id long, text string")
+    names = {r["term"]: r["posterior"] for r in pii.revealing(d.filter("doc_id < 500"), pii.base_table(d.filter("doc_id < 500")), pii.Disclosure())[0].collect()}
+    assert names == {"quillon": 1.0, "vexley": 1.0, "tarn": 0.8}
+    got = {r["doc_id"]: r["spans"] for r in pii.found_spans(d).collect()}
+    assert got[500] == "term:0:7,term:8:14" and got[100] == ""
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, ("good words come here " + f"w{i} ") * 3 if i % 4 else "$$$ ### buy!!! %%% " * 5) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
