@@ -1,14 +1,16 @@
 """Secret scans with a random forest that removes false positives.
 
 Every whole text is scanned for strings that could be secrets: at least twelve
-characters of those that keys are made of, with a digit. Each candidate gets
+characters of those that keys are made of, or six after an assignment sign. The
+name before an assignment sign is no part of the string. Each candidate gets
 statistics of itself (length, transitions between kinds of characters, coverage
 by dictionary words, path-likeness) and of its neighbouring words. A random forest
 trained on labelled findings says which candidates are secrets. Scan, statistics,
 training and scoring run on the JVM as DataFrame operations.
 
 Labelled findings are a DataFrame (token, before, after, label); the built-in ones
-are made by rule from formats of keys and of strings that are mistaken for them.
+are what the scan finds in texts made by rule from formats of keys and of strings
+that are mistaken for them.
 
 A null text has no candidates; repeated rows and repeated strings give a row each.
 """
@@ -20,8 +22,15 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import whole_text
 
-_PART = r"[A-Za-z0-9+/_=.~-]"
-CANDIDATE = rf"(?<!{_PART})(?=[A-Za-z+/_=.~-]*+[0-9]){_PART}{{12,}}+"
+_PART = r"[A-Za-z0-9+/_.~-]"
+#: Where a value begins: an assignment sign, blanks, a quote.
+_ASSIGNED = r"(?<=[=:][ \t]{0,4}[\"'`]?)"
+_LONG = rf"(?:{_PART}{{12,}}+|{_ASSIGNED}{_PART}{{6,}}+)"
+#: A string with the signs that base64 ends with; `=` before a value or its quote assigns, unless the string itself is quoted.
+CANDIDATE = (
+    rf"(?<!{_PART})(?:(?<=[\"'`]){_LONG}(?:={{1,2}}(?![={_PART[1:-1]}]))?"
+    rf"|(?<![\"'`]){_LONG}(?:={{1,2}}(?![=\"'`{_PART[1:-1]}]))?)"
+)
 #: Characters of context on either side in which neighbouring words are looked for.
 CONTEXT = 48
 #: Dictionary words, in the order of the alphabet.
@@ -77,11 +86,12 @@ def features(token: Column, before: Column, after: Column) -> list[Column]:
     return [values[k].cast("double").alias(k) for k in FEATURES]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, token, before, after of each candidate; positions in code points."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("string").alias("text"))
+def candidates(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, start, end, token, before, after of each candidate, and more columns; positions in code points."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("string").alias("text"), *more)
     cut = text.filter(F.col("text").rlike(CANDIDATE)).select(
         "doc_id",
+        *more,
         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("tokens"),
         F.split("text", CANDIDATE, -1).alias("gaps"),
     )
@@ -95,25 +105,32 @@ def candidates(docs: DataFrame) -> DataFrame:
         ),
         lambda a: a["starts"],
     )
+    # A name long enough to be a candidate stands before the value that is assigned to it.
+    named = F.zip_with(
+        "gaps",
+        F.concat(F.array(F.lit("")), F.col("tokens")),
+        lambda g, t: F.when(g.rlike(r"^[\"'`]?[ \t]{0,4}[=:]+[ \t]{0,4}[\"'`]?$"), F.concat(t, g)).otherwise(g),
+    )
     return (
         cut.select(
             "doc_id",
+            *more,
             F.explode(
                 F.arrays_zip(
                     F.col("tokens").alias("token"),
                     F.slice(starts, 1, F.size("tokens")).alias("start"),
-                    F.transform(F.slice("gaps", 1, F.size("tokens")), lambda g: F.right(g, F.lit(CONTEXT))).alias("before"),
+                    F.transform(F.slice(named, 1, F.size("tokens")), lambda g: F.right(g, F.lit(CONTEXT))).alias("before"),
                     F.transform(F.slice("gaps", 2, F.size("tokens")), lambda g: F.left(g, F.lit(CONTEXT))).alias("after"),
                 )
             ).alias("x"),
         )
-        .select("doc_id", "x.token", "x.start", "x.before", "x.after")
+        .select("doc_id", *more, "x.token", "x.start", "x.before", "x.after")
         .withColumn("end", F.col("start") + F.length("token"))
     )
 
 
 def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
-    """Findings made by rule: `each` of every format, 1 for secrets and 0 for others."""
+    """What the scan finds in texts made by rule, `each` of every format: 1 for secrets and 0 for others."""
     n = F.col("id")
 
     def digest(salt: str) -> Column:
@@ -125,6 +142,8 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (n % len(DICTIONARY) + 1).cast("int"))
     other = F.element_at(F.array(*map(F.lit, DICTIONARY)), (n * 7 % len(DICTIONARY) + 1).cast("int"))
     uuid = F.concat_ws("-", *(F.substring(digest("e"), a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    letters = F.translate(b64, "0123456789+/", "qWeRtYuIoPaS")
+    small = F.translate(digest("g"), "0123456789", "ghiklmnoprstu")
     formats = [
         (1, 'of token = "', hex40, '" and'),
         (1, "the ### token = \"", hex40, '"### $$$'),
@@ -135,6 +154,13 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (1, 'password = "', F.left(b64, F.lit(14)), '"'),
         (1, "client_secret=", F.concat(F.lit("sk-"), F.left(hex64, F.lit(48))), "&"),
         (1, "value \"", F.left(b64, F.lit(40)), "\";"),
+        (1, "token: ", F.left(letters, F.lit(24)), "\n"),
+        (1, "secret='", F.left(letters, F.lit(32)), "'"),
+        (1, "password=", F.concat(F.left(b64, F.lit(6)), number), "\n"),
+        (1, "password=", F.concat(F.initcap(other), F.left(number, F.lit(1)), F.left(b64, F.lit(4))), "\n"),
+        (1, "db_password: ", F.left(b64, F.lit(10)), "\n"),
+        (1, "api_key=", b64, "\n"),
+        (1, "https://host/x?access_token=", hex40, "&y=1"),
         (0, "commit ", hex40, "\nAuthor"),
         (0, "sha256: ", hex64, " "),
         (0, "md5 checksum = \"", F.left(hex64, F.lit(32)), '"'),
@@ -151,12 +177,30 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (0, "password: ", F.concat(F.repeat(F.lit("x"), 12), (n % 10).cast("string")), "\n"),
         (0, "api_key = '", F.concat(F.lit("example-"), word, F.lit("-1234567890")), "'"),
         (0, "version ", F.concat(F.lit("release-"), (n % 9).cast("string"), F.lit("."), (n % 31).cast("string"), F.lit(".0-"), word), " "),
+        (0, "the ", F.left(small, (n % 9 + 12).cast("int")), " of"),
+        (0, "Of ", F.initcap(F.left(small, (n % 9 + 12).cast("int"))), " the"),
+        (0, "THE ", F.upper(F.left(small, (n % 9 + 12).cast("int"))), " OF"),
+        (0, ".!! ", F.upper(F.substring(small, 20, 14)), "!! "),
+        (0, "NOTE: ", F.upper(F.left(small, (n % 9 + 6).cast("int"))), " OF"),
+        (0, "the ", F.concat(F.initcap(F.left(small, F.lit(7))), F.initcap(F.substring(small, 8, 7))), " of"),
+        (0, "call ", F.concat_ws("_", F.left(small, F.lit(4)), word, F.substring(small, 5, 6)), "("),
+        (0, "the ", F.concat_ws("-", F.left(small, F.lit(5)), other, F.substring(small, 6, 5)), ", and"),
+        (0, "note: ", F.left(small, F.lit(8)), " and"),
+        (0, "password: ", F.concat_ws(" ", word, F.left(small, F.lit(7))), " is"),
+        (0, "mode=", F.concat_ws("_", word, other, F.left(small, F.lit(3))), "\n"),
+        (0, "token: ", F.concat(F.lit("required-"), word), "\n"),
+        (0, "count = ", F.left(number, F.lit(7)), "\n"),
+        (0, "\n", F.repeat(F.element_at(F.array(*map(F.lit, "-._~+/")), (n % 6 + 1).cast("int")), (n % 40 + 12).cast("int")), "\n"),
         (0, "on ", F.concat(F.lit("2024-0"), (n % 9 + 1).cast("string"), F.lit("-11T10:30:00.00"), (n % 9).cast("string")), " the"),
     ]
-    kinds = F.explode(
-        F.array(*(F.struct(t.alias("token"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(y).alias("label")) for y, b, t, a in formats))
-    )
-    return spark.range(0, each, 1, 1).select(kinds.alias("x")).select("x.*")
+    made = spark.range(0, each, 1, 1).select(F.posexplode(F.array(*(
+        F.struct(F.concat(F.lit(b), t, F.lit(a)).alias("text"), F.lit(len(b)).alias("at"), F.length(t).alias("n"), F.lit(y).alias("label"))
+        for y, b, t, a in formats
+    ))).alias("pos", "x"), (n * len(formats)).alias("first")).select((F.col("first") + F.col("pos")).alias("doc_id"), "x.*")
+    # The secret itself, whole, is one; all else that the scan finds in these texts is none.
+    found = candidates(made, "at", "n", "label")
+    whole = (F.col("start") == F.col("at")) & (F.length("token") == F.col("n"))
+    return found.select("token", "before", "after", F.when(whole, F.col("label")).otherwise(0).alias("label"))
 
 
 def forest(findings: DataFrame, trees: int = 30, depth: int = 7):
