@@ -86,11 +86,11 @@ def prefix_match(
     return hits
 
 
-def fuzzy_match(cands: DataFrame, dictionary: DataFrame, text: str, key: str = "key") -> DataFrame:
+def fuzzy_match(cands: DataFrame, dictionary: DataFrame, text: str, key: str = "key", on: tuple[str, ...] = ()) -> DataFrame:
     """Texts with wild cards: any key whose characters agree where the text has none.
 
     Texts and keys meet by length and by the text's first plain character, so
-    that only keys that can agree are compared.
+    that only keys that can agree are compared, and by the columns `on` of both.
     """
     lengths = key_lengths(dictionary, key)
     cut = (
@@ -108,7 +108,7 @@ def fuzzy_match(cands: DataFrame, dictionary: DataFrame, text: str, key: str = "
     pattern = F.translate(F.regexp_replace("_cut", r"([%_\\])", r"\\$1"), FUZZY, "_")
     return (
         cut.withColumn("_pattern", pattern)
-        .join(sized(keys), ["depth", "_at", "_c"])
+        .join(sized(keys), [*on, "depth", "_at", "_c"])
         .filter(F.expr(f"{key} like _pattern"))
         .withColumn("amb", F.length("_cut") - F.length(F.translate("_cut", FUZZY, "")))
         .withColumn("unmatched", F.col(text).substr(F.col("depth") + 1, F.length(text)))

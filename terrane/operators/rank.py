@@ -76,3 +76,36 @@ def arbitrated(cands: DataFrame, cand_id: str = "line_id", near: float = 2.0) ->
         .otherwise(F.col("prcl"))
     )
     return best.withColumn("c", chosen).select(cand_id, F.col("c.score").alias("score"), (-F.col("c.back")).alias("seq"))
+
+
+def chosen(cands: DataFrame, cand_id: str = "line_id", order: tuple[str, ...] = ("seq",), near: float = 2.0) -> DataFrame:
+    """The given candidate of each line, whole: the best residence (flag 1), the best lot (flag 0), or the best of all.
+
+    A target of residences or lots decides between the two. Otherwise the lot is given
+    where its score is higher, but not within `near` points of a residence whose town
+    is marked residential. One that isn't confident counts only if none is.
+    """
+    line = Window.partitionBy(cand_id)
+    sorted_ = line.orderBy(F.desc("confident"), F.desc("score"), F.desc("matched_cnt"), *order)
+    counts = F.col("confident") | ~F.max("confident").over(line)
+
+    def best(flag: int) -> Column:
+        info = F.struct("_r", "score", "match_level", "original_flg")
+        return F.min(F.when((F.col("rsdt_addr_flg") == flag) & F.col("_counts"), info)).over(line)
+
+    r, p = F.col("_rsdt"), F.col("_prcl")
+    marked = F.coalesce(r["original_flg"] == 1, F.lit(False)) & (r["match_level"] >= 3)
+    residence = (
+        F.when(F.col("target") == "residential", True)
+        .when(F.col("target") == "parcel", False)
+        .otherwise((r["score"] >= p["score"]) | ((p["score"] - r["score"] <= near) & marked))
+    )
+    given = F.when(r.isNull() | p.isNull(), F.coalesce(r["_r"], p["_r"], F.lit(1))).when(residence, r["_r"]).otherwise(p["_r"])
+    return (
+        cands.withColumn("_counts", counts)
+        .withColumn("_r", F.row_number().over(sorted_))
+        .withColumn("_rsdt", best(1))
+        .withColumn("_prcl", best(0))
+        .filter(F.col("_r") == given)
+        .drop("_counts", "_r", "_rsdt", "_prcl")
+    )

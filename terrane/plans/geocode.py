@@ -20,12 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.constants import MISSING_WORDS
+from terrane.functions.constants import FUZZY, MISSING_WORDS
 from terrane.functions.text import format_address, normalise, python_text, restored
 from terrane.operators import dictionary as D
 from terrane.operators import lookup as L
 from terrane.operators import rank as R
-from terrane.operators.prefix_match import digit_boundary, first_wins, missing_words, prefix_match
+from terrane.operators.prefix_match import digit_boundary, first_wins, fuzzy_match, missing_words, prefix_match
 from terrane.operators.storage import settled
 
 TARGETS = ("all", "residential", "parcel")
@@ -135,7 +135,10 @@ class Geocoder:
         inherits = "coordinate_level" in book.columns
         d = book.select("key", "amb", *(F.col(v).alias(f"_d_{v}") for v in names), *([F.col("coordinate_level").alias("_d_at")] if inherits else []))
         asked = cands.filter(eligible & (F.col("rest") != ""))
-        hits = digit_boundary(prefix_match(asked, d, "rest", cand_id="cand")).withColumn("_from", F.col("cand"))
+        hits = prefix_match(asked, d, "rest", cand_id="cand")
+        if not asked.filter(F.col("rest").contains(FUZZY)).isEmpty():
+            hits = hits.unionByName(self.wild(asked, d))
+        hits = digit_boundary(hits).withColumn("_from", F.col("cand"))
         if agree is not None:
             hits = hits.filter(agree)
         place = F.col("_d_rep_lat").isNotNull() & F.col("_d_rep_lon").isNotNull()
@@ -158,6 +161,13 @@ class Geocoder:
         kept = cands.join(sure, ["line_id", "cand"], "left_anti")
         return named.select(*cands.columns).unionByName(kept)
 
+    def wild(self, asked: DataFrame, d: DataFrame) -> DataFrame:
+        """Hits of names under a wild card of the text; each wild card is uncertain, as are words left out."""
+        scope = lambda c: F.regexp_extract(c, r"^[0-9]+\|", 0)
+        d = d.withColumnRenamed("amb", "_left_out").withColumn("_scope", scope("key"))
+        hits = fuzzy_match(asked.withColumn("_scope", scope("rest")), d, "rest", on=("_scope",))
+        return hits.filter("amb > 0").withColumn("amb", F.col("amb") + F.col("_left_out")).drop("_left_out", "_scope")
+
     def stages(self, lines: DataFrame) -> DataFrame:
         """All candidates of all lines; each stage uses its input more than once and is written down."""
         c = settled(self.start(lines), "geocode-start")
@@ -259,8 +269,10 @@ class Geocoder:
             .withColumn("similarity", R.similarity())
             .withColumn("score", R.score())
             .withColumn("confident", R.confident())
+            # Kyoto's city has lots only.
+            .withColumn("rsdt_addr_flg", F.when(F.col("city") == "京都市", 0).otherwise(F.col("rsdt_addr_flg")))
         )
-        best = R.top(c, "line_id", ("cand",))
+        best = R.chosen(c, "line_id", ("cand",))
         rest = F.col("rest")
         if self.japanese:
             rest = F.when(rest == "", rest).otherwise(original_end()(F.col("input"), rest))

@@ -43,6 +43,42 @@ def test_parcel_target(spark, geocoder):
     assert geocoder.geocode(lines).first()["prc_id"] == "000010000300000"
 
 
+def test_wild_cards(spark, geocoder):
+    lines = [(1, "東京都千代?区紀尾井町1-3"), (2, "東?都千代田区紀?井町1-3")]
+    out = {r["line_id"]: r for r in geocoder.geocode(spark.createDataFrame(lines, "line_id long, address string")).collect()}
+    assert [(out[i]["match_level"], out[i]["rsdt_id"], out[i]["ambiguous_cnt"]) for i in (1, 2)] == [(6, "003", 1), (6, "003", 2)]
+
+
+def test_residence_or_lot(spark):
+    from terrane.operators import rank as R
+
+    rows = [
+        # line, target, flag, original, level, score: within two points of a residence of a residential town; the same elsewhere; too far.
+        (1, "all", 0, 1, 7, 12.0), (1, "all", 1, 1, 5, 10.0),
+        (2, "all", 0, 0, 7, 12.0), (2, "all", 1, 0, 5, 10.0),
+        (3, "all", 0, 1, 7, 12.1), (3, "all", 1, 1, 5, 10.0),
+        (4, "parcel", 0, 1, 7, 9.0), (4, "parcel", 1, 1, 5, 10.0),
+        (5, "residential", 0, 0, 7, 19.0), (5, "residential", 1, 0, 5, 10.0),
+        (6, "all", None, None, 2, 20.0), (6, "all", 0, 0, 7, 12.0),
+        (7, "all", None, None, 2, 20.0), (7, "all", None, None, 2, 12.0),
+    ]
+    c = spark.createDataFrame([(*r, 1, True, i) for i, r in enumerate(rows)], "line_id long, target string, rsdt_addr_flg int, original_flg int, match_level int, score double, matched_cnt int, confident boolean, seq int")
+    got = {r["line_id"]: (r["match_level"], r["score"]) for r in R.chosen(c).collect()}
+    assert got == {1: (5, 10.0), 2: (7, 12.0), 3: (7, 12.1), 4: (7, 9.0), 5: (5, 10.0), 6: (7, 12.0), 7: (2, 20.0)}
+
+    place = "rep_lat double, rep_lon double"
+    coder = Geocoder(Gazetteer(
+        spark.createDataFrame([(1, "東京都", "130001", 35.6, 139.7)], f"pref_key long, pref string, lg_code string, {place}"),
+        spark.createDataFrame([(11, 1, "131016", None, "千代田区", None, 35.69, 139.75)], f"city_key long, pref_key long, lg_code string, county string, city string, ward string, {place}"),
+        spark.createDataFrame([(111, 11, "0056000", "紀尾井町", None, None, 1, 0, 35.68, 139.73), (112, 11, "0057000", "永田町", None, None, 0, 0, 35.67, 139.74)], f"town_key long, city_key long, machiaza_id string, oaza_cho string, chome string, koaza string, rsdt_addr_flg int, koaza_aka_code int, {place}"),
+        spark.createDataFrame([(111, "002", "2", 35.681, 139.731), (112, "002", "2", 35.671, 139.741)], f"town_key long, blk_id string, blk_num string, {place}"),
+        None,
+        spark.createDataFrame([(t, "000020000500000", "2", "5", None, 35.683, 139.733) for t in (111, 112)], f"town_key long, prc_id string, prc_num1 string, prc_num2 string, prc_num3 string, {place}"),
+    ))
+    out = coder.geocode(spark.createDataFrame([(1, "東京都千代田区紀尾井町2-5"), (2, "東京都千代田区永田町2-5")], "line_id long, address string"))
+    assert sorted((r["line_id"], r["match_level"], r["rsdt_addr_flg"]) for r in out.collect()) == [(1, 5, 1), (2, 7, 0)]
+
+
 def test_formats(spark, geocoder):
     rows = geocoder.geocode(spark.createDataFrame(LINES[:1], "line_id long, address string")).cache()
     assert json.loads(sinks.formatted(rows, "ndjson").first()[1])["result"]["rsdt_id"] == "003"
