@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,13 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where that is unset (tests, a laptop) the context's checkpoint directory is
-    used, and as a last resort a temporary one is made and set.
+    Where that is unset the context's checkpoint directory is used. Where there is
+    neither, a temporary folder is made if the master is local (tests, a laptop):
+    on a cluster no folder of one machine will do, so that is refused.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     sc = spark.sparkContext
     if not (found := sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='terrane-')}")
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -44,6 +48,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or a longer one that no column begins with, in any case of letters."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -6,10 +6,18 @@ of conditions on statistics. A lasso logistic regression over the rules keeps a
 few with weights, and these are compiled to one Spark column expression, which
 scores every document on the JVM.
 
-Training uses at most SAMPLE labelled rows, the first by a hash of doc_id; that
-bound is the operator's parameter and the only thing that is bounded. Without
-labels every score is 0.5, with labels of one kind only their smoothed share. A
-null or empty text has statistics of zero and is scored like any other row.
+Training uses at most about SAMPLE labelled rows, those of least hashes of doc_id;
+that bound is the operator's parameter and the only thing that is bounded. Only
+the texts of these rows are looked at for the fit, and they reach the driver as
+statistics; then all texts are scored in one pass.
+
+Defined results: a null or empty text has statistics of zero and is scored like
+any other row; texts of any length are counted whole; a doc_id that has several
+labels or several labelled texts counts once, with the least; labels that are
+neither 0 nor 1, or have no doc_id, count for nothing; repeated rows are scored
+each for itself; without labels every score is 0.5, with labels of one kind only
+their smoothed share; an empty table gives an empty result. Columns whose names
+are those of statistics aren't touched.
 """
 
 from __future__ import annotations
@@ -20,10 +28,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import stage
-from terrane.llm.hashing import Powers, U, odd_constants, mix, text_buffers, word_hashes
+from terrane.llm.common import unused
+from terrane.llm.hashing import U, mix, odd_constants, text_buffers, word_hashes
 
 SAMPLE = 20_000
+#: Rows whose texts are looked at together.
+ROWS = 1024
 #: Least score of an accepted document.
 ACCEPTED = 0.7
 STATS = (
@@ -54,19 +64,24 @@ def _distinct(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
     return np.bincount(r[at], minlength=rows).astype(float), most
 
 
+def prefix_of(columns: list[str]) -> str:
+    return unused(columns, "stat_")
+
+
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and a double for each of STATS."""
+    """The columns `keep` and a double for each of STATS, named with prefix_of(keep)."""
+    prefix = prefix_of(list(keep))
 
     def run(batches):
         import pyarrow as pa
 
-        powers, weights = Powers(), odd_constants(5, 5)
+        weights = odd_constants(5, 5)
         classes = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASS.items()}
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             offsets, data = text_buffers(batch.column(batch.num_columns - 1))
             rows = batch.num_rows
             out = {k: np.zeros(rows) for k in STATS}
-            for first, hashes, bounds in word_hashes(offsets, data, powers, lower=False):
+            for first, hashes, bounds in word_hashes(offsets, data, lower=False):
                 m = len(bounds) - 1
                 a, cuts = int(offsets[first]), offsets[first : first + m + 1] - offsets[first]
                 raw = data[a : a + int(cuts[-1])]
@@ -101,12 +116,13 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
                         own = [x for x in text[cuts[i] : cuts[i + 1]].split(b"\n") if x]
                         out["dup_lines"][first + i] = 1 - len(set(own)) / max(1, len(own))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(out[k]) for k in STATS)], names=[*batch.schema.names[:-1], *STATS]
+                [*batch.columns[:-1], *(pa.array(out[k]) for k in STATS)], names=[*batch.schema.names[:-1], *(prefix + k for k in STATS)]
             )
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, kinds + ", " + ", ".join(f"{k} double" for k in STATS)
+    kinds = [f"`{k.replace('`', '``')}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+    columns = [F.col(f"`{k.replace('`', '``')}`") for k in keep]
+    return docs.select(*columns, F.col("text").cast("string").alias(prefix + "text")).mapInArrow(
+        run, ", ".join([*kinds, *(f"{prefix}{k} double" for k in STATS)])
     )
 
 
@@ -122,10 +138,10 @@ class Rule:
             out &= (x[:, f] > cut) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str) -> Column:
         out = F.lit(True)
         for f, above, cut in self.conditions:
-            c = F.col(STATS[f])
+            c = F.col(prefix + STATS[f])
             out = out & ((c > cut) if above else (c <= cut))
         return out
 
@@ -195,11 +211,11 @@ class Ensemble:
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
-        """The model as a column over STATS, 0 to 1."""
+    def score(self, prefix: str) -> Column:
+        """The model as a column over statistics, 0 to 1."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(prefix), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -226,31 +242,59 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def trained(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """The ensemble learned from the labelled rows of stats that aren't held out."""
-    known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter(
-        "doc_id is not null and y in (0, 1)"
+def sampled(labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, y) of about `sample` labels that aren't held out, or of all if they are fewer."""
+    known = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+        .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out())
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"))
     )
+    n = known.count()
+    if n <= sample:
+        return known
+    # A share of all hashes, a little less than asked for, so that chance rarely gives more.
+    share = (sample - 3 * sample**0.5) / n
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
+    """The ensemble learned from texts whose labels are sampled.
+
+    The sampled labels are broadcast: their number is bounded by `sample`.
+    """
+    known = sampled(labels, sample)
+    ids = F.broadcast(known.select("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    names = [prefix_of(["doc_id"]) + k for k in STATS]
     rows = (
-        stats.select("doc_id", *STATS)
-        .join(known.filter(~held_out()), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "y", *STATS)
-        .limit(sample)
+        statistics(texts)
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(*names)).alias("x"))
+        .join(known, "doc_id")
+        .select("doc_id", "y", "x.*")
         .toPandas()
+        .sort_values("doc_id")
     )
-    return fitted(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
+    return fitted(rows[names].to_numpy(float), rows["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs."""
-    stats = stage(statistics(docs), "quality-stats")
-    model = trained(stats, labels, sample)
-    return stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score")).withColumn(
+    model = trained(docs, labels, sample)
+    rows = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return rows.select("doc_id", held_out().alias("held_out"), model.score(prefix_of(["doc_id"])).alias("score")).withColumn(
         "predicted", (F.col("score") >= ACCEPTED).cast("int")
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier accepts; texts are never shuffled."""
-    model = trained(stage(statistics(docs), "quality-stats"), labels, sample)
-    return statistics(docs, tuple(docs.columns)).filter(model.score() >= ACCEPTED).select(*docs.columns)
+    """The rows of docs, with their columns, that the classifier accepts; texts are never shuffled.
+
+    Without labels there is nothing to accept rows by, and all are kept.
+    """
+    model = trained(docs, labels, sample)
+    if not model.rules:
+        return docs
+    rows = statistics(docs, tuple(docs.columns)).filter(model.score(prefix_of(docs.columns)) >= ACCEPTED)
+    return rows.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
