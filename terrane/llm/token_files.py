@@ -1,17 +1,21 @@
 """Token ids in binary segments, by an adaptive context-mixing range coder.
 
-A segment holds whole documents. Its ids are renamed by falling frequency and cut
-into blocks, each coded from a fresh state and checksummed, so that a damaged
-block is found and spoils no other. All blocks of a segment are coded in lockstep,
-one NumPy lane each.
-
-For each id, two tables of the block's own past guess it: what last followed the
-previous two ids, and what last followed the previous one. A symbol says which
-guess is right, or else the magnitude of the id's rank, whose place among its
-peers follows evenly spread. The symbol's frequencies mix adaptive counts of
-order 0, 1 and 2 over earlier symbols, with weights that follow how well each
-order has predicted lately; a carryless range coder of 64 bits with output
-of 16 bits turns them into the block's bytes.
+A segment holds whole documents. Its ids are renamed to ranks by falling frequency
+and cut into blocks, each coded from a fresh state and checksummed, so that damage
+stays in its block. All blocks of a segment are coded in lockstep, one NumPy lane
+each.
+
+Three orders predict each id from the block's own past. Order 2 and order 1 each
+name an id, the one that last followed the previous two ids or the previous one,
+with a count of how often in a row it was right. Order 0 gives every id a share:
+adaptive frequencies of the classes of ranks (class k: the 2**k ranks from
+2**k - 1 on), and even shares within a class, whose ids are about equally frequent
+since ranks follow frequency. The three are mixed into one distribution,
+
+    P(x) = p2 [x = named by order 2] + (1 - p2) (p1 [x = named by order 1] + (1 - p1) P0(x)),
+
+where p2 and p1 adapt to how well predictions with the same count did in the block.
+A range coder of 62 bits with carries and output of 16 bits turns P into bytes.
 
 Segment layout, little endian: magic, version u16, block size u32, documents u32,
 ids u64, blocks u32, bytes of the two tables u32 each, CRC-32 of all that and
@@ -24,33 +28,36 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.bpe import tokenizer_path, transducer
+from terrane.llm.bpe import ROWS, tokenizer_path, transducer
 from terrane.llm.common import stage
 
 MAGIC = b"TRNC"
+VERSION = 2
 HEAD = "<4sHIIQIII"
-#: Ids of a block, and of a segment at which it is closed.
-BLOCK = 4096
+#: Ids of a block at most and at least, blocks that a segment should have, ids at which it is closed.
+BLOCK, LEAST, LANES = 4096, 512, 256
 SEGMENT = 4 << 20
 #: Id after each document.
 END_ID = 1
 
 U = np.uint64
-#: Ranks that the kinds of a symbol tell apart: two guesses and eight magnitudes.
-NAMES = 4**8 - 1
-_KINDS = 10
-_SLOTS = 2048
-_BASE = np.array([0, 0, *(4**i - 1 for i in range(8))], np.int64)
-_PEERS = np.array([1, 1, *(3 * 4**i for i in range(8))], np.uint64)
-#: A count's step, the total above which a row of counts is halved, the ids
-#: between two such looks, and the most that a mixing weight reaches: chosen so
-#: that mixed totals stay below 2**16 and no interval of the coder is ever empty.
-_STEP, _FULL, _EVERY, _MOST = 12, 400, 64, 8
+#: Places of the tables of orders 1 and 2, by a hash of the context; counts of right predictions.
+_SLOTS, _RIGHT = 1024, 16
+#: Bits of a probability; the steps of the adaptive ones as shifts; the most that a mixed share may be.
+_BITS, _FAST, _SLOW = 14, 5, 5
+_ONE = 1 << _BITS
+_LOW, _HIGH = _ONE >> 9, _ONE - (_ONE >> 7)
+#: An interval is widened when it gets smaller; so many bits may be used by one id.
+_SMALL = U(1 << 46)
+_MASK = U((1 << 46) - 1)
+#: Offsets of more bits than this in a class are coded in a step of their own.
+_WIDE = 18
 
 
 class DamagedBlock(ValueError):
@@ -58,175 +65,232 @@ class DamagedBlock(ValueError):
 
 
 class Model:
-    """What coder and decoder both know before each id; one lane per block.
-
-    Counts lie by context, kind and lane, so that all work runs along the lanes.
-    """
+    """What coder and decoder both know before each id; one lane per block."""
 
-    def __init__(self, lanes: int) -> None:
-        self.lanes = lanes
+    def __init__(self, lanes: int, classes: int) -> None:
+        self.lanes, self.classes = lanes, classes
         self.lane = np.arange(lanes)
-        self.guess1 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.guess2 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.counts = [np.ones(_KINDS ** (k + 1) * lanes, np.int32) for k in range(3)]
-        self.score = [np.full(lanes, s) for s in (0.1, 0.2, 0.3)]
         self.place = self.lane * _SLOTS
-        self.kinds = (np.arange(_KINDS) * lanes)[:, None]
-        self.a = self.b = self.s1 = self.s2 = np.zeros(lanes, np.int64)
-        self.cum = np.zeros((_KINDS + 1, lanes), np.int32)
-        self.n = 0
-
-    def look(self) -> np.ndarray:
-        """Guesses, and cumulative frequencies (kinds + 1, lanes) for the next id."""
-        if self.n % _EVERY == 0:
-            self.settle()
+        #: Id named, times 16, plus how often in a row it was right.
+        self.t1 = np.zeros(lanes * _SLOTS, np.int32)
+        self.t2 = np.zeros(lanes * _SLOTS, np.int32)
+        self.p1 = np.repeat((np.arange(_RIGHT) + 1) * (_ONE // 20), lanes).astype(np.int32)
+        self.p2 = np.repeat((np.arange(_RIGHT) + 2) * (_ONE // 20), lanes).astype(np.int32)
+        #: Cumulative frequencies of the classes without the floor of one each: all alike at first.
+        self.free = np.int16(_ONE - classes - 1)
+        self.edge = np.arange(classes + 1, dtype=np.int16)[:, None]
+        self.cum = np.repeat(self.edge * np.int16(self.free // classes), lanes, axis=1)
+        self.cum[-1] = self.free
+        self.step = np.empty_like(self.cum)
+        self.above = np.empty(self.cum.shape, bool)
+        self.a = self.b = np.zeros(lanes, np.int64)
+
+    def look(self) -> None:
+        """What orders 2 and 1 name, with what weight."""
         self.at1 = self.place + (self.a & (_SLOTS - 1))
         self.at2 = self.place + (((self.a * 0x9E3779B1 + self.b * 0x85EBCA6B) >> 15) & (_SLOTS - 1))
-        self.g1, self.g2 = self.guess1[self.at1], self.guess2[self.at2]
-        one = self.s1 * (_KINDS * self.lanes) + self.lane
-        self.rows = [self.lane, one, self.s2 * (_KINDS * _KINDS * self.lanes) + one]
-        mixed = self.counts[0].reshape(_KINDS, -1) * self.weight[0]
-        for k in (1, 2):
-            mixed += self.counts[k].take(self.rows[k] + self.kinds) * self.weight[k]
-        np.cumsum(mixed, axis=0, out=self.cum[1:])
-        return self.cum
-
-    def settle(self) -> None:
-        """Now and then: weights follow the scores, and full rows of counts are halved."""
-        self.weight = [((1 + s * (_MOST - 1)).astype(np.int32)) * w for s, w in zip(self.score, (1, 2, 4), strict=True)]
-        for counts in self.counts:
-            rows = counts.reshape(-1, _KINDS, self.lanes)
-            full = rows.sum(axis=1) > _FULL
-            c, lane = np.nonzero(full)
-            if len(c):
-                rows[c, :, lane] = (rows[c, :, lane] >> 1) | 1
-
-    def learn(self, x: np.ndarray, s: np.ndarray) -> None:
-        self.guess1[self.at1] = x
-        self.guess2[self.at2] = x
-        step = s * self.lanes
-        rate = self.n % 8 == 0
-        for k in range(3):
-            at = self.rows[k] + step
-            now = self.counts[k][at]
-            self.counts[k][at] = now + _STEP
-            if rate:
-                self.score[k] += (now / self.counts[k].take(self.rows[k] + self.kinds).sum(axis=0) - self.score[k]) * 0.0625
+        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
+        self.g1, self.g2 = self.e1 >> 4, self.e2 >> 4
+        self.row1 = (self.e1 & 15) * self.lanes + self.lane
+        self.row2 = (self.e2 & 15) * self.lanes + self.lane
+        self.w1, self.w2 = self.p1[self.row1], self.p2[self.row2]
+        self.same = self.g1 == self.g2
+        self.m1 = np.where(self.same, 0, self.w1)
+
+    def shares(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of class k among the classes, of _ONE in all."""
+        at = k * self.lanes + self.lane
+        flat = self.cum.ravel()
+        first = flat[at]
+        return (first + k).astype(U), (flat[at + self.lanes] - first + 1).astype(U)
+
+    def learn(self, x: np.ndarray, k: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """x is the id, k its class; hit1: named by order 1, whatever order 2 said."""
+        self.p2[self.row2] = self.w2 + (((_HIGH - _LOW) * hit2 + _LOW - self.w2) >> _FAST)
+        asked = ~(hit2 | self.same)
+        self.p1[self.row1] = self.w1 + ((((_HIGH - _LOW) * hit1 + _LOW - self.w1) >> _FAST) * asked)
+        plain = (x << 4).astype(np.int32)
+        self.t2[self.at2] = np.where(hit2, self.e2 + ((self.e2 & 15) < _RIGHT - 1), plain)
+        self.t1[self.at1] = np.where(hit1, self.e1 + ((self.e1 & 15) < _RIGHT - 1), plain)
+        # Only where neither order named the id: the class becomes likelier.
+        np.greater(self.edge, k.astype(np.int16), out=self.above)
+        np.multiply(self.above, self.free, out=self.step)
+        self.step -= self.cum
+        self.step >>= _SLOW
+        self.step *= ~(hit2 | hit1)
+        self.cum += self.step
         self.b, self.a = self.a, x
-        self.s2, self.s1 = self.s1, s
-        self.n += 1
-
 
-def _kind(x: np.ndarray) -> np.ndarray:
-    """2 + magnitude of a rank: how many powers of four x + 1 reaches, less one."""
-    return 1 + np.searchsorted(np.array([4**i for i in range(8)]), x + 1, "right")
 
+def _class(x: np.ndarray) -> np.ndarray:
+    """k of ranks x: the bits of x + 1, less one."""
+    return np.frexp((x + 1).astype(np.float64))[1].astype(np.int64) - 1
 
-class Coder:
-    """Interval of a carryless range coder in each lane."""
 
-    def __init__(self, lanes: int) -> None:
-        self.low, self.size = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1))
+def _classes(names: int) -> int:
+    return max(1, int(names).bit_length())
 
-    def due(self):
-        """Yield the lanes that must shift 16 bits, until none must."""
-        low, size = self.low, self.size
-        at = np.flatnonzero((((low ^ (low + size)) >> U(48)) == 0) | (size < U(2**32)))
-        while len(at):
-            lo, sz = low[at], size[at]
-            straddles = ((lo ^ (lo + sz)) >> U(48)) != 0
-            sz = np.where(straddles, (U(0) - lo) & U(2**32 - 1), sz)
-            yield at, lo
-            lo, sz = lo << U(16), sz << U(16)
-            low[at], size[at] = lo, sz
-            at = at[(((lo ^ (lo + sz)) >> U(48)) == 0) | (sz < U(2**32))]
 
-
-def encode_blocks(ranks: np.ndarray) -> list[np.ndarray]:
-    """Words of each lane of ranks (lanes, ids)."""
+def encode_blocks(ranks: np.ndarray, names: int) -> list[np.ndarray]:
+    """Words of each lane of ranks (lanes, ids), all below names."""
     lanes, n = ranks.shape
-    model, coder = Model(lanes), Coder(lanes)
-    out = np.zeros((lanes, n + 64), np.uint16)
-    end = np.zeros(lanes, np.int64)
-    columns, kinds = np.ascontiguousarray(ranks.T), _kind(ranks.T)
-    for x, kind in zip(columns, kinds, strict=True):
-        if end.max() + 16 > out.shape[1]:
-            out = np.concatenate([out, np.zeros_like(out)], axis=1)
-        cum = model.look().ravel()
-        s = np.where(x == model.g2, 0, np.where(x == model.g1, 1, kind))
-        at = s * lanes + model.lane
-        first = cum[at]
-        part = coder.size // cum[-lanes:].astype(U)
-        rest = (part * (cum[at + lanes] - first).astype(U)) // _PEERS[s]
-        place = np.where(s < 2, 0, x - _BASE[s]).astype(U)
-        coder.low += part * first.astype(U) + rest * place
-        coder.size = rest
-        for at, low in coder.due():
-            out[at, end[at]] = low >> U(48)
-            end[at] += 1
-        model.learn(x, s)
+    model, classes = Model(lanes, _classes(names)), _classes(names)
+    wide = classes - 1 > _WIDE
+    low, size = np.zeros(lanes, U), np.full(lanes, U(1 << 62))
+    # The first word only takes up a carry, which there is none of.
+    room = n + 64
+    out = np.zeros(lanes * room, np.uint32)
+    at = np.arange(lanes) * room
+    top = at + room - 16
+    columns = np.ascontiguousarray(ranks.T)
+
+    def widened() -> None:
+        nonlocal low, size, at, out, room, top
+        if (at >= top).any():  # ids that cost more than a word each
+            grown = np.zeros(lanes * room * 2, np.uint32)
+            grown.reshape(lanes, -1)[:, :room] = out.reshape(lanes, -1)
+            at = at + model.lane * room
+            out, room = grown, room * 2
+            top = model.lane * room + room - 16
+        due = size < _SMALL
+        while due.any():
+            out[at] = low >> U(46)
+            low = np.where(due, (low & _MASK) << U(16), low)
+            size = np.where(due, size << U(16), size)
+            at = at + due
+            due = size < _SMALL
+
+    for column in columns:
+        x = column.astype(np.int64)
+        k = _class(x)
+        o = x - (1 << k) + 1
+        model.look()
+        hit2, hit1 = x == model.g2, x == model.g1
+        s2 = (size >> U(_BITS)) * model.w2.astype(U)
+        rest = size - s2
+        s1 = (rest >> U(_BITS)) * model.m1.astype(U)
+        rest -= s1
+        first, width = model.shares(k)
+        part = rest >> U(_BITS)
+        own = part * width
+        named = hit2 | (hit1 & ~model.same)
+        start = s2 + s1 + part * first
+        if not wide:
+            own >>= k.astype(U)
+            start += own * o.astype(U)
+        size = np.where(hit2, s2, np.where(named, s1, own))
+        low += np.where(hit2, U(0), np.where(named, s2, start))
+        widened()
+        if wide:
+            own = np.where(named, size, size >> k.astype(U))
+            low += np.where(named, U(0), own * o.astype(U))
+            size = own
+            widened()
+        model.learn(x, k, hit2, hit1)
     for _ in range(4):
-        out[model.lane, end] = coder.low >> U(48)
-        end += 1
-        coder.low <<= U(16)
-    return [out[i, : end[i]].copy() for i in range(lanes)]
-
-
-def decode_blocks(words: list[np.ndarray], n: int) -> np.ndarray:
-    """The ranks (lanes, n) that encode_blocks was given."""
+        out[at] = low >> U(46)
+        low = (low & _MASK) << U(16)
+        at = at + 1
+    used = at - model.lane * room
+    words = np.ascontiguousarray(out.reshape(lanes, room).T)
+    for i in range(int(used.max()) - 1, 0, -1):
+        words[i - 1] += words[i] >> 16
+    words = np.ascontiguousarray(words.T).astype(np.uint16)
+    return [words[i, : used[i]] for i in range(lanes)]
+
+
+def decode_blocks(words: list[np.ndarray], n: int, names: int) -> np.ndarray:
+    """The ranks (lanes, n) that encode_blocks was given; what is damaged comes out as any ranks."""
     lanes = len(words)
-    model, coder = Model(lanes), Coder(lanes)
-    longest = max(map(len, words))
-    given = np.zeros((lanes, longest + 8), np.uint16)
+    model, classes = Model(lanes, _classes(names)), _classes(names)
+    wide = classes - 1 > _WIDE
+    longest = max(map(len, words)) + 8
+    given = np.zeros((lanes, longest + 1), np.uint16)
     for i, w in enumerate(words):
         given[i, : len(w)] = w
-    code = np.zeros(lanes, U)
-    for i in range(4):
-        code = (code << U(16)) | given[:, i].astype(U)
-    read = np.full(lanes, 4)
+    ahead, size = np.zeros(lanes, U), np.full(lanes, U(1 << 62))
+    # 62 bits are looked at: three words and 14 bits of the next; from there on in steps of 16.
+    for i in range(3):
+        ahead = (ahead << U(16)) | given[:, i].astype(U)
+    ahead = (ahead << U(14)) | (given[:, 3] >> 2).astype(U)
+    given = ((given[:, :-1] & 3) << 14 | given[:, 1:] >> 2).ravel()
+    at = model.lane * longest
+    last = at + longest - 1
+    at = at + 3
+
+    def widened() -> None:
+        nonlocal ahead, size, at
+        due = size < _SMALL
+        while due.any():
+            ahead = np.where(due, (ahead << U(16)) | given[np.minimum(at, last)].astype(U), ahead)
+            size = np.where(due, size << U(16), size)
+            at = at + due
+            due = size < _SMALL
+
     out = np.zeros((n, lanes), np.int64)
     for i in range(n):
-        cum = model.look()
-        total = cum[-1].astype(U)
-        part = coder.size // total
-        ahead = code - coder.low
-        v = np.minimum(ahead // part, total - U(1)).astype(np.int32)
-        s = (cum[1:] <= v).sum(axis=0)
-        flat, at = cum.ravel(), s * lanes + model.lane
-        first = flat[at]
-        rest = (part * (flat[at + lanes] - first).astype(U)) // _PEERS[s]
-        start = part * first.astype(U)
-        place = np.minimum((ahead - start) // rest, _PEERS[s] - U(1))
-        coder.low += start + rest * place
-        coder.size = rest
-        for at, _ in coder.due():
-            code[at] = (code[at] << U(16)) | given[at, np.minimum(read[at], longest + 7)].astype(U)
-            read[at] += 1
-        x = np.where(s == 0, model.g2, np.where(s == 1, model.g1, _BASE[s] + place.astype(np.int64))).astype(np.int64)
+        model.look()
+        s2 = (size >> U(_BITS)) * model.w2.astype(U)
+        rest = size - s2
+        s1 = (rest >> U(_BITS)) * model.m1.astype(U)
+        rest -= s1
+        hit2 = ahead < s2
+        s12 = s2 + s1
+        first_hit1 = ~hit2 & (ahead < s12)
+        named = hit2 | first_hit1
+        part = rest >> U(_BITS)
+        beyond = np.where(named, U(0), ahead - s12)
+        v = np.minimum(beyond // part, U(_ONE - 1)).astype(np.int16)
+        # Edges lie at cum + edge; those up to v are counted.
+        k = ((model.cum[1:-1] + model.edge[1:-1]) <= v).sum(axis=0, dtype=np.int8).astype(np.int64)
+        first, width = model.shares(k)
+        own = part * width
+        beyond -= np.where(named, U(0), part * first)
+        if not wide:
+            own >>= k.astype(U)
+            o = np.minimum(beyond // own, (U(1) << k.astype(U)) - U(1))
+            beyond -= o * own
+        ahead = np.where(hit2, ahead, np.where(named, ahead - s2, beyond))
+        size = np.where(hit2, s2, np.where(named, s1, own))
+        widened()
+        if wide:
+            own = np.where(named, size, size >> k.astype(U))
+            o = np.where(named, U(0), np.minimum(ahead // own, (U(1) << k.astype(U)) - U(1)))
+            ahead -= o * own
+            size = own
+            widened()
+        x = np.where(hit2, model.g2, np.where(named, model.g1, (1 << k) - 1 + o.astype(np.int64)))
         out[i] = x
-        model.learn(x, s)
+        model.learn(x, k, hit2, x == model.g1)
     return np.ascontiguousarray(out.T)
 
 
-def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK) -> bytes:
-    """One segment's bytes."""
+def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int | None = None) -> bytes:
+    """One segment's bytes. Blocks are smaller where the segment has few ids, for the sake of lanes."""
     lens = np.array([len(i) for i in ids], "<u4")
     flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    seen = np.bincount(flat) if len(flat) else np.zeros(0, np.int64)
-    names = np.lexsort((np.arange(len(seen)), -seen))[: int((seen > 0).sum())]
-    if len(names) > NAMES:
-        raise ValueError(f"a segment holds at most {NAMES} different ids")
-    rank = np.zeros(len(seen), np.int64)
-    rank[names] = np.arange(len(names))
+    block = block or min(BLOCK, max(LEAST, len(flat) // LANES))
+    if len(flat) and flat.max() < 1 << 20:
+        seen = np.bincount(flat)
+        names = np.lexsort((np.arange(len(seen)), -seen))[: int((seen > 0).sum())]
+        rank = np.zeros(len(seen), np.int32)
+        rank[names] = np.arange(len(names), dtype=np.int32)
+        of = rank[flat]
+    else:
+        names, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((names, -seen))
+        rank = np.zeros(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        names, of = names[order], rank[at]
     blocks = -(-len(flat) // block)
-    ranks = np.zeros(blocks * block, np.int64)
-    ranks[: len(flat)] = rank[flat]
+    ranks = np.zeros(blocks * block, np.int32)
+    ranks[: len(flat)] = of
     width = min(block, len(flat))
-    words = encode_blocks(ranks.reshape(blocks, block)[:, :width]) if blocks else []
+    words = encode_blocks(ranks.reshape(blocks, block)[:, :width], len(names)) if blocks else []
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     table = zlib.compress(nulls.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + lens.tobytes())
     named = zlib.compress(names.astype("<u4").tobytes())
-    head = struct.pack(HEAD, MAGIC, 1, block, len(ids), len(flat), blocks, len(table), len(named)) + table + named
+    head = struct.pack(HEAD, MAGIC, VERSION, block, len(ids), len(flat), blocks, len(table), len(named)) + table + named
     raw = flat.astype("<u4")
     marks = [
         struct.pack("<III", len(w), len(part), zlib.crc32(part.tobytes()))
@@ -236,41 +300,51 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int =
     return b"".join([head, struct.pack("<I", zlib.crc32(head)), *marks, *(w.astype("<u2").tobytes() for w in words)])
 
 
-def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, ids per document and all ids; a damaged block raises DamagedBlock."""
-    magic, version, block, docs, n, blocks, t, m = struct.unpack_from(HEAD, data)
+def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """doc_ids, ids per document, all ids, and the ranges of ids that lie in damaged blocks.
+
+    A damaged head or table leaves nothing to be read: DamagedBlock.
+    """
     size = struct.calcsize(HEAD)
+    if len(data) < size + 4 or data[:4] != MAGIC:
+        raise DamagedBlock("this is no segment")
+    _, version, block, docs, n, blocks, t, m = struct.unpack_from(HEAD, data)
     at = size + t + m
-    if magic != MAGIC or version != 1 or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
+    if version != VERSION or len(data) < at + 4 or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise DamagedBlock("the segment's head is damaged")
     table = zlib.decompress(data[size : size + t])
     names = np.frombuffer(zlib.decompress(data[size + t : at]), "<u4")
     nulls = np.frombuffer(table, np.uint8, docs)
     doc_ids = np.frombuffer(table, "<i8", docs, docs)
     lens = np.frombuffer(table, "<u4", docs, docs * 9)
-    marks = np.frombuffer(data, "<u4", blocks * 3, at + 4).reshape(blocks, 3)
+    marks = np.frombuffer(data[at + 4 : at + 4 + blocks * 12].ljust(blocks * 12, b"\0"), "<u4").reshape(blocks, 3)
     at += 4 + blocks * 12
+    # What follows a mark that is damaged, or is cut off, is read as it comes and fails its own check.
     words = []
-    for w in marks[:, 0]:
-        words.append(np.frombuffer(data, "<u2", int(w), at))
-        at += int(w) * 2
+    for w in marks[:, 0].tolist():
+        words.append(np.frombuffer(data[at : at + 2 * w][: max(0, len(data) - at) // 2 * 2], "<u2"))
+        at += w * 2
     ids = np.zeros(0, "<u4")
     if blocks:
-        ranks = decode_blocks(words, min(block, n)).reshape(-1)[:n]
-        if len(names) <= (ranks.max() if n else 0):
-            raise DamagedBlock("a block is damaged")
-        ids = names[ranks].astype("<u4")
-    for i in range(blocks):
-        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != marks[i, 2]:
-            raise DamagedBlock(f"block {i} is damaged")
-    return [None if z else int(d) for z, d in zip(nulls, doc_ids, strict=True)], lens, ids
+        ranks = decode_blocks(words, min(block, n), len(names)).reshape(-1)[:n]
+        ids = names[np.clip(ranks, 0, len(names) - 1)].astype("<u4")
+    bad = [
+        (i * block, min(n, (i + 1) * block))
+        for i in range(blocks)
+        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != marks[i, 2]
+    ]
+    return [None if z else int(d) for z, d in zip(nulls, doc_ids, strict=True)], lens, ids, bad
 
 
 def written(docs: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
     """Encode documents in ascending order of doc_id; segments as stored in the shared folder.
 
     (part, segment, n_ids, data): parts follow the order of doc_id, segments the
-    order within a part. Nulls sort first; equal doc_ids keep to the text's order.
+    order within a part. Nulls sort first; equal doc_ids follow a hash of their
+    texts, by which they are also dealt out, so that one doc_id may span parts.
+    A null or empty text has the end id only. Texts of any length are whole; a
+    segment is closed after the document that fills it. An empty table gives no
+    segments. Columns besides doc_id and text aren't looked at.
     """
     from pyspark import TaskContext
 
@@ -292,47 +366,63 @@ def written(docs: DataFrame, path: str | None = None, partitions: int | None = N
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = np.array([*t.encode(text.as_py()), END_ID], np.uint32)
-                doc_ids.append(doc_id.as_py())
-                ids.append(own)
-                held += len(own)
-                if held >= SEGMENT:
-                    yield closed()
-                    doc_ids, ids, held, segment = [], [], 0, segment + 1
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                found: list[list[np.ndarray]] = [[] for _ in range(rows.num_rows)]
+                for i, some in t.coded(rows.column(1).to_pylist()):
+                    found[i].append(some)
+                for doc_id, parts in zip(rows.column(0).to_pylist(), found, strict=True):
+                    own = np.concatenate([*parts, [END_ID]]).astype(np.uint32)
+                    doc_ids.append(doc_id)
+                    ids.append(own)
+                    held += len(own)
+                    if held >= SEGMENT:
+                        yield closed()
+                        doc_ids, ids, held, segment = [], [], 0, segment + 1
         if ids:
             yield closed()
 
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(dealt.mapInArrow(run, "part int, segment int, n_ids long, data binary"), "token-segments")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    segments = dealt.select("doc_id", "text").mapInArrow(run, "part int, segment int, n_ids long, data binary")
+    return stage(segments, "token-segments")
 
 
 def read_back(segments: DataFrame, as_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the segments."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the segments.
+
+    A document that lies in a damaged block, in whole or part, has nulls for its
+    ids and their CRC; all others are whole. A damaged head stops the reading.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part, segment, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc_ids, lens, ids = unpack_segment(data.as_py())
+                doc_ids, lens, ids, bad = unpack_segment(data.as_py())
                 ends = np.cumsum(lens, dtype=np.int64)
-                raw = ids.tobytes()
+                starts = ends - lens
+                damaged = np.zeros(len(lens), bool)
+                for a, b in bad:
+                    damaged |= (starts < b) & (ends > a)
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
                 n = len(doc_ids)
-                crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lens.tolist(), strict=True)]
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 columns = [
                     pa.array([part.as_py()] * n, pa.int32()),
                     pa.array([segment.as_py()] * n, pa.int32()),
                     pa.array(doc_ids, pa.int64()),
-                    pa.array(ends - lens),
+                    pa.array(starts),
                     pa.array(lens.astype(np.int64)),
-                    pa.array(crc, pa.int64()),
+                    pa.array(crc, pa.int64(), mask=damaged),
                 ]
                 names = ["part", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"]
                 if as_ids:
-                    columns.append(pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), ids.astype(np.int32)))
+                    columns.append(pa.array([None if d else ids[a:b].astype(np.int32) for d, a, b in zip(damaged, starts, ends, strict=True)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
