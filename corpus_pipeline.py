@@ -13,12 +13,19 @@ from terrane.llm.common import documents, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go; without labels all stay.
+
+    An empty text is scored like any other.
+    """
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the least doc_id."""
+    """One document of each group of near-duplicates stays: that of the least doc_id.
+
+    Texts without words, null ones too, are alike to nothing and stay, and so do
+    rows without doc_id.
+    """
     gone = near_dedup.near_duplicates(docs, near_dedup.Plan(shingle=5, percent=80)).filter("not kept")
     return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -30,11 +37,14 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated towards the target weights; every document stays once at least."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token counts and digests of what goes to training, one row for each occurrence."""
+    """The token counts and digests of what goes to training, one row for each occurrence.
+
+    A text without words has no tokens.
+    """
     return bpe.encoded(docs)
 
 

@@ -14,8 +14,15 @@ epoch stops when the budget is met (the document that crosses it is the last). S
 a budget is missed by less than one document, and only blocks, never a whole
 source, are put in order in one task.
 
-Documents without words cost nothing and occur once in each epoch; null sources
-are one source; null texts are empty; equal doc_ids share their places.
+The unit is a word between blanks, as a JVM-side stand-in for tokens; a source in
+a script without blanks counts far too little in it.
+
+Defined results: null and empty texts, and those without words, cost nothing and
+occur once in each epoch; null sources are one source; texts of any length are
+counted whole, and a document is never cut; rows that share a doc_id are placed by
+their texts too, and only rows equal in both share a place in the order, where
+they follow each other; an empty table gives an empty result; columns of docs are
+kept apart, in a struct, so that their names can't clash.
 """
 
 from __future__ import annotations
@@ -46,6 +53,10 @@ def source_key() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(NONE))
 
 
+def tie() -> Column:
+    return F.xxhash64(whole_text().cast("string"))
+
+
 def bisected(sources: DataFrame, mix: Mixture, parts: int = 16, rounds: int = 7) -> float:
     """The least exponent in [0, 1] that keeps to the target and the limit.
 
@@ -86,7 +97,8 @@ def bisected(sources: DataFrame, mix: Mixture, parts: int = 16, rounds: int = 7)
 
 
 def order_hash(mix: Mixture, epoch: Column) -> Column:
-    return F.xxhash64(F.lit(mix.seed), epoch.cast("int"), F.col("doc_id").cast("long"))
+    """Of a row's doc_id and tie: rows of one doc_id are put apart by their texts."""
+    return F.xxhash64(F.lit(mix.seed), epoch.cast("int"), F.col("doc_id"), F.col("tie"))
 
 
 def block_of(hash_: Column) -> Column:
@@ -99,6 +111,7 @@ def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             source_key().alias("source"),
+            tie().alias("tie"),
             F.size(words(whole_text().cast("string"))).cast("long").alias("n_tokens"),
         ),
         "mix-sizes",
@@ -135,7 +148,7 @@ def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
         .select("source", F.col("c.block").alias("cut_block"), F.col("c.before").alias("before"))
     )
     edge = last.join(cut, "source").filter("block = cut_block")
-    gone = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    gone = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1))
     edge = (
         edge.withColumn("gone", F.col("before") + F.coalesce(gone, F.lit(0)))
         .filter("gone < rest")
@@ -146,29 +159,33 @@ def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
-    """docs with a row for each occurrence, and epoch, block and order hash.
+    """A row for each occurrence: doc (a struct of the columns of docs), and its place:
+    source, weight, epoch, block and the hash that orders it.
 
     The plan has one row for each source; texts aren't shuffled where it is small
     enough to be broadcast, which adaptive execution decides by its size.
     """
     mix = mix or Mixture()
-    plan = planned(docs, mix).select(F.col("source").alias("_source"), "weight", "epochs", "blocks", "cut_block", "cut_hash")
-    rows = docs.withColumn("_source", source_key()).join(plan, "_source")
+    plan = planned(docs, mix).select("source", "weight", "epochs", "blocks", "cut_block", "cut_hash")
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("doc"), source_key().alias("source"), F.col("doc_id").cast("long").alias("doc_id"), tie().alias("tie"))
+    rows = rows.join(plan, "source")
     h = order_hash(mix, F.col("epochs"))
     once_more = F.coalesce(
         (block_of(h) < F.col("cut_block")) | ((block_of(h) == F.col("cut_block")) & (h <= F.col("cut_hash"))), F.lit(False)
     )
-    copies = F.col("epochs") + once_more.cast("int")
-    rows = rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _copies - 1)")))
-    rows = rows.withColumn("_h", order_hash(mix, F.col("epoch"))).withColumn("block", block_of(F.col("_h")))
-    return rows.drop("epochs", "blocks", "cut_block", "cut_hash", "_copies")
+    rows = rows.withColumn("copies", F.col("epochs") + once_more.cast("int")).filter("copies > 0")
+    rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
+    rows = rows.withColumn("order", order_hash(mix, F.col("epoch"))).withColumn("block", block_of(F.col("order")))
+    return rows.select("doc", "source", "weight", "epoch", "block", "order")
 
 
 def placed(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
-    """Each occurrence of each document and its place in its source's block permutation."""
+    """Each occurrence of each document and its place in its source's block permutation.
+    """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    rows = mixed(narrow, mix).withColumn("n_tokens", F.size(words(whole_text().cast("string"))).cast("long"))
-    slot = F.row_number().over(Window.partitionBy("_source", "epoch", "block").orderBy("_h", "doc_id"))
-    return rows.select(
-        "doc_id", F.col("_source").alias("source"), "_source", "epoch", "block", "n_tokens", "weight", "_h"
-    ).select("doc_id", "source", "epoch", "block", (slot - 1).cast("long").alias("slot"), "n_tokens", "weight")
+    rows = mixed(narrow, mix).withColumn("n_tokens", F.size(words(whole_text("doc.text").cast("string"))).cast("long"))
+    slot = F.row_number().over(Window.partitionBy("source", "epoch", "block").orderBy("order", "doc_id", "n_tokens"))
+    return rows.select("doc.doc_id", "source", "epoch", "block", "n_tokens", "weight", "order").select(
+        "doc_id", "source", "epoch", "block", (slot - 1).cast("long").alias("slot"), "n_tokens", "weight"
+    )

@@ -8,38 +8,50 @@ terms; a term's disclosure is estimated over the corpus, in whole texts:
     bits      = log2(posterior / (texts that hold the entity / all texts))
 
 A term that occurs with one entity in at least `support` different texts, or near
-its mentions (eight words on either side in the line) in as many different
+its mentions (eight whole words on either side in the line) in as many different
 contexts, and passes both thresholds reveals that entity. Every occurrence of it,
-in any text, becomes a span of kind `term`; sanitising generalises it, or removes
-it where the posterior is near certain. Copies of a text or of a context count once.
+in any text, becomes a span of kind `term`; sanitising generalises it to the kind
+of entity that it reveals, or removes it where the posterior is near certain.
+Copies of a text or of a context count once.
 
 Texts that hold entities and candidate terms are marked in tables of fixed size,
 and words too common for any entity of a text are left out of it, only to spare
-the later passes most words; the counts come from exact joins.
-
-A null text is empty; nulls and repeated rows keep their rows; a corpus without
-protected entities has no terms.
+the later passes most words; the counts come from exact joins. A text is known by
+128 bits of its SHA-256.
+
+Defined results: a null text is empty and stays null when sanitised; texts of any
+length are read whole; nulls and repeated rows keep their rows, each answered for
+itself; spans that begin at one place are listed by kind, and where spans overlap
+the first, or at one place the longest, names what is replaced; an empty table
+gives an empty result, a corpus without protected entities has no terms; columns
+besides doc_id and text are only carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from terrane.llm.common import stage, whole_text
+from terrane.llm.common import stage, unused, whole_text
 
 #: Kinds of base spans, in the order in which ties are listed; then terms.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Cells of the bitmap of candidate terms.
-CELLS = 1 << 20
+#: Cells that texts and candidate terms are marked in.
+TEXT_CELLS, TERM_CELLS = 1 << 20, 1 << 24
+#: Entries that a task holds of texts or words that it has seen.
+HELD = 1 << 18
 #: Words on either side of a mention that count as near.
 NEAR = 8
 #: So many of the commonest words are left out early; the others go by the exact counts.
 COMMON = 100_000
+#: Up to so many revealing terms are sent to the tasks; more are joined.
+SENT = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,69 +118,78 @@ def entity(value: str, kind: str) -> str:
 
 
 def near_terms(text: str, spans: list[tuple[int, int, str]]):
-    """(entity, term, context) for each mention and each term near it."""
+    """(entity, term, context) for each mention and each whole word near it in its line."""
+    if not spans:
+        return
+    found = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
     for start, end, kind in spans:
-        left = text[max(text.rfind("\n", 0, start) + 1, start - 400) : start]
+        first = text.rfind("\n", 0, start) + 1
         stop = text.find("\n", end)
-        right = text[end : min(len(text) if stop < 0 else stop, end + 400)]
-        near = [w.lower() for w in [*_TERM.findall(left)[-NEAR:], *_TERM.findall(right)[:NEAR]]]
+        k = bisect_right(ends, start)
+        left = [w for w in found[max(0, k - NEAR) : k] if w[0] >= first]
+        k = bisect_left(starts, end)
+        right = [w for w in found[k : k + NEAR] if stop < 0 or w[1] <= stop]
+        near = [text[a:b].lower() for a, b in (*left, *right)]
         context = zlib.crc32(" ".join(near).encode())
         name = entity(text[start:end], kind)
         for term in set(near):
             yield name, term, context
 
 
-def cell(term: str) -> int:
-    return zlib.crc32(term.encode()) % CELLS
-
-
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans, entities and near (entity, term, context) of each row."""
+    """text_key, entities and near (entity, term, context) of each row that holds an entity."""
 
     def run(batches):
         import pyarrow as pa
 
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]))
         for batch in batches:
-            spans = [base_spans(t.as_py() or "") for t in batch.column(2)]
-            terms = [list(near_terms(t.as_py(), s)) if s else [] for t, s in zip(batch.column(2), spans, strict=True)]
-            names = [sorted({entity(t.as_py()[a:b], k) for a, b, k in s}) if s else [] for t, s in zip(batch.column(2), spans, strict=True)]
+            keys, names, terms = [], [], []
+            for key, whole in zip(batch.column(1), batch.column(2), strict=True):
+                text = whole.as_py()
+                if spans := base_spans(text):
+                    keys.append(key.as_py())
+                    names.append(sorted({entity(text[a:b], k) for a, b, k in spans}))
+                    terms.append([dict(zip(("entity", "term", "context"), x, strict=True)) for x in near_terms(text, spans)])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([[dict(zip(("start", "end", "kind"), x, strict=True)) for x in s] for s in spans], span),
-                    pa.array(names, pa.list_(pa.string())),
-                    pa.array([[dict(zip(("entity", "term", "context"), x, strict=True)) for x in n] for n in terms], near),
-                ],
-                names=["doc_id", "text_key", "spans", "entities", "near"],
+                [pa.array(keys, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(terms, near)],
+                names=["text_key", "entities", "near"],
             )
 
     return keyed(docs).mapInArrow(
-        run,
-        "doc_id long, text_key long, spans array<struct<start: long, end: long, kind: string>>, "
-        "entities array<string>, near array<struct<entity: string, term: string, context: long>>",
+        run, "text_key binary, entities array<string>, near array<struct<entity: string, term: string, context: long>>"
     )
 
 
+def text_key():
+    return F.substring(F.unhex(F.sha2(whole_text().cast("string").cast("binary"), 256)), 1, 16)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = whole_text().cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text.alias("text"))
 
 
 def least_counts(docs: DataFrame) -> DataFrame:
     """(term, least): so many different texts hold a word at the least.
 
-    Each partition counts its own different texts, one row for each word it
-    holds; the greatest of these counts is a lower bound for the corpus.
+    Each task counts its own different texts, HELD words or texts at a time, and
+    gives a row for each word; the greatest of these counts is a lower bound for
+    the corpus.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        texts: set[int] = set()
+        texts: set[bytes] = set()
         counts: dict[str, int] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"]
+            )
+
         for batch in batches:
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if key in texts:
@@ -176,40 +197,69 @@ def least_counts(docs: DataFrame) -> DataFrame:
                 texts.add(key)
                 for word in {m.lower() for m in set(_TERM.findall(text.as_py()))}:
                     counts[word] = counts.get(word, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"]
-        )
+                if len(counts) >= HELD or len(texts) >= HELD:
+                    yield out()
+                    texts, counts = set(), {}
+        yield out()
 
     return keyed(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.max("n").alias("least"))
 
 
+def marked(cells: DataFrame, size: int) -> bytes:
+    """Bits of the cells (column c): rows of 4 KB reach the driver, size / 32768 of them at most."""
+    rows = (
+        cells.groupBy(F.expr("bitmap_bucket_number(c + 1)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c + 1))").alias("bits"))
+        .collect()
+    )
+    out = bytearray(size // 8 + 4096)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096  # buckets of 32768 cells count from 1
+        out[at : at + 4096] = r["bits"]
+    return bytes(out)
+
+
+def is_marked(bits: bytes, cell: int) -> bool:
+    return bool(bits[cell >> 3] >> (cell & 7) & 1)
+
+
 def text_terms(docs: DataFrame, held: DataFrame, common: dict[str, int], posterior: float) -> DataFrame:
     """(text_key, entities, terms) of each different text in held, without the words
     that are in too many texts (common: at the least) to reach the posterior there.
 
-    A term is free where it stands outside of all base spans once at least.
+    A term is free where it stands outside of all base spans once at least. What
+    is known of a text's entities is, in its cell, a power of two that none of
+    them passes in texts.
     """
-    import numpy as np
-
     most = F.aggregate("entities", F.lit(0).cast("long"), lambda a, e: F.greatest(a, e["with_entity"]))
-    tops = held.groupBy(F.pmod("text_key", F.lit(CELLS)).alias("c")).agg(F.max(most).alias("most")).collect()
-    bounds = np.zeros(CELLS, np.int64)
-    for r in tops:
-        bounds[r["c"]] = r["most"]
+    cell = F.crc32("text_key") % TEXT_CELLS
+    tops = stage(held.groupBy(cell.alias("c")).agg(F.ceil(F.log2(F.max(most))).cast("int").alias("power")), "pii-cells")
+    levels = bytearray(TEXT_CELLS)
+    for (power,) in tops.select("power").distinct().sort("power").collect():
+        bits = marked(tops.filter(F.col("power") == power), TEXT_CELLS)
+        for at, byte in enumerate(bits):
+            if byte:
+                for k in range(8):
+                    if byte >> k & 1:
+                        levels[8 * at + k] = power + 1
+    bounds = bytes(levels)
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("term", pa.string()), ("free", pa.bool_())]))
-        texts: set[int] = set()
+        texts: set[bytes] = set()
         for batch in batches:
-            keys: list[int] = []
+            keys: list[bytes] = []
             lists: list[list[dict]] = []
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                bound = int(bounds[key % CELLS])
-                if not bound or key in texts:
+                power = bounds[zlib.crc32(key) % TEXT_CELLS]
+                if not power or key in texts:
                     continue
+                if len(texts) >= HELD:  # a text met again is left out later
+                    texts = set()
                 texts.add(key)
+                bound = 1 << (power - 1)
                 whole = text.as_py()
                 parts, at = [], 0
                 for a, b, _ in base_spans(whole):
@@ -220,51 +270,48 @@ def text_terms(docs: DataFrame, held: DataFrame, common: dict[str, int], posteri
                 found = {m.lower() for m in set(_TERM.findall(whole))}
                 keys.append(key)
                 lists.append([{"term": w, "free": w in free} for w in found if bound >= posterior * common.get(w, 0)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(lists, kind)], names=["text_key", "terms"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, kind)], names=["text_key", "terms"])
 
-    words = keyed(docs).mapInArrow(run, "text_key long, terms array<struct<term: string, free: boolean>>").filter(F.size("terms") > 0)
+    words = keyed(docs).mapInArrow(run, "text_key binary, terms array<struct<term: string, free: boolean>>").filter(F.size("terms") > 0)
     return words.dropDuplicates(["text_key"]).join(held, "text_key")
 
 
-def occurrences(docs: DataFrame, cells: list[int]) -> DataFrame:
-    """text_key, term, start, end of the words whose cell is marked."""
-    marked = frozenset(cells)
+def holders(docs: DataFrame, bits: bytes) -> DataFrame:
+    """text_key, term: the words of each text whose cell is marked."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[str, bool] = {}
+        seen: dict[str, str | None] = {}
         for batch in batches:
-            out: list[tuple] = []
+            keys, terms = [], []
             for key, text in zip(batch.column(1), batch.column(2), strict=True):
-                for m in _TERM.finditer(text.as_py()):
-                    word = m[0].lower()
-                    hit = seen.get(word)
-                    if hit is None:
-                        if len(seen) > 500_000:
+                own = set()
+                for word in set(_TERM.findall(text.as_py())):
+                    hit = seen.get(word, "")
+                    if hit == "":
+                        if len(seen) >= HELD:
                             seen.clear()
-                        hit = seen[word] = zlib.crc32(word.encode()) % CELLS in marked
-                    if hit:
-                        out.append((key.as_py(), word, m.start(), m.end()))
-            k, w, a, b = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int64()), pa.array(w, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                names=["text_key", "term", "start", "end"],
-            )
-
-    return keyed(docs).mapInArrow(run, "text_key long, term string, start long, end long")
+                        hit = word.lower()
+                        if not is_marked(bits, zlib.crc32(hit.encode()) % TERM_CELLS):
+                            hit = None
+                        seen[word] = hit
+                    if hit is not None:
+                        own.add(hit)
+                keys += [key.as_py()] * len(own)
+                terms += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"])
 
+    return keyed(docs).mapInArrow(run, "text_key binary, term string")
 
-def marked_cells(terms: DataFrame) -> list[int]:
-    """The cells of the bitmap that terms fall in: CELLS numbers at most."""
-    mark = F.udf(cell, "int")
-    return [r[0] for r in terms.select("term").distinct().select(mark("term").alias("c")).distinct().collect()]
 
+def revealing(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame | None:
+    """(term, posterior, bits, kind): terms and the kind of entity that they reveal most surely.
 
-def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataFrame, DataFrame] | None:
-    """(terms with posterior and bits, occurrences), or None where no text holds an entity with a candidate."""
+    None where no text holds an entity with a candidate.
+    """
+    rule = rule or Disclosure()
+    base = stage(base_table(docs), "pii-base")
     near = base.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*").distinct()
     pairs = stage(
         near.groupBy("entity", "term")
@@ -274,7 +321,7 @@ def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataF
         "pii-pairs",
     )
     mentions = base.select("text_key", F.explode("entities").alias("entity")).distinct()
-    total = base.select("text_key").distinct().count()
+    total = docs.select(text_key().alias("text_key")).distinct().count()
     # An entity in too few texts has near terms only; one in too many reveals too few bits with any term.
     with_entity = mentions.groupBy("entity").agg(F.count("*").alias("with_entity"))
     with_entity = with_entity.join(pairs.select("entity", F.lit(True).alias("_near")).distinct(), "entity", "left")
@@ -296,7 +343,7 @@ def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataF
         .groupBy("entity", "with_entity", F.col("t.term").alias("term"))
         .agg(F.count("*").alias("both"), F.count_if("t.free").alias("free"))
     )
-    # Words too common to reach the posterior go before any of their places are listed.
+    # Words too common to reach the posterior go before the texts that hold them are listed.
     together = (
         together.join(pairs.withColumn("_near", F.lit(True)), ["entity", "term"], "left")
         .filter((F.col("free") >= rule.support) | F.col("_near"))
@@ -304,106 +351,138 @@ def revealing(docs: DataFrame, base: DataFrame, rule: Disclosure) -> tuple[DataF
         .filter(F.col("both") >= rule.posterior * F.coalesce("least", F.lit(0)))
     )
     together = stage(together.select("entity", "with_entity", "term", "both"), "pii-possible")
-    if not (cells := marked_cells(together)):
+    if together.isEmpty():
         return None
-    seen = stage(occurrences(docs, cells), "pii-words")
-    with_term = seen.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    bits = marked(together.select((F.crc32(F.col("term").cast("binary")) % TERM_CELLS).alias("c")), TERM_CELLS)
+    seen = holders(docs, bits).distinct()
+    with_term = seen.groupBy("term").agg(F.count("*").alias("with_term"))
     terms = (
         together.join(with_term, "term")
         .withColumn("posterior", F.col("both") / F.col("with_term"))
         .withColumn("bits", F.log2(F.col("posterior") * F.lit(float(total)) / F.col("with_entity")))
         .filter((F.col("posterior") >= rule.posterior) & (F.col("bits") >= rule.bits))
         .groupBy("term")
-        .agg(F.max("posterior").alias("posterior"), F.max("bits").alias("bits"))
+        .agg(F.max(F.struct("posterior", "bits", F.substring_index("entity", ":", 1).alias("kind"))).alias("x"))
+        .select("term", "x.*")
     )
-    return stage(terms, "pii-terms"), seen
-
-
-def all_spans(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
-    """doc_id, text_key, base (array of start, end, kind) and terms (also posterior)."""
-    rule = rule or Disclosure()
-    base = stage(base_table(docs), "pii-base")
-    found = revealing(docs, base, rule)
-    rows = base.withColumnRenamed("spans", "base").drop("entities", "near")
-    if found is None:
-        return rows.withColumn("terms", F.expr("cast(array() as array<struct<start: long, end: long, kind: string, posterior: double>>)"))
-    terms, seen = found
-    by_text = (
-        seen.distinct()
-        .join(terms, "term")
-        .groupBy("text_key")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), "posterior"))).alias("terms"))
-    )
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.join(by_text, "text_key", "left").withColumn("terms", F.coalesce(free, F.expr("slice(terms, 1, 0)"), F.expr(
-        "cast(array() as array<struct<start: long, end: long, kind: string, posterior: double>>)")))
-
-
-def found_spans(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
+    return stage(terms, "pii-terms")
+
+
+def term_spans(text: str, spans: list[tuple[int, int, str]], terms: dict) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the words of a text that are terms, outside of its base spans."""
+    if not any(w.lower() in terms for w in set(_TERM.findall(text))):
+        return []
+    out, k = [], 0
+    by_start = sorted(spans)
+    reach = 0
+    for m in _TERM.finditer(text):
+        word = m[0].lower()
+        if word in terms:
+            while k < len(by_start) and by_start[k][0] < m.end():
+                reach = max(reach, by_start[k][1])
+                k += 1
+            if reach <= m.start():
+                out.append((m.start(), m.end(), word))
+    return out
+
+
+def with_terms(docs: DataFrame, terms: DataFrame | None, sent: int = SENT):
+    """(docs with a column `of`, what tasks know): the terms of a text, by a closure or by a join.
+
+    The closure holds at most `sent` terms; where there are more, each text that
+    holds some gets them as a map in the column `of`, joined on the text's key.
+    """
+    of = unused(docs.columns, "of")
+    none = F.lit(None).cast("map<string, struct<posterior: double, kind: string>>")
+    if terms is None:
+        return docs.withColumn(of, none), of, {}
+    if terms.count() <= sent:
+        return docs.withColumn(of, none), of, {r["term"]: (r["posterior"], r["kind"]) for r in terms.collect()}
+    key = unused([*docs.columns, of], "key")
+    bits = marked(terms.select((F.crc32(F.col("term").cast("binary")) % TERM_CELLS).alias("c")), TERM_CELLS)
+    own = (
+        holders(docs, bits).distinct().join(terms, "term")
+        .groupBy(F.col("text_key").alias(key))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("posterior", "kind")))).alias(of))
+    )
+    return docs.withColumn(key, text_key()).join(own, key, "left").drop(key), of, {}
+
+
+def found_spans(docs: DataFrame, rule: Disclosure | None = None, sent: int = SENT) -> DataFrame:
     """Counts and digests of each row's spans."""
-    rows = all_spans(docs, rule)
-
-    def listed(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    import hashlib
 
-    def number(kind):
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("string").alias("text"))
+    rows, of, known = with_terms(narrow, revealing(narrow, rule), sent)
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_term"]
 
-    def ordered(s, rank):
-        return F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
+    def run(batches):
+        import pyarrow as pa
 
-    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    both = F.sort_array(
-        F.concat(
-            F.transform("base", lambda s: ordered(s, rank(s))),
-            F.transform("terms", lambda s: ordered(s, rank(s))),
-        )
-    )
-    return rows.select(
-        "doc_id",
-        *(number(k) for k in KINDS[:4]),
-        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        listed(both).alias("spans"),
-        F.size("terms").cast("long").alias("n_term"),
+        for batch in batches:
+            out = []
+            for text, own in zip(batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                base = base_spans(text)
+                terms = term_spans(text, base, known or dict(own.as_py() or ()))
+                listed = [f"{k}:{a}:{b}" for a, b, k in base]
+                every = sorted([*base, *((a, b, KINDS[4]) for a, b, _ in terms)], key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if terms else base
+                kinds = [k for _, _, k in base]
+                out.append((
+                    *(kinds.count(k) for k in KINDS[:4]),
+                    hashlib.sha256(",".join(listed).encode()).hexdigest(),
+                    ",".join(f"{k}:{a}:{b}" for a, b, k in every),
+                    len(terms),
+                ))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+    return rows.select("doc_id", "text", of).mapInArrow(
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long"
     )
 
 
-def sanitised(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
+def sanitised(docs: DataFrame, rule: Disclosure | None = None, sent: int = SENT) -> DataFrame:
     """docs with its columns, each span of its text replaced and n_chars as it is now.
 
-    Base spans become <EMAIL> and the like; a revealing term is generalised to
-    <TERM>, or removed where its posterior is near certain. Overlapping spans are
-    replaced as one, named after the first. A null text stays null.
+    Base spans become <EMAIL> and the like; a revealing term is generalised to the
+    kind of entity that it reveals (<EMAIL-TERM>), or removed where its posterior
+    is near certain. Overlapping spans are replaced as one, named after the first.
+    A null text stays null.
     """
     rule = rule or Disclosure()
-    spans = all_spans(docs, rule)
-    spans = spans.filter((F.size("base") > 0) | (F.size("terms") > 0))
-    by_text = spans.groupBy("text_key").agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
+    rows, of, known = with_terms(docs, revealing(docs, rule), sent)
     certain = rule.certain
 
-    def replaced(texts, bases, terms):
+    def replaced(texts, own):
         import pandas as pd
 
         out = []
-        for text, base, more in zip(texts, bases, terms, strict=True):
-            if text is None or base is None:
+        for text, more in zip(texts, own, strict=True):
+            if not text:
+                out.append(text)
+                continue
+            base = base_spans(text)
+            terms = known or ({k: tuple(v.values()) if isinstance(v, dict) else tuple(v) for k, v in dict(more).items()} if more is not None else {})
+            marks = [(a, b, f"<{k.upper()}>") for a, b, k in base]
+            for a, b, word in term_spans(text, base, terms) if terms else ():
+                posterior, kind = terms[word]
+                marks.append((a, b, "" if posterior >= certain else f"<{kind.upper()}-TERM>"))
+            if not marks:
                 out.append(text)
                 continue
-            marks = [(s["start"], s["end"], f"<{s['kind'].upper()}>") for s in base]
-            marks += [(s["start"], s["end"], "" if s["posterior"] >= certain else "<TERM>") for s in more]
             parts, at = [], 0
-            for a, b, name in sorted(marks, key=lambda m: m[:2]):
+            for a, b, name in sorted(marks, key=lambda m: (m[0], -m[1])):
                 if a >= at:
                     parts += [text[at:a], name]
                 at = max(at, b)
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    by_pandas = F.pandas_udf(replaced, "string")
-    keyed_docs = docs.withColumn("_key", F.xxhash64(whole_text().cast("string")))
-    joined = keyed_docs.join(by_text.withColumnRenamed("text_key", "_key"), "_key", "left")
-    text = F.when(F.col("_base").isNull(), F.col("text")).otherwise(by_pandas("text", "_base", "_terms"))
-    out = joined.withColumn("text", text)
+    replace_all = F.pandas_udf(replaced, "string", functionType=PandasUDFType.SCALAR)
+    changed = {"text": replace_all(F.col("text").cast("string"), F.col(of))}
+    out = rows.withColumns(changed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(whole_text()).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))

@@ -1,18 +1,26 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records hash by doc_id into thousands of slots that never change. Bytes and rows
-are aggregated for each slot; a map says which shard each slot lives on. Every
-edit of the map (balancing by bytes, growing by a shard) makes a new version that
-moves whole slots only, and all versions are stored as one table.
+Records hash by doc_id and text into thousands of slots that never change. Bytes
+and rows are aggregated for each slot; a map says which shard each slot lives on.
+Every edit of the map (balancing by bytes, growing by a shard) starts from the
+newest stored version, moves whole slots only, no more than it needs, and makes a
+new version; all versions are stored as one table.
 
 The map has at most SLOTS rows for each version, so it may live on the driver and
-be broadcast, whatever the input's size. A null text has no bytes, a null doc_id
-hashes like any other value; repeated rows take their own places in their slot.
-An empty table gives an empty result.
+be broadcast, whatever the input's size. Since the text is part of the hash, rows
+that share a doc_id, or have none, spread over slots; only rows equal in both
+share one for certain.
+
+Defined results: a null text has no bytes, a null doc_id hashes like any other
+value; texts of any length are one record and never cut, so that one larger than a
+shard's share leaves its shard too large; repeated rows, and others that tie, take
+places of their own in their slot; an empty table gives an empty result; columns
+besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +41,7 @@ def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + HEADER).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(slots)).cast("int").alias("vslot"),
     )
 
 
@@ -48,24 +56,43 @@ def first_map(shards: int, slots: int = SLOTS) -> list[int]:
     return [s % shards for s in range(slots)]
 
 
-def balanced_map(old: list[int], loads: dict[int, int], shards: int) -> list[int]:
-    """Next version, near equal in bytes: slots by falling size, each to the lightest shard.
+def balanced_map(old: list[int], loads: dict[int, int], shards: int, near: float = 0.001) -> list[int]:
+    """Next version, near equal in bytes, by moves of slots from the fullest to the emptiest shards.
 
-    A slot stays where it is if its shard is as light as any; so a map that is
-    balanced already hardly moves.
+    Slots on shards that are gone move first. Then, while a shard is off the mean
+    by more than `near` of it, the fullest gives the emptiest the slot whose size
+    is nearest to half of what they differ by, as long as that brings them nearer.
+    A map whose loads have hardly changed is hardly edited.
     """
-    heap = [(0, k) for k in range(shards)]
-    heapq.heapify(heap)
-    weight, new = [0] * shards, list(old)
-    for slot in sorted(loads, key=lambda s: (-loads[s], s)):
-        while heap[0][0] != weight[heap[0][1]]:
-            heapq.heappop(heap)
-        to = heap[0][1]
-        if old[slot] < shards and weight[old[slot]] == weight[to]:
-            to = old[slot]
-        weight[to] += loads[slot]
+    new, weight = list(old), [0] * shards
+    own: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for slot, shard in enumerate(old):
+        if shard < shards:
+            weight[shard] += loads.get(slot, 0)
+            own[shard].append((loads.get(slot, 0), slot))
+    for size, slot in sorted(((loads.get(s, 0), s) for s, k in enumerate(old) if k >= shards), reverse=True):
+        to = min(range(shards), key=lambda k: (weight[k], k))
         new[slot] = to
-        heapq.heappush(heap, (weight[to], to))
+        weight[to] += size
+        own[to].append((size, slot))
+    for slots in own:
+        slots.sort()
+    mean = sum(weight) / shards
+    for _ in range(4 * len(old)):
+        full = max(range(shards), key=lambda k: (weight[k], -k))
+        bare = min(range(shards), key=lambda k: (weight[k], k))
+        gap = weight[full] - weight[bare]
+        if max(weight[full] - mean, mean - weight[bare]) <= near * mean:
+            break
+        at = bisect.bisect_left(own[full], (gap / 2, 0))
+        near_half = [k for k in (at - 1, at) if 0 <= k < len(own[full]) and 0 < own[full][k][0] < gap]
+        if not near_half:
+            break
+        size, slot = own[full].pop(min(near_half, key=lambda k: abs(own[full][k][0] - gap / 2)))
+        new[slot] = bare
+        bisect.insort(own[bare], (size, slot))
+        weight[full] -= size
+        weight[bare] += size
     return new
 
 
@@ -101,29 +128,46 @@ def grown_map(old: list[int], loads: dict[int, int]) -> list[int]:
     return new
 
 
-def stored_maps(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The versioned map (version, vslot, shard), written to the shared folder."""
-    rows = [(v, slot, shard) for v, m in enumerate(versions, 1) for slot, shard in enumerate(m)]
-    return stage(spark.createDataFrame(rows, "version int, vslot int, shard int").coalesce(1), "slot-map")
+MAP = "version int, vslot int, shard int"
+
+
+def newest(maps: DataFrame, slots: int = SLOTS) -> tuple[int, list[int]]:
+    """The newest version of a stored map: its number and the shard of each slot."""
+    rows = maps.filter(F.col("version") == maps.agg(F.max("version")).first()[0]).select("version", "vslot", "shard").collect()
+    if sorted(r["vslot"] for r in rows) != list(range(slots)):
+        raise ValueError(f"the stored map isn't one of {slots} slots")
+    return rows[0]["version"], [r["shard"] for r in sorted(rows, key=lambda r: r["vslot"])]
+
+
+def with_version(spark: SparkSession, maps: DataFrame | None, version: int, new: list[int]) -> DataFrame:
+    """The stored map (version, vslot, shard) with one more version, in the shared folder."""
+    rows = spark.createDataFrame([(version, slot, shard) for slot, shard in enumerate(new)], MAP)
+    return stage((rows if maps is None else maps.unionByName(rows)).coalesce(1), "slot-map")
 
 
-def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps: DataFrame | None = None) -> DataFrame:
     """Each record's shard under the balanced map, and its gapless place in the shard.
 
-    A place is the sum of the rows of the shard's earlier slots plus the rank in
-    the slot, so that no task ever sees more than a slot's records.
+    maps: the stored map whose newest version is edited; without one, version 1
+    deals the slots in turn and version 2 balances them. A place is the sum of the
+    rows of the shard's earlier slots plus the rank in the slot, so that no task
+    ever sees more than a slot's records.
     """
     spark = docs.sparkSession
     placed = stage(slotted(docs, slots), "slotted")
     loads = slot_loads(placed)
-    first = first_map(shards, slots)
-    now = balanced_map(first, {s: b for s, (b, _) in loads.items()}, shards)
-    maps = stored_maps(spark, [first, now])
+    if maps is None:
+        maps = with_version(spark, None, 1, first_map(shards, slots))
+    version, old = newest(maps, slots)
+    now = balanced_map(old, {s: b for s, (b, _) in loads.items()}, shards)
+    if now != old:
+        version += 1
+        maps = with_version(spark, maps, version, now)
     used, starts = [0] * shards, []
     for slot, shard in enumerate(now):
         starts.append((slot, used[shard]))
         used[shard] += loads.get(slot, (0, 0))[1]
-    current = maps.filter("version = 2").select("vslot", "shard")
+    current = maps.filter(F.col("version") == version).select("vslot", "shard")
     bounds = spark.createDataFrame(starts, "vslot int, before long")
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     return (
@@ -138,5 +182,6 @@ def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
             (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             F.col("vslot").alias("virtual_slot"),
+            F.lit(version).alias("map_version"),
         )
     )
