@@ -6,28 +6,16 @@ rest is plain Python on strings, applied to Arrow batches by `python_text`.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrane.functions.constants import (
-    BANGAICHI,
-    COUNTERS,
-    DASH,
-    DASHES,
-    KANJI_DIGITS,
-    MUBANCHI,
-    OAZA_BANCHO,
-    OAZA_CENTER,
-    SPACE,
-    TEN,
-)
+from terrane.functions.constants import BANGAICHI, DASH, DASHES, MUBANCHI, OAZA_BANCHO, OAZA_CENTER, SPACE
+from terrane.functions.written import _ASCII, _WIDE, UNREADABLE, Written, bracketed, hiragana_text, kan2num, kana_map, normalised, numeral, spaced
 
-_ASCII = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
-_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _ASCII)
+__all__ = ["kan2num", "numeral"]
 
 
 def hankaku(c: Column) -> Column:
@@ -35,19 +23,8 @@ def hankaku(c: Column) -> Column:
     return F.translate(c, _WIDE, _ASCII)
 
 
-def kana_map() -> dict[str, str]:
-    """Katakana to hiragana by the offset of their blocks; small kana become large.
-
-    The syllables ka, ke, ga and ge, which place names write alike, meet in one.
-    """
-    small = dict(zip("ぁぃぅぇぉっゃゅょゎゕゖ", "あいうえおつやゆよわけけ", strict=True))
-    out = {chr(k): small.get(chr(k - 0x60), chr(k - 0x60)) for k in range(0x30A1, 0x30F7)}
-    out |= small | dict.fromkeys("カケガゲヵヶ", "け") | {"ヱ": "え", "ゑ": "え", "ヰ": "い", "ゐ": "い", "之": "の"}
-    return out
-
-
 def to_hiragana(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).translate(str.maketrans(kana_map()))
+    return hiragana_text(unicodedata.normalize("NFKC", text))
 
 
 def hiragana(c: Column) -> Column:
@@ -71,74 +48,32 @@ def replaced_words(c: Column, table: Mapping[str, str]) -> Column:
     return F.translate(c, "".join(one), "".join(one.values())) if one else c
 
 
-#: Two variants that the tests use; a registry's full table is passed in.
-VARIANTS = {"糀": "麹", "楠木町": "楠町"}
-
-_NUMERAL = "".join(KANJI_DIGITS) + TEN
-_RUN = re.compile(f"([{_NUMERAL}]+)(?=[{COUNTERS}]|$)")
-
-
-def numeral(run: str) -> str:
-    """A run of kanji numerals as digits: tens are multiplied, digits in a row are read in place."""
-    if not any(c in TEN for c in run):
-        return "".join(str(KANJI_DIGITS[c]) for c in run)
-    total, now = 0, None
-    for c in run:
-        if c in TEN:
-            total, now = total + (1 if now is None else now) * 10, None
-        else:
-            now = (now or 0) * 10 + KANJI_DIGITS[c]
-    return str(total + (now or 0))
+def insert_space(text: str) -> str:
+    """A room or building apart from the number before it; `の` between numbers is a dash."""
+    return spaced(Written(text)).text
 
 
-def kan2num(text: str) -> str:
-    return _RUN.sub(lambda m: numeral(m[1]), text)
+def without_brackets(text: str) -> str:
+    """Text in brackets goes, nested or not; a bracket that isn't closed stays."""
+    return Written(text).without(bracketed(text)).text
 
 
-def insert_space(text: str) -> str:
-    """Separate a room or building from the number before it; `の` between numbers is a dash."""
-    text = re.sub(r"(?<=\d)[のノ之](?=\d)", DASH, text)
-    text = re.sub(rf"(?<=\d){DASH}(\d+号室)", rf"{SPACE}\1", text)
-    return re.sub(rf"({DASH}\d+)(?=[^\d{DASH}{SPACE}号番丁条階])", rf"\1{SPACE}", text)
+def normalise(text: str, fuzzy: str | None = None) -> str:
+    """An address line as the dictionaries spell it."""
+    return normalised(text, fuzzy).text
 
 
-_BRACKETS = {"(": ")", "「": "」", "[": "]", "『": "』", "（": "）"}
+def readable(c: Column, wild: str = "?") -> Column:
+    """Runs of characters that no line has become a wild card."""
+    return F.regexp_replace(c, UNREADABLE, wild)
 
 
-def without_brackets(text: str) -> str:
-    """Text in brackets goes, nested or not; a bracket that isn't closed stays."""
-    out, opened = [], []
-    for c in text:
-        if c in _BRACKETS:
-            opened.append((_BRACKETS[c], len(out)))
-        out.append(c)
-        if opened and c == opened[-1][0]:
-            del out[opened.pop()[1] :]
-    return "".join(out)
+def is_digit(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[0-9]$"), F.lit(False))
 
 
-def normalise(text: str, fuzzy: str | None = None) -> str:
-    """An address line as the dictionaries spell it."""
-    text = text.strip()
-    if fuzzy:
-        text = text.replace(fuzzy[0], "?")
-    text = without_brackets(text.translate(str.maketrans(_WIDE, _ASCII)))
-    text = re.sub(r"[\"'`]", "", text)
-    text = re.sub(r"\s+", SPACE, text)
-    text = text.replace("センター", OAZA_CENTER)
-    text = re.sub(f"(?<=[0-9{_NUMERAL}])[{re.escape(DASHES)}]+|[{re.escape(DASHES)}]+(?=[0-9{_NUMERAL}])", DASH, text)
-    text = re.sub(r"(?<=\d)一(?=\d)", DASH, text)
-    text = re.sub(rf"{SPACE}+(?=(?:[0-9{_NUMERAL}]+)?(?:丁目|番地|番|条|軒|線|号|地割))", "", text)
-    text = kan2num(to_hiragana(text))
-    text = text.replace("番町", OAZA_BANCHO).replace("無番地", MUBANCHI).replace("番外地", BANGAICHI)
-    text = re.sub("大?字", "", text)
-    text = re.sub(rf"(?<=\d)(?:丁目|番地の|番地|番|号|地割|[のノ])(?=\d)", DASH, text)
-    text = re.sub(r"(?<=\d)(?:丁目|番地|番|号)(?!室)", DASH, text)
-    return trimmed_text(insert_space(text))
-
-
-def trimmed_text(text: str) -> str:
-    return re.sub(f"^[{DASH}{SPACE}]+|[{DASH}{SPACE}]+$", "", text)
+def is_kanji_numeral(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[壱一二ニ弐参三四五六七八ㇵハ九零十]$"), F.lit(False))
 
 
 def trim_sentinels(c: Column) -> Column:
@@ -200,7 +135,7 @@ def format_address(pref, county, city, ward, oaza, chome, koaza, aka, block, num
         F.concat_ws("-", some(n1), some(n2), F.when(some(n2).isNotNull(), some(n3)))
     )
     number = F.when(lot != "", lot).otherwise(F.concat_ws("-", some(block), some(num), some(num2)))
-    tail = F.when(blank(rest) != "", F.concat(F.when(number != "", F.lit(" ")).otherwise(F.lit("")), blank(rest))).otherwise(F.lit(""))
+    tail = F.when(blank(rest) != "", F.concat(F.when((number != "") & ~blank(rest).startswith("-"), F.lit(" ")).otherwise(F.lit("")), blank(rest))).otherwise(F.lit(""))
     return F.regexp_replace(F.regexp_replace(F.concat(place, town, number, tail), " +", " "), "丁目-([0-9])", "丁目$1")
 
 

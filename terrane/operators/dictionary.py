@@ -97,6 +97,27 @@ def kyoto_streets(full: DataFrame, lg_prefix: str = "261") -> DataFrame:
     return detail.unionByName(parent)
 
 
+def street_keys(rows: DataFrame) -> DataFrame:
+    """Streets and towns of Kyoto under the forms that lines give them: a street before its town, a part after it."""
+    street = F.coalesce("koaza_aka_code", F.lit(0)) == 2
+    name = lambda *c: F.concat(*map(blank, c))
+    forms = [
+        F.when(F.col("match_level") == 3, name("oaza_cho")),
+        F.when((F.col("match_level") == 4) & street, name("koaza", "oaza_cho")),
+        F.when((F.col("match_level") == 4) & ~street & ~has("oaza_cho") & ~has("chome"), name("koaza")),
+        F.when((F.col("match_level") == 4) & ~street & has("oaza_cho") & ~has("chome") & has("koaza"), name("oaza_cho", "koaza")),
+        F.when((F.col("match_level") == 4) & ~street & has("oaza_cho") & has("chome"), name("oaza_cho", "chome")),
+        F.when((F.col("match_level") == 4) & ~street & has("oaza_cho") & has("chome") & has("koaza"), name("oaza_cho", "chome", "koaza")),
+    ]
+    keys = F.array_distinct(F.filter(F.array(*forms), lambda k: k.isNotNull() & (k != "")))
+    return rows.withColumn("key", F.explode(keys))
+
+
+def tokyo_wards(city: DataFrame, pref: str = "東京都") -> DataFrame:
+    """Cities of Tokyo that are wards."""
+    return city.filter((F.col("pref") == pref) & F.col("city").endswith("区"))
+
+
 def key_variants(key: Column, *suffixes: str) -> Column:
     """A key and, for longer ones, the key without each suffix."""
     return F.array_distinct(
@@ -131,7 +152,15 @@ def replaced_into(rows: DataFrame, newer: DataFrame, keys: list[str]) -> DataFra
     return by_precedence([rows, newer], keys, [F.lit(0)])
 
 
+def without_town(c: str) -> Column:
+    """A name without its town word, where it has more than two characters."""
+    v = blank(c)
+    short = F.regexp_replace(v, "番町$", "")
+    return F.when(F.length(v) > 2, F.when(short != v, short).otherwise(F.regexp_replace(v, "町$", ""))).otherwise(v)
+
+
 def town_keys(full: DataFrame) -> DataFrame:
-    """Each town under its full key and those without the town suffix."""
-    key = F.concat_ws("", "oaza_cho", "chome", "koaza")
-    return full.withColumn("key", F.explode(key_variants(key, "番町", "町"))).filter("key <> ''")
+    """Each town under its full key and those in which its oaza or its chome lacks the town word."""
+    forms = [("oaza_cho", "chome"), (None, "chome"), ("oaza_cho", None)]
+    keys = [F.concat(blank(o) if o else without_town("oaza_cho"), blank(c) if c else without_town("chome"), blank("koaza")) for o, c in forms]
+    return full.withColumn("key", F.explode(F.array_distinct(F.array(*keys)))).filter("key <> ''")

@@ -61,20 +61,24 @@ def missing_words(dictionary: DataFrame, words: list[str], key: str = "key") ->
 
 
 def prefix_match(
-    cands: DataFrame, dictionary: DataFrame, text: str, key: str = "key", mode: str = "all", cand_id: str = "line_id"
-) -> DataFrame:
+    cands: DataFrame, dictionary: DataFrame, text: str, key: str = "key", mode: str = "all", cand_id: str = "line_id",
+    lengths: list[int] | None = None, small: bool | None = None,
+) -> DataFrame:
     """cands joined with each key that starts their text; adds depth and unmatched.
 
     mode: `all` keys, only the `longest`, or only a `leaf` (no longer key starts
-    with it) and keys that are the whole text.
+    with it) and keys that are the whole text. lengths and small: the lengths of keys
+    and whether the dictionary is to be broadcast, where these are known already.
     """
-    lengths = key_lengths(dictionary, key)
+    lengths = key_lengths(dictionary, key) if lengths is None else lengths
     cuts = F.filter(F.array(*map(F.lit, lengths or [1])), lambda n: n <= F.length(text))
     keyed = with_leaf(dictionary, key) if mode == "leaf" else dictionary
+    book = keyed.withColumnRenamed(key, "_cut")
+    book = sized(book) if small is None else F.broadcast(book) if small else book
     hits = (
         cands.withColumn("depth", F.explode(cuts))
         .withColumn("_cut", F.col(text).substr(F.lit(1), F.col("depth")))
-        .join(sized(keyed.withColumnRenamed(key, "_cut")), "_cut")
+        .join(book, "_cut")
         .withColumnRenamed("_cut", key)
         .withColumn("unmatched", F.col(text).substr(F.col("depth") + 1, F.length(text)))
     )

@@ -11,7 +11,7 @@ from terrane.functions.text import levenshtein_ratio
 POINTS = {
     "all": (-2, 1, 2, 3, 4, 5, 6, 4.5),
     "residential": (-2, 1, 2, 3, 4, 5, 6, -1),
-    "parcel": (-2, 1, 2, 3, 4, -1, -1, 5),
+    "parcel": (-2, 1, 2, 3, 4, -1, -1, 6),
 }
 
 
@@ -28,17 +28,29 @@ def similarity(a: str = "input", b: str = "output") -> Column:
     return levenshtein_ratio(F.col(a), F.col(b))
 
 
+def flag_agrees() -> Column:
+    """The town's own flag agrees with the result's: 1 with a residence, 0 and 2 with a lot."""
+    town, own = F.col("original_flg"), F.col("rsdt_addr_flg")
+    return F.coalesce(((town == 1) & (own == 1)) | (town.isin(0, 2) & (own == 0)), F.lit(False))
+
+
 def score() -> Column:
-    """Sum of levels, matched and unmatched characters, and similarity, of a candidate's columns."""
-    level, coord = F.col("match_level"), F.col("coordinate_level")
+    """Points of a candidate: its two levels, less twice what they differ by, matched
+    and unmatched characters, uncertain ones, similarity, and one if the flags agree.
+
+    A street name of Kyoto counts as under a search for lots.
+    """
+    target = F.when(F.col("koaza_aka_code") == 2, F.lit("parcel")).otherwise(F.col("target"))
+    level, coord = level_points(target, F.col("match_level")), level_points(target, F.col("coordinate_level"))
     return (
-        level_points(F.col("target"), level)
-        + level_points(F.col("target"), coord)
+        level
+        + coord
+        - 2 * F.abs(level - coord)
         + F.col("matched_cnt")
         - F.length(F.coalesce("unmatched", F.lit("")))
         - F.col("ambiguous_cnt")
         + F.col("similarity")
-        - 2 * F.abs(level - coord)
+        + flag_agrees().cast("int")
     ).cast("double")
 
 
@@ -54,31 +66,7 @@ def top(cands: DataFrame, cand_id: str = "line_id", order: tuple[str, ...] = ("s
     return cands.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def arbitrated(cands: DataFrame, cand_id: str = "line_id", near: float = 2.0) -> DataFrame:
-    """The best residence (flag 1) and the best lot (flag 0) of each line, and which is given.
-
-    Within `near` points a line whose town is marked residential goes to the residence.
-    """
-    pick = F.struct("score", "matched_cnt", (-F.col("seq")).alias("back"))
-    best = cands.groupBy(cand_id).agg(
-        F.max(pick).alias("any"),
-        F.max(F.when(F.col("rsdt_addr_flg") == 1, pick)).alias("rsdt"),
-        F.max(F.when(F.col("rsdt_addr_flg") == 0, pick)).alias("prcl"),
-        F.max("original_flg").alias("original_flg"),
-    )
-    r, p = F.col("rsdt.score"), F.col("prcl.score")
-    chosen = (
-        F.when(r.isNull() & p.isNull(), F.col("any"))
-        .when(p.isNull(), F.col("rsdt"))
-        .when(r.isNull(), F.col("prcl"))
-        .when((F.abs(r - p) <= near) & (F.col("original_flg") == 1), F.col("rsdt"))
-        .when(r >= p, F.col("rsdt"))
-        .otherwise(F.col("prcl"))
-    )
-    return best.withColumn("c", chosen).select(cand_id, F.col("c.score").alias("score"), (-F.col("c.back")).alias("seq"))
-
-
-def chosen(cands: DataFrame, cand_id: str = "line_id", order: tuple[str, ...] = ("seq",), near: float = 2.0) -> DataFrame:
+def chosen(cands: DataFrame, cand_id: str = "line_id", order: tuple[str, ...] = ("seq",), near: float = 2.0, by: str = "score") -> DataFrame:
     """The given candidate of each line, whole: the best residence (flag 1), the best lot (flag 0), or the best of all.
 
     A target of residences or lots decides between the two. Otherwise the lot is given
@@ -86,11 +74,11 @@ def chosen(cands: DataFrame, cand_id: str = "line_id", order: tuple[str, ...] =
     is marked residential. One that isn't confident counts only if none is.
     """
     line = Window.partitionBy(cand_id)
-    sorted_ = line.orderBy(F.desc("confident"), F.desc("score"), F.desc("matched_cnt"), *order)
+    sorted_ = line.orderBy(F.desc("confident"), F.desc(by), F.desc("matched_cnt"), *order)
     counts = F.col("confident") | ~F.max("confident").over(line)
 
     def best(flag: int) -> Column:
-        info = F.struct("_r", "score", "match_level", "original_flg")
+        info = F.struct("_r", F.col(by).alias("score"), "match_level", "original_flg")
         return F.min(F.when((F.col("rsdt_addr_flg") == flag) & F.col("_counts"), info)).over(line)
 
     r, p = F.col("_rsdt"), F.col("_prcl")

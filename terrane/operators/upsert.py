@@ -71,8 +71,13 @@ def lg_filter(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def write_routed(rows: DataFrame, path: str) -> None:
-    """One folder for each municipality, replaced as a whole where it is written."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lg_code").parquet(path)
+    """One folder for each municipality, replaced as a whole where it is written.
+
+    The folder's name is a column of its own, since a code read from it would be
+    taken for a number and lose its zeros.
+    """
+    routed = rows.withColumn("municipality", F.col("lg_code"))
+    routed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("municipality").parquet(path)
 
 
 def has_rows(spark: SparkSession, path: str) -> bool:

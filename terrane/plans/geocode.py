@@ -15,17 +15,19 @@ blk_num, ...), rsdt_dsp(town_key, blk_id, rsdt_id, rsdt2_id, rsdt_num, rsdt_num2
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.constants import FUZZY, MISSING_WORDS
-from terrane.functions.text import format_address, normalise, python_text, restored
+from terrane.functions import written as W
+from terrane.functions.constants import DASH, FUZZY, MISSING_WORDS, OAZA_BANCHO, SPACE, VARIANTS
+from terrane.functions.text import format_address, python_text
 from terrane.operators import dictionary as D
 from terrane.operators import lookup as L
 from terrane.operators import rank as R
-from terrane.operators.prefix_match import digit_boundary, first_wins, fuzzy_match, missing_words, prefix_match
+from terrane.operators.prefix_match import BROADCAST_KEYS, digit_boundary, first_wins, fuzzy_match, key_lengths, missing_words, prefix_match
 from terrane.operators.storage import settled
 
 TARGETS = ("all", "residential", "parcel")
@@ -37,7 +39,14 @@ FIELDS = {
     "koaza_aka_code": "int", "rsdt_addr_flg": "int", "original_flg": "int", "blk_id": "string", "blk_num": "string",
     "rsdt_id": "string", "rsdt2_id": "string", "rsdt_num": "string", "rsdt_num2": "string", "prc_id": "string",
     "prc_num1": "string", "prc_num2": "string", "prc_num3": "string", "rep_lat": "double", "rep_lon": "double",
+    "rsdtblk_key": "long", "rsdtdsp_key": "long", "parcel_key": "long", "unused": "string",
 }
+_PLACE = {"rep_lat": "double", "rep_lon": "double"}
+# Wards of Tokyo whose names other prefectures have too.
+SHARED_WARDS = ("北区", "中央区", "港区", "大田区", "板橋区")
+# Words that say on which side of a street of Kyoto a place lies, and what may be missing in its name.
+BEARING = "上る|下る|東入|西入|角[東西南北]|[東西南北]側"
+STREET_WORDS = ["通", "角", "東入", "西入", "上る", "下る", "角西", "角東", "北側", "南側", "東側", "西側"]
 
 
 @dataclass
@@ -50,64 +59,94 @@ class Gazetteer:
     parcel: DataFrame | None = None
 
 
-def padded(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """df with exactly these columns, cast; missing ones are null."""
-    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
-
+@dataclass(frozen=True)
+class Book:
+    """A dictionary, written down, and what a match has to know of it, learned once."""
 
-def original_end():
-    """The end of a line as it was written, given how it was normalised.
+    rows: DataFrame
+    lengths: list[int]
+    small: bool
 
-    The shortest end whose normalised form is the given one; the given form itself
-    where normalisation depended on what came before.
-    """
+    @staticmethod
+    def of(rows: DataFrame, name: str) -> Book:
+        rows = settled(rows, f"book-{name}")
+        return Book(rows, key_lengths(rows), rows.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS)
 
-    def run(lines, ends):
-        import pandas as pd
-
-        out = []
-        for line, end in zip(lines, ends, strict=True):
-            found = next((line[i:] for i in range(len(line) - 1, -1, -1) if normalise(line[i:]) == end), end)
-            out.append(found.strip())
-        return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "string")
+def padded(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with exactly these columns, cast; missing ones are null."""
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
 
 
 class Geocoder:
     """Dictionaries of a gazetteer, spelled as lines are normalised, and the stages over them."""
 
-    def __init__(self, gazetteer: Gazetteer, japanese: bool = True) -> None:
-        self.japanese = japanese
-        self.spell = python_text(normalise) if japanese else (lambda c: F.trim(c))
-        places = {k: FIELDS[k] for k in ("lg_code", "rep_lat", "rep_lon")}
-        pref = padded(gazetteer.pref, {"pref_key": "long", "pref": "string"} | places)
+    def __init__(self, gazetteer: Gazetteer, japanese: bool = True, fuzzy: str | None = None, variants: Mapping[str, str] | None = None) -> None:
+        self.japanese, self.fuzzy = japanese, fuzzy[0] if fuzzy else None
+        standard, wild = W.variants_of(VARIANTS if variants is None else variants), self.fuzzy
+        if japanese:
+            self.spell = python_text(lambda t: W.normalised(t, wild, standard).text)
+            self.spell_place = python_text(lambda t: W.place_key(t, standard))
+            self.spell_town = python_text(lambda t: W.town_text(t, standard))
+            self.spell_street = python_text(lambda t: W.street_text(t, standard))
+        else:
+            self.spell = self.spell_place = self.spell_town = self.spell_street = lambda c: F.trim(c)
+
+        def end(lines, ends):
+            import pandas as pd
+
+            return pd.Series([
+                None if line is None else W.restored_text(W.end_as_written(line, e, wild, standard).strip(), wild) for line, e in zip(lines, ends, strict=True)
+            ], dtype=object)
+
+        self.end = F.pandas_udf(end, "string") if japanese else (lambda _, rest: F.trim(rest))
+        pref = padded(gazetteer.pref, {"pref_key": "long", "pref": "string", "lg_code": "string"} | _PLACE)
         city = padded(
             gazetteer.city,
-            {"city_key": "long", "pref_key": "long", "county": "string", "city": "string", "ward": "string"} | places,
+            {"city_key": "long", "pref_key": "long", "county": "string", "city": "string", "ward": "string", "lg_code": "string"} | _PLACE,
         )
-        self.pref = settled(missing_words(pref.withColumn("key", self.spell(F.col("pref"))), MISSING_WORDS["pref"]), "book-pref")
-        named = D.city_with_pref(city, pref)
-        full = F.concat(D.blank("county"), D.blank("city"), D.blank("ward"))
-        short = F.concat(D.blank("city"), D.blank("ward"))
-        keys = F.array_distinct(F.array(full, short, D.blank("ward")))
-        cities = named.withColumn("key", F.explode(keys)).filter("key <> ''")
-        cities = cities.withColumn("key", self.spell(F.col("key")))
-        self.city = settled(missing_words(cities, MISSING_WORDS["city"] + ["区"]), "book-city")
-        self.town = None
+        self.pref = Book.of(missing_words(pref.withColumn("key", self.spell_place(F.col("pref"))), MISSING_WORDS["pref"]), "pref")
+        self.city = Book.of(self.city_keys(D.city_with_pref(city, pref)), "city")
+        self.town = self.street = None
         if gazetteer.town is not None:
             town = padded(
                 gazetteer.town,
-                {k: FIELDS[k] for k in ("town_key", "city_key", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code", "rsdt_addr_flg")}
-                | {"rep_lat": "double", "rep_lon": "double"},
+                {k: FIELDS[k] for k in ("town_key", "city_key", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code", "rsdt_addr_flg")} | _PLACE,
             )
-            rows = D.inherited(D.town_full(town, city, pref))
-            rows = D.town_keys(rows).withColumn("key", self.spell(F.col("key"))).filter("key <> ''")
-            self.town = settled(first_wins(rows, ["city_key", "key", "machiaza_id"], [F.col("town_key")]), "book-town")
-        table = lambda df, *more: None if df is None else padded(df, {"town_key": "long"} | {c: "string" for c in more} | {"rep_lat": "double", "rep_lon": "double"})
-        self.blk = table(gazetteer.rsdt_blk, "blk_id", "blk_num")
-        self.dsp = table(gazetteer.rsdt_dsp, "blk_id", "rsdt_id", "rsdt2_id", "rsdt_num", "rsdt_num2")
-        self.parcel = table(gazetteer.parcel, "prc_id", "prc_num1", "prc_num2", "prc_num3")
+            full = settled(D.inherited(D.town_full(town, city, pref)), "book-towns")
+            rows = D.town_keys(full.filter(F.coalesce("koaza_aka_code", F.lit(0)) != 2))
+            rows = rows.withColumn("key", self.spell_town(F.col("key"))).filter("key <> ''")
+            rows = first_wins(rows, ["city_key", "key", "machiaza_id"], [F.col("town_key")]).withColumn("amb", F.lit(0))
+            # Looked up in a city, in a prefecture, or anywhere, as far as is known.
+            scopes = F.array(F.concat(F.lit("c"), F.col("city_key")), F.concat(F.lit("p"), F.col("pref_key")), F.lit(""))
+            rows = rows.withColumn("_scope", F.explode(scopes)).withColumn("key", F.concat_ws("|", "_scope", "key")).drop("_scope")
+            self.town = Book.of(rows, "town")
+            streets = D.kyoto_streets(full)
+            if not streets.isEmpty():
+                keyed = D.street_keys(streets).withColumn("key", self.spell_street(F.col("key"))).filter("key <> ''")
+                self.street = Book.of(missing_words(keyed, STREET_WORDS), "street")
+        table = lambda df, key, *more: None if df is None else padded(df, {"town_key": "long", key: "long"} | dict.fromkeys(more, "string") | _PLACE)
+        self.blk = table(gazetteer.rsdt_blk, "rsdtblk_key", "blk_id", "blk_num")
+        self.dsp = table(gazetteer.rsdt_dsp, "rsdtdsp_key", "blk_id", "rsdt_id", "rsdt2_id", "rsdt_num", "rsdt_num2")
+        self.parcel = table(gazetteer.parcel, "parcel_key", "prc_id", "prc_num1", "prc_num2", "prc_num3")
+
+    def city_keys(self, named: DataFrame) -> DataFrame:
+        """Keys of cities by step: county and city, city and ward, ward, ward of Tokyo.
+
+        A later step is asked only where the earlier ones had nothing certain.
+        """
+        parts = [
+            (1, D.county_city_keys(named), "city"),
+            (2, D.city_ward_keys(named), "ward"),
+            (3, named.filter(D.has("ward")).withColumn("key", F.explode(F.array("ward", F.concat("city", "ward")))), "ward"),
+            (4, D.tokyo_wards(named).withColumn("key", F.col("city")), "ward"),
+        ]
+        rows = None
+        for step, part, words in parts:
+            keyed = part.withColumn("key", self.spell_place(F.col("key"))).filter("key <> ''")
+            keyed = missing_words(keyed, MISSING_WORDS[words]).withColumn("step", F.lit(step))
+            rows = keyed if rows is None else rows.unionByName(keyed)
+        return rows
 
     def start(self, lines: DataFrame) -> DataFrame:
         """One candidate for each line: (line_id, address[, target])."""
@@ -126,95 +165,129 @@ class Geocoder:
             *(F.lit(None).cast(t).alias(c) for c, t in FIELDS.items()),
         )
 
-    def expanded(
-        self, cands: DataFrame, book: DataFrame, eligible: Column, level: Column, values: list[str], agree: Column | None = None
-    ) -> DataFrame:
-        """Adds the hits of a dictionary; keeps an original that had none, or only uncertain ones."""
-        names = [v for v in values if v in book.columns]
-        # A row that inherited its place says so; others have a place of their own level.
-        inherits = "coordinate_level" in book.columns
-        d = book.select("key", "amb", *(F.col(v).alias(f"_d_{v}") for v in names), *([F.col("coordinate_level").alias("_d_at")] if inherits else []))
-        asked = cands.filter(eligible & (F.col("rest") != ""))
-        hits = prefix_match(asked, d, "rest", cand_id="cand")
-        if not asked.filter(F.col("rest").contains(FUZZY)).isEmpty():
-            hits = hits.unionByName(self.wild(asked, d))
-        hits = digit_boundary(hits).withColumn("_from", F.col("cand"))
-        if agree is not None:
-            hits = hits.filter(agree)
+    def hits(self, asked: DataFrame, book: Book, wild: bool) -> DataFrame:
+        """asked joined with the keys that start its rest, under wild cards too; the book's columns begin with _d_."""
+        d = book.rows.select("key", "amb", *(F.col(c).alias(f"_d_{c}") for c in book.rows.columns if c not in ("key", "amb")))
+        out = prefix_match(asked, d, "rest", cand_id="cand", lengths=book.lengths, small=book.small)
+        if wild:
+            scope = lambda c: F.regexp_extract(c, r"^[cp]?[0-9]*\|", 0)
+            d = d.withColumnRenamed("amb", "_left_out").withColumn("_scope", scope("key"))
+            more = fuzzy_match(asked.withColumn("_scope", scope("rest")), d, "rest", on=("_scope",))
+            more = more.filter("amb > 0").withColumn("amb", F.col("amb") + F.col("_left_out")).drop("_left_out", "_scope")
+            out = out.unionByName(more)
+        return digit_boundary(out)
+
+    def taken(self, hits: DataFrame, book: Book, cands: DataFrame, level: Column, values: list[str]) -> DataFrame:
+        """The candidates that hits make, in the columns of cands."""
+        names = [v for v in values if v in book.rows.columns]
+        inherits = "coordinate_level" in book.rows.columns
         place = F.col("_d_rep_lat").isNotNull() & F.col("_d_rep_lon").isNotNull()
-        set_ = {v: F.col(f"_d_{v}") for v in names if v not in ("rep_lat", "rep_lon")}
-        set_ |= {v: F.when(place, F.col(f"_d_{v}")).otherwise(F.col(v)) for v in ("rep_lat", "rep_lon")}
-        found = (
-            hits.withColumn("_level", level)
-            .withColumns(set_ | {
-                "match_level": F.col("_level"),
-                "coordinate_level": F.when(place, F.col("_d_at" if inherits else "_level")).otherwise(F.col("coordinate_level")),
-                "matched_cnt": F.col("matched_cnt") + F.col("depth"),
-                "ambiguous_cnt": F.col("ambiguous_cnt") + F.col("amb"),
-                "rest": F.regexp_replace("unmatched", "^[@␣ ]+", ""),
-            })
-        )
+        set_ = {v: F.col(f"_d_{v}") for v in names if v not in _PLACE}
+        set_ |= {v: F.when(place, F.col(f"_d_{v}")).otherwise(F.col(v)) for v in _PLACE}
+        found = hits.withColumn("_level", level).withColumns(set_ | {
+            "match_level": F.col("_level"),
+            "coordinate_level": F.when(place, F.col("_d_coordinate_level" if inherits else "_level")).otherwise(F.col("coordinate_level")),
+            "matched_cnt": F.col("matched_cnt") + F.col("depth"),
+            "ambiguous_cnt": F.col("ambiguous_cnt") + F.col("amb"),
+            "rest": F.regexp_replace("unmatched", f"^[{SPACE} ]+", ""),
+        })
         # One name can stand for several rows: a candidate of its own for each.
-        named = found.withColumn("cand", F.concat_ws("/", "cand", F.hex(F.xxhash64(*(F.col(v) for v in names), "key"))))
-        named = first_wins(named, ["line_id", "rest", "lg_code", *(v for v in names if v.endswith("_key") or v == "machiaza_id")], [F.col("ambiguous_cnt"), F.desc("matched_cnt"), F.col("cand")])
-        sure = found.filter("amb = 0").select(F.col("_from").alias("cand"), "line_id").distinct()
-        kept = cands.join(sure, ["line_id", "cand"], "left_anti")
-        return named.select(*cands.columns).unionByName(kept)
-
-    def wild(self, asked: DataFrame, d: DataFrame) -> DataFrame:
-        """Hits of names under a wild card of the text; each wild card is uncertain, as are words left out."""
-        scope = lambda c: F.regexp_extract(c, r"^[0-9]+\|", 0)
-        d = d.withColumnRenamed("amb", "_left_out").withColumn("_scope", scope("key"))
-        hits = fuzzy_match(asked.withColumn("_scope", scope("rest")), d, "rest", on=("_scope",))
-        return hits.filter("amb > 0").withColumn("amb", F.col("amb") + F.col("_left_out")).drop("_left_out", "_scope")
+        named = found.withColumn("cand", F.concat_ws("/", "cand", F.hex(F.xxhash64(*(F.col(v) for v in names), "key", "rest"))))
+        keys = ["line_id", "rest", "lg_code", "unused", *(v for v in names if v.endswith("_key") or v == "machiaza_id")]
+        best = [F.col("ambiguous_cnt"), F.desc("matched_cnt"), F.col("cand")]
+        return first_wins(named, list(dict.fromkeys(keys)), best).select(*cands.columns)
 
     def stages(self, lines: DataFrame) -> DataFrame:
         """All candidates of all lines; each stage uses its input more than once and is written down."""
         c = settled(self.start(lines), "geocode-start")
-        place = ["rep_lat", "rep_lon"]
-        c = self.expanded(c, self.pref, F.col("match_level") == 0, F.lit(1), ["pref_key", "pref", "lg_code", *place])
-        c = settled(c, "geocode-pref")
-        c = self.expanded(
-            c, self.city, F.col("match_level") < 2, F.lit(2), ["pref_key", "city_key", "lg_code", "pref", "county", "city", "ward", *place],
-            F.col("pref_key").isNull() | (F.col("pref_key") == F.col("_d_pref_key")),
-        )
-        c = settled(c, "geocode-city")
+        wild = not c.filter(F.col("rest").contains(FUZZY)).isEmpty()
+        c = settled(self.in_pref(c, wild), "geocode-pref")
+        c = settled(self.in_city(c, wild), "geocode-city")
+        if self.street is not None:
+            c = settled(self.in_street(c, wild), "geocode-street")
         if self.town is not None:
-            values = ["pref_key", "city_key", "town_key", "lg_code", "pref", "county", "city", "ward", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code", "rsdt_addr_flg", *place]
-            c = settled(self.in_town(c, values), "geocode-town")
+            c = settled(self.in_town(c, wild), "geocode-town")
         for table, step in ((self.blk, self.block), (self.dsp, self.residence), (self.parcel, self.lot)):
             if table is not None:
-                c = settled(step(c), f"geocode-{step.__name__}")
+                c = settled(step(c, wild), f"geocode-{step.__name__}")
         return c
 
-    def in_town(self, c: DataFrame, values: list[str]) -> DataFrame:
-        """Towns of the candidate's city; the city is part of the key, so that the dictionary may be large."""
-        known = F.col("match_level") == 2
-        book = self.town.withColumn("amb", F.lit(0)).withColumn("key", F.concat(F.col("city_key").cast("string"), F.lit("|"), F.col("key")))
-        asked = c.withColumn("_rest", F.col("rest")).withColumn(
-            "rest", F.when(known, F.concat(F.col("city_key").cast("string"), F.lit("|"), F.col("rest"))).otherwise(F.lit(""))
-        )
-        out = self.expanded(asked, book, known, F.when(F.substring("_d_machiaza_id", 5, 3) == "000", 3).otherwise(4), values)
-        hit = F.col("match_level") > 2
-        lead = F.length(F.col("city_key").cast("string")) + 1
-        return (
-            out.withColumn("matched_cnt", F.when(hit, F.col("matched_cnt") - lead).otherwise(F.col("matched_cnt")))
-            .withColumn("rest", F.when(hit, F.col("rest")).otherwise(F.col("_rest")))
-            .withColumn("original_flg", F.when(hit, F.col("rsdt_addr_flg")))
-            .drop("_rest")
+    def in_pref(self, c: DataFrame, wild: bool) -> DataFrame:
+        hits = self.hits(c.filter("match_level = 0 and rest <> ''"), self.pref, wild)
+        out = self.taken(hits, self.pref, c, F.lit(1), ["pref_key", "pref", "lg_code", *_PLACE])
+        sure = hits.filter("amb = 0").select("cand").distinct()
+        return out.unionByName(c.join(sure, "cand", "left_anti").select(*c.columns))
+
+    def in_city(self, c: DataFrame, wild: bool) -> DataFrame:
+        """The steps of cities in one match: a step counts until one before it had only certain hits."""
+        hits = self.hits(c.filter("match_level < 2 and rest <> ''"), self.city, wild)
+        step, known = F.col("_d_step"), F.col("pref_key").isNotNull()
+        # Wards of Tokyo are asked in any prefecture; all else has to lie in the one that is known.
+        hits = hits.filter(~known | (F.col("pref_key") == F.col("_d_pref_key")) | ((step == 4) & (F.substring("lg_code", 1, 2) == "13")))
+        unsure = (F.col("amb") > 0) | ((step == 3) & (F.col("match_level") == 0))
+        unsure |= (step == 4) & F.col("_d_city").isin(*SHARED_WARDS) & (F.coalesce(F.substring("lg_code", 1, 2), F.lit("")) != "13")
+        steps = hits.groupBy("cand", "_d_step").agg(F.max(unsure.cast("int")).alias("unsure"))
+        last = steps.filter("unsure = 0").groupBy("cand").agg(F.min("_d_step").alias("_last"))
+        hits = hits.join(last, "cand", "left").filter(F.col("_last").isNull() | (step <= F.col("_last")))
+        out = self.taken(hits, self.city, c, F.lit(2), ["pref_key", "city_key", "lg_code", "pref", "county", "city", "ward", *_PLACE])
+        return out.unionByName(c.join(last, "cand", "left_anti").select(*c.columns))
+
+    def in_street(self, c: DataFrame, wild: bool) -> DataFrame:
+        """Streets of Kyoto: the whole rest, the rest without a bearing, and what follows the bearing; the original always stays.
+
+        What a try leaves out counts as uncertain and as unmatched.
+        """
+        asked = c.filter((F.col("match_level") <= 3) & (F.col("rest") != "") & (F.col("lg_code").isNull() | F.col("lg_code").startswith("26")))
+        asked = asked.withColumn("_try", F.explode(street_tries(F.col("rest")))).withColumns(
+            {"rest": self.spell_street(F.col("_try.rest")), "unused": F.col("_try.unused"), "ambiguous_cnt": F.col("ambiguous_cnt") + F.col("_try.amb")}
         )
-
-    def numbered(self, c: DataFrame, table: DataFrame, eligible: Column, level: int, flag: int, on: list[str], column: str, n: int) -> DataFrame:
+        hits = self.hits(asked.filter("rest <> ''").drop("_try"), self.street, wild)
+        agree = [F.col(k).isNull() | (F.col(k) == F.col(f"_d_{k}")) for k in ("pref_key", "city_key", "oaza_cho")]
+        # A number that was taken for a chome has to be followed by a dash.
+        chome = F.col("_d_oaza_cho").contains("丁目") & (F.col("unmatched") != "") & ~F.col("unmatched").startswith(DASH)
+        hits = hits.filter((F.col("match_level") == 0) | (agree[0] & agree[1] & agree[2] & ~F.coalesce(chome, F.lit(False))))
+        out = self.taken(hits, self.street, c, F.col("_d_match_level"), TOWN_VALUES)
+        return c.unionByName(out.withColumn("original_flg", F.col("rsdt_addr_flg")))
+
+    def in_town(self, c: DataFrame, wild: bool) -> DataFrame:
+        """Towns of the candidate's city, or else of its prefecture, or of all: the scope is part of the key.
+
+        A line may leave out that a place is a town, and a town may have been found
+        already, of which there are longer names.
+        """
+        free = (F.col("rest") != "") & (F.coalesce("koaza_aka_code", F.lit(0)) != 2) & ~F.col("rest").rlike("(?:上る|下る|東入る?|西入る?)|(?:角[東西南北])|(?:[東西南北]側)")
+        asked = c.filter(free).withColumn("rest", self.spell_town(F.col("rest")))
+        found = F.concat(D.blank("oaza_cho"), D.blank("chome"))
+        again = F.when(F.col("oaza_cho").isNotNull(), F.struct(F.concat(self.spell_town(found), "rest").alias("t"), (-F.length(found)).alias("n"), F.lit(True).alias("w")))
+        plain = F.struct(F.col("rest").alias("t"), F.lit(0).alias("n"), F.lit(False).alias("w"))
+        less = [F.when(F.col("rest").rlike(p), F.struct(F.regexp_replace("rest", p, new).alias("t"), F.lit(0).alias("n"), F.lit(False).alias("w"))) for p, new in ((f"([0-9]){OAZA_BANCHO}", "$1"), ("^([^町]*)町", "$1"))]
+        asked = asked.withColumn("_t", F.explode(F.filter(F.array(plain, again, *less), lambda t: t.isNotNull())))
+        scope = F.when(F.col("city_key").isNotNull(), F.concat(F.lit("c"), "city_key")).when(F.col("pref_key").isNotNull(), F.concat(F.lit("p"), "pref_key")).otherwise(F.lit(""))
+        asked = asked.withColumn("_lead", F.length(scope) + 1 - F.col("_t.n")).withColumn("_whole", F.col("_t.w")).withColumn("rest", F.concat_ws("|", scope, "_t.t")).drop("_t")
+        hits = self.hits(asked, self.town, wild)
+        hits = hits.filter(F.col("_whole") | F.col("oaza_cho").isNull() | (F.col("oaza_cho") == F.col("_d_oaza_cho")))
+        named = F.concat(D.blank("_d_oaza_cho"), D.blank("_d_chome"))
+        # A dash after a chome, or a second town word after a town, belongs to the match.
+        swallowed = (named.contains("丁目") & F.col("unmatched").startswith(DASH)).cast("int")
+        town = (F.col("_d_oaza_cho").endswith("町") | F.col("_d_chome").endswith("町")) & F.col("unmatched").startswith("町")
+        town = F.coalesce(town, F.lit(False)).cast("int")
+        behind = F.col("unmatched").substr(swallowed + town + 1, F.length("unmatched"))
+        hits = hits.withColumn("depth", F.col("depth") - F.col("_lead") + swallowed + town).withColumn("unmatched", behind)
+        out = self.taken(hits, self.town, c, F.col("_d_match_level"), TOWN_VALUES).withColumn("original_flg", F.col("rsdt_addr_flg"))
+        sure = hits.groupBy("cand").agg(F.max("amb").alias("m")).filter("m = 0").join(c.filter("match_level < 3").select("cand"), "cand", "left_semi").select("cand")
+        return out.unionByName(c.join(sure, "cand", "left_anti").select(*c.columns))
+
+    def numbered(self, c: DataFrame, table: DataFrame, eligible: Column, level: int, flag: int, on: list[str], column: str, n: int, wild: bool) -> DataFrame:
         number = "_number"
         asked = c.filter(eligible).withColumn(number, L.leading_number(F.col("rest")))
         own = [x for x in table.columns if x not in on and x != column]
         d = table.select(*on, column, *(F.col(x).alias(f"_d_{x}") for x in own))
         place = F.col("_d_rep_lat").isNotNull() & F.col("_d_rep_lon").isNotNull()
-        hits = L.by_number(asked, d, on, column, number)
+        hits = L.by_number(asked, d, on, column, number, wild)
         rest = L.rest_after(F.col("rest"), n)
         hits = hits.withColumns(
-            {x: F.col(f"_d_{x}") for x in own if x not in ("rep_lat", "rep_lon")}
-            | {x: F.when(place, F.col(f"_d_{x}")).otherwise(F.col(x)) for x in ("rep_lat", "rep_lon")}
+            {x: F.col(f"_d_{x}") for x in own if x not in _PLACE}
+            | {x: F.when(place, F.col(f"_d_{x}")).otherwise(F.col(x)) for x in _PLACE}
             | {
                 column: F.col(number),
                 "match_level": F.lit(level),
@@ -227,19 +300,43 @@ class Geocoder:
         )
         return hits.select(*c.columns).unionByName(c)
 
-    def block(self, c: DataFrame) -> DataFrame:
-        ok = (F.col("target") != "parcel") & F.col("match_level").between(3, 4) & F.col("town_key").isNotNull()
-        return self.numbered(c, self.blk, ok, 5, 1, ["town_key"], "blk_num", 1)
+    def block(self, c: DataFrame, wild: bool) -> DataFrame:
+        ok = (F.col("target") != "parcel") & F.col("match_level").between(3, 4) & F.col("town_key").isNotNull() & (F.coalesce("city", F.lit("")) != "京都市")
+        return self.numbered(c, self.blk, ok, 5, 1, ["town_key"], "blk_num", 1, wild)
 
-    def residence(self, c: DataFrame) -> DataFrame:
+    def residence(self, c: DataFrame, wild: bool) -> DataFrame:
+        """A residence's number, and where there is one the second number behind it; else the block stays."""
         ok = (F.col("target") != "parcel") & (F.col("match_level") == 5)
-        return self.numbered(c, self.dsp, ok, 6, 1, ["town_key", "blk_id"], "rsdt_num", 1)
-
-    def lot(self, c: DataFrame) -> DataFrame:
+        second = F.nullif(F.col("rsdt_num2"), F.lit(""))
+        both = self.dsp.filter(second.isNotNull()).withColumn("rsdt_num", F.concat("rsdt_num", F.lit(DASH), second)).withColumn("_second", second)
+        one = self.dsp.filter(second.isNull()).withColumn("_second", F.lit(None).cast("string"))
+        asked = c.filter(ok)
+        numbers = [L.leading_number(F.col("rest"), i) for i in (0, 1)]
+        found = None
+        for table, number, n in ((both, F.concat(numbers[0], F.lit(DASH), numbers[1]), 2), (one, numbers[0], 1)):
+            d = table.select("town_key", "blk_id", "rsdt_num", *(F.col(x).alias(f"_d_{x}") for x in ("rsdtdsp_key", "rsdt_id", "rsdt2_id", "_second", *_PLACE)))
+            place = F.col("_d_rep_lat").isNotNull() & F.col("_d_rep_lon").isNotNull()
+            hits = L.by_number(asked.withColumn("_number", number), d, ["town_key", "blk_id"], "rsdt_num", "_number", wild)
+            rest = L.rest_after(F.col("rest"), n)
+            hits = hits.withColumns(
+                {x: F.col(f"_d_{x}") for x in ("rsdtdsp_key", "rsdt_id", "rsdt2_id")}
+                | {x: F.when(place, F.col(f"_d_{x}")).otherwise(F.col(x)) for x in _PLACE}
+                | {
+                    "rsdt_num": F.substring_index("_number", DASH, 1), "rsdt_num2": F.col("_d__second"), "match_level": F.lit(6),
+                    "coordinate_level": F.when(place, 6).otherwise(F.col("coordinate_level")),
+                    "matched_cnt": F.col("matched_cnt") + F.length("rest") - F.length(rest), "rest": rest, "rsdt_addr_flg": F.lit(1),
+                    "cand": F.concat_ws("/", "cand", F.lit("L6"), F.hex(F.xxhash64("_d_rsdt_id", "_d_rsdt2_id", "_number"))),
+                }
+            ).select(*c.columns)
+            found = hits if found is None else found.unionByName(hits)
+        return found.unionByName(c)
+
+    def lot(self, c: DataFrame, wild: bool) -> DataFrame:
         ok = (F.col("target") != "residential") & F.col("match_level").between(3, 4) & F.col("town_key").isNotNull() & (F.col("rest") != "")
-        d = self.parcel.select("town_key", "prc_id", "rep_lat", "rep_lon", *(F.col(f"prc_num{i}").alias(f"_d{i}") for i in (1, 2, 3)))
+        d = self.parcel.select("town_key", "prc_id", "rep_lat", "rep_lon", F.col("parcel_key").alias("_key"), *(F.col(f"prc_num{i}").alias(f"_d{i}") for i in (1, 2, 3)))
         asked = c.filter(ok).drop("prc_id").withColumnsRenamed({"rep_lat": "_lat", "rep_lon": "_lon"})
-        hits = L.parcels(asked, d, ["town_key"], "rest", cand_id="cand")
+        # Lots under a street of Kyoto are those of its town.
+        hits = L.parcels(asked, d, ["town_key"], "rest", cand_id="cand", wild=wild)
         place = F.col("rep_lat").isNotNull()
         rest = F.when(F.col("n_numbers") == 3, L.rest_after(F.col("rest"), 3)).when(F.col("n_numbers") == 2, L.rest_after(F.col("rest"), 2)).otherwise(L.rest_after(F.col("rest"), 1))
         hits = hits.withColumn("_rest", rest).withColumns({
@@ -250,6 +347,7 @@ class Geocoder:
             "matched_cnt": F.col("matched_cnt") + F.length("rest") - F.length("_rest"),
             "rest": F.col("_rest"),
             "rsdt_addr_flg": F.lit(0),
+            "parcel_key": F.col("_key"),
             "cand": F.concat_ws("/", "cand", F.lit("L7"), "prc_id"),
             **{f"prc_num{i}": F.col(f"_d{i}") for i in (1, 2, 3)},
         })
@@ -258,29 +356,59 @@ class Geocoder:
     def geocode(self, lines: DataFrame) -> DataFrame:
         """One row for each line: the best candidate, in the columns of the formats."""
         c = self.stages(lines)
+        if self.street is not None:
+            # Of a town's lots, whose table has the town itself only, streets of Kyoto take theirs.
+            c = c.withColumn("rsdt_addr_flg", F.when(F.col("city") == "京都市", 0).otherwise(F.col("rsdt_addr_flg")))
+        end = self.end(F.col("input"), F.col("rest"))
+        c = settled(c.withColumn("end", F.when(F.col("rest") == "", "").otherwise(end)), "geocode-ends")
+        number = lambda k: F.nullif(F.col(k), F.lit("0"))
         output = format_address(
             F.col("pref"), F.col("county"), F.col("city"), F.col("ward"), F.col("oaza_cho"), F.col("chome"), F.col("koaza"),
             F.coalesce("koaza_aka_code", F.lit(0)), F.col("blk_num"), F.col("rsdt_num"), F.col("rsdt_num2"),
-            F.col("prc_num1"), F.nullif(F.col("prc_num2"), F.lit("0")), F.nullif(F.col("prc_num3"), F.lit("0")), restored(F.col("rest")),
+            F.col("prc_num1"), number("prc_num2"), number("prc_num3"), F.col("end"),
         )
         c = (
             c.withColumn("output", output)
-            .withColumn("unmatched", F.col("rest"))
+            .withColumn("unmatched", F.concat(D.blank("unused"), "end"))
             .withColumn("similarity", R.similarity())
-            .withColumn("score", R.score())
-            .withColumn("confident", R.confident())
             # Kyoto's city has lots only.
             .withColumn("rsdt_addr_flg", F.when(F.col("city") == "京都市", 0).otherwise(F.col("rsdt_addr_flg")))
+            .withColumn("points", R.score())
+            .withColumn("confident", R.confident())
         )
-        best = R.chosen(c, "line_id", ("cand",))
-        rest = F.col("rest")
-        if self.japanese:
-            rest = F.when(rest == "", rest).otherwise(original_end()(F.col("input"), rest))
-        return best.withColumn("others", F.filter(F.array(restored(rest)), lambda x: x != "")).withColumnsRenamed(
+        best = R.chosen(c, "line_id", ("cand",), by="points").withColumnRenamed("similarity", "score")
+        return best.withColumn("others", F.filter(F.array("unused", "end"), lambda x: x != "")).withColumnsRenamed(
             {"rep_lat": "lat", "rep_lon": "lon"}
-        ).drop("rest", "unmatched", "confident", "cand", "original_flg")
+        ).drop("rest", "unmatched", "confident", "cand", "original_flg", "unused", "end")
+
+
+TOWN_VALUES = [
+    "pref_key", "city_key", "town_key", "lg_code", "pref", "county", "city", "ward", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code",
+    "rsdt_addr_flg", *_PLACE,
+]
+
+
+def street_tries(rest: Column) -> Column:
+    """What to look up of a rest, with what that leaves out: array of (rest, amb, unused)."""
+
+    def run(rests):
+        import re
+
+        import pandas as pd
+
+        out = []
+        for text in rests:
+            whole = re.sub("([東西]入)る", r"\1", text or "")
+            tries = [(whole, 0, "")]
+            for m in re.finditer(BEARING, whole):
+                before, after = whole[: m.start()], whole[m.end() :]
+                tries += [(before + after, len(m[0]), m[0]), (after, m.end(), before + m[0])]
+            out.append([dict(zip(("rest", "amb", "unused"), t, strict=True)) for t in tries if t[0]])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<struct<rest: string, amb: int, unused: string>>")(rest)
 
 
-def geocode(lines: DataFrame, gazetteer: Gazetteer, japanese: bool = True) -> DataFrame:
+def geocode(lines: DataFrame, gazetteer: Gazetteer, japanese: bool = True, fuzzy: str | None = None) -> DataFrame:
     """The best match of each (line_id, address[, target])."""
-    return Geocoder(gazetteer, japanese).geocode(lines)
+    return Geocoder(gazetteer, japanese, fuzzy).geocode(lines)

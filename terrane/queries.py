@@ -337,34 +337,48 @@ def changed_packages(spark, d):
     return U.changed_packages(new, old, "k", "v")
 
 
-@query("select c.lg_code, count(*) as n from town t join city c on c.city_key = t.city_key group by c.lg_code")
-def partition_route(spark, d):
-    return _full(spark, d).groupBy("lg_code").agg(F.count("*").alias("n"))
+# Several candidates a line: all towns of a city, ranked by the points of 2.8, for each of the three targets.
+_POINTS = """case target when 'all' then list_extract([-2.0, 1, 2, 3, 4, 5, 6, 4.5]::double[], {l} + 1) when 'residential' then list_extract([-2.0, 1, 2, 3, 4, 5, 6, -1]::double[], {l} + 1)
+ else list_extract([-2.0, 1, 2, 3, 4, -1, -1, 6]::double[], {l} + 1) end"""
+_CANDS = f"""(select *, lp + cp - 2 * abs(lp - cp) + matched_cnt - unmatched_n - ambiguous_cnt + similarity + case when original_flg = 1 and rsdt_addr_flg = 1 or original_flg in (0, 2) and rsdt_addr_flg = 0 then 1 else 0 end as points,
+ similarity >= 0.5 or matched_cnt / 40.0 >= 0.3 or match_level >= 2 as confident from (select *, {_POINTS.format(l='match_level')} as lp, {_POINTS.format(l='coordinate_level')} as cp from
+ (select o_custkey as line_id, o_orderkey as seq, list_extract(['all', 'residential', 'parcel'], cast(o_custkey % 3 as int) + 1) as target, cast(o_orderkey % 8 as int) as match_level, cast(o_orderkey // 8 % 8 as int) as coordinate_level,
+ cast(o_orderkey % 23 as int) as matched_cnt, cast(o_orderkey % 5 as int) as unmatched_n, cast(o_orderkey % 2 as int) as ambiguous_cnt, cast(o_orderkey % 101 as double) / 100 as similarity,
+ case when o_orderkey % 4 = 0 then null else cast(o_orderkey % 4 as int) - 1 end as original_flg, case o_orderkey % 3 when 0 then 0 when 1 then 1 end as rsdt_addr_flg from orders) c) d)"""
+
+
+def _candidates(spark, d):
+    k, target = F.col("o_orderkey"), F.array(*map(F.lit, ("all", "residential", "parcel")))
+    c = _table(spark, d, "orders").select(
+        F.col("o_custkey").alias("line_id"), k.alias("seq"), F.element_at(target, (F.col("o_custkey") % 3 + 1).cast("int")).alias("target"),
+        (k % 8).cast("int").alias("match_level"), F.expr("cast(o_orderkey div 8 % 8 as int)").alias("coordinate_level"), (k % 23).cast("int").alias("matched_cnt"),
+        F.repeat(F.lit("x"), (k % 5).cast("int")).alias("unmatched"), (k % 2).cast("int").alias("ambiguous_cnt"), ((k % 101).cast("double") / 100).alias("similarity"),
+        F.when(k % 4 != 0, (k % 4).cast("int") - 1).alias("original_flg"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 1).alias("rsdt_addr_flg"), F.lit("y" * 40).alias("input"), F.lit(0).alias("koaza_aka_code"),
+    )
+    return c.withColumn("score", R.score()).withColumn("confident", R.confident())
 
 
-_RANKED = f"(select h.*, b.p_brand, length(b.p_brand) as depth from {_HIER} h join (select distinct p_brand from part) b on starts_with(h.rest, b.p_brand) where not regexp_matches(substr(h.rest, length(b.p_brand) + 1), '^[0-9]'))"
+@query(f"select seq, points, confident from {_CANDS} x")
+def candidate_score(spark, d):
+    return _candidates(spark, d).select("seq", F.col("score").alias("points"), "confident")
 
 
-@query(f"select line_id, pref_key, city_key, p_brand, cast(depth * 2 - length(rest) as double) as score from {_RANKED} x")
+@query(f"select line_id, seq, points from (select *, row_number() over (partition by line_id order by confident desc, points desc, matched_cnt desc, seq) as r from {_CANDS} x) y where r = 1")
 def rank_top1(spark, d):
-    brands = _table(spark, d, "part").select(F.col("p_brand").alias("key")).distinct().withColumn("p_brand", F.col("key"))
-    hits = M.digit_boundary(M.prefix_match(_hierarchy(spark, d), brands, "rest"))
-    c = hits.withColumn("score", (F.col("depth") * 2 - F.length("rest")).cast("double")).withColumn("matched_cnt", F.col("depth")).withColumn("confident", F.lit(True)).withColumn("seq", F.col("city_key"))
-    return R.top(c).select("line_id", "pref_key", "city_key", "p_brand", "score")
+    return R.top(_candidates(spark, d)).select("line_id", "seq", F.col("score").alias("points"))
 
 
-@query("""select o_custkey as line_id, case when r is null and p is null then a when p is null then r when r is null then p
- when abs(r - p) <= 2000 and flg = 1 then r when r >= p then r else p end as score from (select o_custkey, max(o_totalprice) as a, max(o_totalprice) filter (o_orderstatus = 'O') as r,
- max(o_totalprice) filter (o_orderstatus = 'F') as p, max(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as flg from orders group by o_custkey) x""")
+@query(f"""select line_id, seq, points from (select *, min(r) filter (rsdt_addr_flg = 1 and counts) over w as r1, min(r) filter (rsdt_addr_flg = 0 and counts) over w as r0, arg_min(points, r) filter (rsdt_addr_flg = 1 and counts) over w as p1,
+ arg_min(points, r) filter (rsdt_addr_flg = 0 and counts) over w as p0, bool_or(rsdt_addr_flg = 1 and counts and original_flg = 1 and match_level >= 3 and r = first1) over w as marked from
+ (select *, min(r) filter (rsdt_addr_flg = 1 and counts) over (partition by line_id) as first1 from (select *, confident or not bool_or(confident) over (partition by line_id) as counts,
+ row_number() over (partition by line_id order by confident desc, points desc, matched_cnt desc, seq) as r from {_CANDS} x) y) z window w as (partition by line_id)) v
+ where r = case when r1 is null then coalesce(r0, 1) when r0 is null then r1 when target = 'residential' then r1 when target = 'parcel' then r0 when p1 >= p0 or (p0 - p1 <= 2 and coalesce(marked, false)) then r1 else r0 end""")
 def top_per_flag_arbitration(spark, d):
-    o = _table(spark, d, "orders")
-    flag = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 0)
-    c = o.select(F.col("o_custkey").alias("line_id"), F.col("o_totalprice").alias("score"), F.lit(0).alias("matched_cnt"), F.col("o_orderkey").alias("seq"), flag.alias("rsdt_addr_flg"), F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("original_flg"))
-    return R.arbitrated(c, near=2000.0).select("line_id", "score")
+    return R.chosen(_candidates(spark, d)).select("line_id", "seq", F.col("score").alias("points"))
 
 
 @query("""select p_partkey, case p_partkey % 3 when 0 then list_extract([-2.0, 1, 2, 3, 4, 5, 6, 4.5]::double[], p_size % 8 + 1) when 1 then list_extract([-2.0, 1, 2, 3, 4, 5, 6, -1]::double[], p_size % 8 + 1)
- else list_extract([-2.0, 1, 2, 3, 4, -1, -1, 5]::double[], p_size % 8 + 1) end as points from part""")
+ else list_extract([-2.0, 1, 2, 3, 4, -1, -1, 6]::double[], p_size % 8 + 1) end as points from part""")
 def level_score(spark, d):
     target = F.element_at(F.array(*map(F.lit, ("all", "residential", "parcel"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     return _table(spark, d, "part").select("p_partkey", R.level_points(target, F.col("p_size") % 8).alias("points"))
@@ -438,22 +452,35 @@ def _results(spark, d):
     )
 
 
-@query(f"""select town_key as line_id, '"' || pref || city || oaza_cho || '","' || pref || city || '",0.5,' || cast(match_level as varchar) as value from {_FULL} f""")
+_LEVEL = "case {l} when 0 then 'unknown' when 1 then 'prefecture' when 2 then 'city' when 3 then 'machiaza' when 4 then 'machiaza_detail' end"
+_NAMES = f"{_LEVEL.format(l='match_level')} as m, {_LEVEL.format(l='coordinate_level')} as c, regexp_replace(cast(rep_lat as varchar), '\\.0$', '') as la, regexp_replace(cast(rep_lon as varchar), '\\.0$', '') as lo"
+
+
+@query(f"""select town_key as line_id, '"' || pref || city || oaza_cho || '","' || pref || city || '",0.5,' || m as value from (select *, {_NAMES} from {_FULL} f) x""")
 def simplified_line(spark, d):
     return sinks.formatted(_results(spark, d), "simplified")
 
 
-@query()
+@query(f"""select town_key as line_id, '"' || pref || city || oaza_cho || '","' || pref || city || '",0.5,' || m || ',' || c || ',' || coalesce(la, '') || ',' || coalesce(lo, '') || ',,"' || lg_code || '","",,,,,,' || pref || ',,' || city || repeat(',', 10) as value
+ from (select *, {_NAMES} from {_FULL} f) x""")
 def csv_line(spark, d):
     return sinks.formatted(_results(spark, d), "csv")
 
 
-@query()
+def _json_sql(head: str, tail: str) -> str:
+    none = "".join(f',"{c}":null' for c in ("county", "city", "ward", "oaza_cho", "chome", "koaza", "blk_num", "rsdt_num", "rsdt_num2", "prc_num1", "prc_num2", "prc_num3"))
+    after = none.replace(',"city":null', ",\"city\":\"' || city || '\"")
+    at = "case when rep_lat is null or rep_lon is null then 'null' else cast({v} as varchar) end"
+    return f"""select town_key as line_id, '{head}"output":"' || pref || city || '","others":[],"score":0.5,"match_level":"' || m || '","coordinate_level":"' || c || '","lat":' || {at.format(v='rep_lat')} || ',"lon":' || {at.format(v='rep_lon')}
+ || ',"lg_code":"' || lg_code || '","machiaza_id":null,"blk_id":null,"rsdt_id":null,"rsdt2_id":null,"prc_id":null,"pref":"' || pref || '"{after}{tail}' as value from (select *, {_NAMES} from {_FULL} f) x"""
+
+
+@query(_json_sql("""{"query":{"input":"' || pref || city || oaza_cho || '"},"result":{""", "}}"))
 def ndjson_line(spark, d):
     return sinks.formatted(_results(spark, d), "ndjson")
 
 
-@query()
+@query(_json_sql("""{"type":"Feature","geometry":{"type":"Point","coordinates":[' || case when rep_lat is null or rep_lon is null then 'null,null' else cast(rep_lon as varchar) || ',' || cast(rep_lat as varchar) end || ']},"properties":{"input":"' || pref || city || oaza_cho || '",""", "}}"))
 def geojson_feature(spark, d):
     return sinks.formatted(_results(spark, d), "ndgeojson")
 
@@ -474,3 +501,6 @@ def geocode_lines(spark, d):
     lines = derived(spark, d, "lines").select("line_id", "address")
     out = geocode(lines, Gazetteer(pref, city, derived(spark, d, "town")), japanese=False)
     return out.select("line_id", "output", "score", "match_level", "coordinate_level", "city_key", "town_key", "lat", "lon")
+
+
+from terrane import queries_io, queries_text  # noqa: E402, F401  they register more queries

@@ -41,8 +41,8 @@ def read_registry(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return out
 
 
-def unzipped(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, crc32, size, content) of each entry of ZIP archives."""
+def unzipped(files: DataFrame) -> DataFrame:
+    """(archive, name, crc32, size, content) of each entry of ZIP archives (path, content)."""
 
     def run(batches):
         import io
@@ -51,14 +51,18 @@ def unzipped(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            rows = []
             for archive, data in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    rows += [(archive, i.filename, i.CRC, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir()]
-            yield pd.DataFrame(rows, columns=["archive", "name", "crc32", "size", "content"])
+                    for i in z.infolist():
+                        if not i.is_dir():
+                            yield pd.DataFrame([{"archive": archive, "name": i.filename, "crc32": i.CRC, "size": i.file_size, "content": z.read(i)}])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, name string, crc32 long, size long, content binary")
+    return files.select("path", "content").mapInPandas(run, "archive string, name string, crc32 long, size long, content binary")
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of ZIP files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def filename_meta(name: Column) -> list[Column]:

@@ -1,6 +1,7 @@
 import pytest
 
 from terrane.functions import text as T
+from terrane.functions.constants import VARIANTS
 
 
 @pytest.mark.parametrize(
@@ -35,7 +36,7 @@ def test_columns(spark):
     from pyspark.sql import functions as F
 
     row = spark.createDataFrame([("ＡＢ１２-３", "261114", "東京都千代田区糀町一丁目")], "a string, k string, j string").select(
-        T.hankaku(F.col("a")), T.hash_key(F.col("k")), T.replaced_words(F.col("j"), T.VARIANTS), T.left_padded(F.lit("123456"), 5),
+        T.hankaku(F.col("a")), T.hash_key(F.col("k")), T.replaced_words(F.col("j"), VARIANTS), T.left_padded(F.lit("123456"), 5),
         T.levenshtein_ratio(F.lit("沖縄県那覇市"), F.lit("沖縄都那覇市")), T.levenshtein_ratio(F.lit(""), F.lit("")),
     ).first()
     assert row[:4] == ("AB12-3", 3587982500, "東京都千代田区麹町一丁目", "123456")
