@@ -40,9 +40,9 @@ from terrane.llm.common import stage
 MAGIC = b"TRNC"
 VERSION = 2
 HEAD = "<4sHIIQIII"
-#: Ids of a block at most and at least, blocks that a segment should have, ids at which it is closed.
-BLOCK, LEAST, LANES = 4096, 512, 256
-SEGMENT = 4 << 20
+#: Ids of a block at most and at least, blocks that a segment should have, ids of a segment.
+BLOCK, LEAST, LANES = 4096, 512, 1024
+SEGMENT = 3 << 20
 #: Id after each document.
 END_ID = 1
 
@@ -53,9 +53,10 @@ _SLOTS, _RIGHT = 1024, 16
 _BITS, _FAST, _SLOW = 14, 5, 5
 _ONE = 1 << _BITS
 _LOW, _HIGH = _ONE >> 9, _ONE - (_ONE >> 7)
+_SPAN = _HIGH - _LOW
 #: An interval is widened when it gets smaller; so many bits may be used by one id.
-_SMALL = U(1 << 46)
-_MASK = U((1 << 46) - 1)
+_SMALL = 1 << 46
+_MASK = _SMALL - 1
 #: Offsets of more bits than this in a class are coded in a step of their own.
 _WIDE = 18
 
@@ -65,61 +66,68 @@ class DamagedBlock(ValueError):
 
 
 class Model:
-    """What coder and decoder both know before each id; one lane per block."""
+    """What coder and decoder both know before each id; one lane per block.
+
+    All is kept in longs, so that no array changes its type along the way.
+    """
 
     def __init__(self, lanes: int, classes: int) -> None:
         self.lanes, self.classes = lanes, classes
         self.lane = np.arange(lanes)
         self.place = self.lane * _SLOTS
+        self.row = self.lane * _RIGHT
         #: Id named, times 16, plus how often in a row it was right.
-        self.t1 = np.zeros(lanes * _SLOTS, np.int32)
-        self.t2 = np.zeros(lanes * _SLOTS, np.int32)
-        self.p1 = np.repeat((np.arange(_RIGHT) + 1) * (_ONE // 20), lanes).astype(np.int32)
-        self.p2 = np.repeat((np.arange(_RIGHT) + 2) * (_ONE // 20), lanes).astype(np.int32)
+        self.t1 = np.zeros(lanes * _SLOTS, np.int32 if classes < 27 else np.int64)
+        self.t2 = np.zeros_like(self.t1)
+        self.p1 = np.tile((np.arange(_RIGHT) + 1) * (_ONE // 20), lanes)
+        self.p2 = np.tile((np.arange(_RIGHT) + 2) * (_ONE // 20), lanes)
         #: Cumulative frequencies of the classes without the floor of one each: all alike at first.
         self.free = np.int16(_ONE - classes - 1)
         self.edge = np.arange(classes + 1, dtype=np.int16)[:, None]
         self.cum = np.repeat(self.edge * np.int16(self.free // classes), lanes, axis=1)
         self.cum[-1] = self.free
+        self.flat = self.cum.reshape(-1)
         self.step = np.empty_like(self.cum)
         self.above = np.empty(self.cum.shape, bool)
-        self.a = self.b = np.zeros(lanes, np.int64)
+        self.a = np.zeros(lanes, np.int64)
+        self.ha = self.hb = self.a
 
     def look(self) -> None:
         """What orders 2 and 1 name, with what weight."""
-        self.at1 = self.place + (self.a & (_SLOTS - 1))
-        self.at2 = self.place + (((self.a * 0x9E3779B1 + self.b * 0x85EBCA6B) >> 15) & (_SLOTS - 1))
+        self.at1 = (self.a & (_SLOTS - 1)) + self.place
+        self.at2 = ((self.ha + self.hb) >> 15 & (_SLOTS - 1)) + self.place
         self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
+        self.c1, self.c2 = self.e1 & 15, self.e2 & 15
         self.g1, self.g2 = self.e1 >> 4, self.e2 >> 4
-        self.row1 = (self.e1 & 15) * self.lanes + self.lane
-        self.row2 = (self.e2 & 15) * self.lanes + self.lane
+        self.row1, self.row2 = self.row + self.c1, self.row + self.c2
         self.w1, self.w2 = self.p1[self.row1], self.p2[self.row2]
-        self.same = self.g1 == self.g2
-        self.m1 = np.where(self.same, 0, self.w1)
+        # Where both name the same id order 1 has no say.
+        self.other = self.g1 != self.g2
+        self.m1 = self.w1 * self.other
 
     def shares(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of class k among the classes, of _ONE in all."""
         at = k * self.lanes + self.lane
-        flat = self.cum.ravel()
-        first = flat[at]
-        return (first + k).astype(U), (flat[at + self.lanes] - first + 1).astype(U)
+        first = self.flat[at] + k
+        return first, self.flat[at + self.lanes] + k + 1 - first
 
     def learn(self, x: np.ndarray, k: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """x is the id, k its class; hit1: named by order 1, whatever order 2 said."""
-        self.p2[self.row2] = self.w2 + (((_HIGH - _LOW) * hit2 + _LOW - self.w2) >> _FAST)
-        asked = ~(hit2 | self.same)
-        self.p1[self.row1] = self.w1 + ((((_HIGH - _LOW) * hit1 + _LOW - self.w1) >> _FAST) * asked)
-        plain = (x << 4).astype(np.int32)
-        self.t2[self.at2] = np.where(hit2, self.e2 + ((self.e2 & 15) < _RIGHT - 1), plain)
-        self.t1[self.at1] = np.where(hit1, self.e1 + ((self.e1 & 15) < _RIGHT - 1), plain)
+        self.p2[self.row2] = self.w2 + (hit2 * _SPAN + _LOW - self.w2 >> _FAST)
+        asked = self.other > hit2
+        self.p1[self.row1] = self.w1 + (hit1 * _SPAN + _LOW - self.w1 >> _FAST) * asked
+        plain = x << 4
+        self.t2[self.at2] = np.where(hit2, self.e2 + (self.c2 < _RIGHT - 1), plain)
+        self.t1[self.at1] = np.where(hit1, self.e1 + (self.c1 < _RIGHT - 1), plain)
         # Only where neither order named the id: the class becomes likelier.
-        np.greater(self.edge, k.astype(np.int16), out=self.above)
+        np.greater(self.edge, k, out=self.above, casting="unsafe")
         np.multiply(self.above, self.free, out=self.step)
-        self.step -= self.cum
-        self.step >>= _SLOW
-        self.step *= ~(hit2 | hit1)
-        self.cum += self.step
-        self.b, self.a = self.a, x
+        np.subtract(self.step, self.cum, out=self.step)
+        np.right_shift(self.step, _SLOW, out=self.step)
+        np.multiply(self.step, ~(hit2 | hit1), out=self.step)
+        np.add(self.cum, self.step, out=self.cum)
+        self.a = x
+        self.ha, self.hb = x * 0x9E3779B1, (self.ha >> 7) * 5
 
 
 def _class(x: np.ndarray) -> np.ndarray:
@@ -136,60 +144,66 @@ def encode_blocks(ranks: np.ndarray, names: int) -> list[np.ndarray]:
     lanes, n = ranks.shape
     model, classes = Model(lanes, _classes(names)), _classes(names)
     wide = classes - 1 > _WIDE
-    low, size = np.zeros(lanes, U), np.full(lanes, U(1 << 62))
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << 62)
     # The first word only takes up a carry, which there is none of.
     room = n + 64
     out = np.zeros(lanes * room, np.uint32)
     at = np.arange(lanes) * room
-    top = at + room - 16
-    columns = np.ascontiguousarray(ranks.T)
+    top = at + room - 80
 
     def widened() -> None:
-        nonlocal low, size, at, out, room, top
+        nonlocal low, size, at
+        due = size < _SMALL
+        out[at] = low >> 46
+        shift = due * 16
+        low = np.where(due, low & _MASK, low) << shift
+        size = size << shift
+        at = at + due
+        more = np.flatnonzero(size < _SMALL)
+        while len(more):
+            rest = low[more]
+            out[at[more]] = rest >> 46
+            low[more] = (rest & _MASK) << 16
+            size[more] <<= 16
+            at[more] += 1
+            more = more[size[more] < _SMALL]
+
+    for start in range(0, n, 16):
         if (at >= top).any():  # ids that cost more than a word each
             grown = np.zeros(lanes * room * 2, np.uint32)
             grown.reshape(lanes, -1)[:, :room] = out.reshape(lanes, -1)
             at = at + model.lane * room
             out, room = grown, room * 2
-            top = model.lane * room + room - 16
-        due = size < _SMALL
-        while due.any():
-            out[at] = low >> U(46)
-            low = np.where(due, (low & _MASK) << U(16), low)
-            size = np.where(due, size << U(16), size)
-            at = at + due
-            due = size < _SMALL
-
-    for column in columns:
-        x = column.astype(np.int64)
-        k = _class(x)
-        o = x - (1 << k) + 1
-        model.look()
-        hit2, hit1 = x == model.g2, x == model.g1
-        s2 = (size >> U(_BITS)) * model.w2.astype(U)
-        rest = size - s2
-        s1 = (rest >> U(_BITS)) * model.m1.astype(U)
-        rest -= s1
-        first, width = model.shares(k)
-        part = rest >> U(_BITS)
-        own = part * width
-        named = hit2 | (hit1 & ~model.same)
-        start = s2 + s1 + part * first
-        if not wide:
-            own >>= k.astype(U)
-            start += own * o.astype(U)
-        size = np.where(hit2, s2, np.where(named, s1, own))
-        low += np.where(hit2, U(0), np.where(named, s2, start))
-        widened()
-        if wide:
-            own = np.where(named, size, size >> k.astype(U))
-            low += np.where(named, U(0), own * o.astype(U))
-            size = own
+            top = model.lane * room + room - 80
+        some = np.ascontiguousarray(ranks[:, start : start + 16].T).astype(np.int64)
+        kinds = _class(some)
+        for x, k, o in zip(some, kinds, some + 1 - (1 << kinds), strict=True):
+            model.look()
+            hit2, hit1 = x == model.g2, x == model.g1
+            s2 = (size >> _BITS) * model.w2
+            rest = size - s2
+            s1 = (rest >> _BITS) * model.m1
+            part = (rest - s1) >> _BITS
+            first, width = model.shares(k)
+            own = part * width
+            begin = part * first + s1
+            if not wide:
+                own >>= k
+                begin += own * o
+            named = hit1 > hit2
+            size = np.where(hit2, s2, np.where(named, s1, own))
+            low = low + np.where(hit2, 0, np.where(named, 0, begin) + s2)
             widened()
-        model.learn(x, k, hit2, hit1)
+            if wide:
+                by_name = hit2 | hit1
+                own = np.where(by_name, size, size >> k)
+                low = low + np.where(by_name, 0, own * o)
+                size = own
+                widened()
+            model.learn(x, k, hit2, hit1)
     for _ in range(4):
-        out[at] = low >> U(46)
-        low = (low & _MASK) << U(16)
+        out[at] = low >> 46
+        low = (low & _MASK) << 16
         at = at + 1
     used = at - model.lane * room
     words = np.ascontiguousarray(out.reshape(lanes, room).T)
@@ -208,58 +222,69 @@ def decode_blocks(words: list[np.ndarray], n: int, names: int) -> np.ndarray:
     given = np.zeros((lanes, longest + 1), np.uint16)
     for i, w in enumerate(words):
         given[i, : len(w)] = w
-    ahead, size = np.zeros(lanes, U), np.full(lanes, U(1 << 62))
+    ahead, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << 62)
     # 62 bits are looked at: three words and 14 bits of the next; from there on in steps of 16.
     for i in range(3):
-        ahead = (ahead << U(16)) | given[:, i].astype(U)
-    ahead = (ahead << U(14)) | (given[:, 3] >> 2).astype(U)
+        ahead = (ahead << 16) | given[:, i]
+    ahead = (ahead << 14) | (given[:, 3] >> 2)
     given = ((given[:, :-1] & 3) << 14 | given[:, 1:] >> 2).ravel()
     at = model.lane * longest
     last = at + longest - 1
     at = at + 3
+    edges = model.edge[1:-1]
 
     def widened() -> None:
         nonlocal ahead, size, at
         due = size < _SMALL
-        while due.any():
-            ahead = np.where(due, (ahead << U(16)) | given[np.minimum(at, last)].astype(U), ahead)
-            size = np.where(due, size << U(16), size)
-            at = at + due
-            due = size < _SMALL
-
-    out = np.zeros((n, lanes), np.int64)
+        shift = due * 16
+        ahead = ahead << shift | given[np.minimum(at, last)] * due
+        size = size << shift
+        at = at + due
+        more = np.flatnonzero(size < _SMALL)
+        while len(more):
+            ahead[more] = (ahead[more] << 16) | given[np.minimum(at[more], last[more])]
+            size[more] <<= 16
+            at[more] += 1
+            more = more[size[more] < _SMALL]
+
+    def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.view(U) // b.view(U)).view(np.int64)
+
+    out = np.zeros((n, lanes), np.int32 if classes < 31 else np.int64)
+    bare = np.empty((classes - 1, lanes), np.int16)
+    below = np.empty((classes - 1, lanes), bool)
     for i in range(n):
         model.look()
-        s2 = (size >> U(_BITS)) * model.w2.astype(U)
+        s2 = (size >> _BITS) * model.w2
         rest = size - s2
-        s1 = (rest >> U(_BITS)) * model.m1.astype(U)
-        rest -= s1
+        s1 = (rest >> _BITS) * model.m1
+        part = (rest - s1) >> _BITS
         hit2 = ahead < s2
-        s12 = s2 + s1
-        first_hit1 = ~hit2 & (ahead < s12)
-        named = hit2 | first_hit1
-        part = rest >> U(_BITS)
-        beyond = np.where(named, U(0), ahead - s12)
-        v = np.minimum(beyond // part, U(_ONE - 1)).astype(np.int16)
+        beyond = ahead - s2 - s1
+        plain = beyond >= 0
+        named = plain < ~hit2
+        v = np.minimum(quotient(beyond * plain, part), _ONE - 1).astype(np.int16)
         # Edges lie at cum + edge; those up to v are counted.
-        k = ((model.cum[1:-1] + model.edge[1:-1]) <= v).sum(axis=0, dtype=np.int8).astype(np.int64)
+        np.add(model.cum[1:-1], edges, out=bare)
+        np.less_equal(bare, v, out=below)
+        k = below.view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
         first, width = model.shares(k)
         own = part * width
-        beyond -= np.where(named, U(0), part * first)
+        beyond -= part * first
         if not wide:
-            own >>= k.astype(U)
-            o = np.minimum(beyond // own, (U(1) << k.astype(U)) - U(1))
+            own >>= k
+            o = np.minimum(quotient(beyond * plain, own), (1 << k) - 1)
             beyond -= o * own
-        ahead = np.where(hit2, ahead, np.where(named, ahead - s2, beyond))
-        size = np.where(hit2, s2, np.where(named, s1, own))
+        ahead = np.where(plain, beyond, np.where(named, ahead - s2, ahead))
+        size = np.where(plain, own, np.where(named, s1, s2))
         widened()
         if wide:
-            own = np.where(named, size, size >> k.astype(U))
-            o = np.where(named, U(0), np.minimum(ahead // own, (U(1) << k.astype(U)) - U(1)))
-            ahead -= o * own
+            own = np.where(plain, size >> k, size)
+            o = np.minimum(quotient(ahead * plain, own), (1 << k) - 1) * plain
+            ahead = ahead - o * own
             size = own
             widened()
-        x = np.where(hit2, model.g2, np.where(named, model.g1, (1 << k) - 1 + o.astype(np.int64)))
+        x = np.where(plain, (1 << k) - 1 + o, np.where(named, model.g1, model.g2)).astype(np.int64)
         out[i] = x
         model.learn(x, k, hit2, x == model.g1)
     return np.ascontiguousarray(out.T)
@@ -343,8 +368,8 @@ def written(docs: DataFrame, path: str | None = None, partitions: int | None = N
     order within a part. Nulls sort first; equal doc_ids follow a hash of their
     texts, by which they are also dealt out, so that one doc_id may span parts.
     A null or empty text has the end id only. Texts of any length are whole; a
-    segment is closed after the document that fills it. An empty table gives no
-    segments. Columns besides doc_id and text aren't looked at.
+    segment has from SEGMENT to twice as many ids, unless there are fewer or one
+    document has more. An empty table gives no segments. Columns besides doc_id and text aren't looked at.
     """
     from pyspark import TaskContext
 
@@ -359,9 +384,10 @@ def written(docs: DataFrame, path: str | None = None, partitions: int | None = N
         ids: list = []
         held = 0
 
-        def closed():
+        def closed(n: int):
+            """A segment of the first n documents held; coding is quicker the more blocks there are."""
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([held], pa.int64()), pa.array([pack_segment(doc_ids, ids)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([sum(map(len, ids[:n]))], pa.int64()), pa.array([pack_segment(doc_ids[:n], ids[:n])], pa.binary())],
                 names=["part", "segment", "n_ids", "data"],
             )
 
@@ -376,11 +402,13 @@ def written(docs: DataFrame, path: str | None = None, partitions: int | None = N
                     doc_ids.append(doc_id)
                     ids.append(own)
                     held += len(own)
-                    if held >= SEGMENT:
-                        yield closed()
-                        doc_ids, ids, held, segment = [], [], 0, segment + 1
+                    if held >= 2 * SEGMENT:  # the first half goes, so that the last segment isn't small
+                        n = int(np.searchsorted(np.cumsum([len(x) for x in ids]), SEGMENT)) + 1
+                        yield closed(n)
+                        held -= sum(map(len, ids[:n]))
+                        doc_ids, ids, segment = doc_ids[n:], ids[n:], segment + 1
         if ids:
-            yield closed()
+            yield closed(len(ids))
 
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
