@@ -6,7 +6,12 @@ of parts merge to the fingerprint of the whole by taking the K least of their
 union. They estimate resemblance, containment and the number of distinct
 shingles. All of it is DataFrame expressions on the JVM.
 
-Null texts are empty. Two empty fingerprints resemble each other by 1, an empty
+Defined results: null texts are empty, and like those without words have empty
+fingerprints; texts of any length are used whole; rows that share a doc_id are each
+edited with the least text of the next document; repeated rows keep their rows; a
+row without doc_id has no next document; ties don't matter, since a sketch has no
+order; an empty table gives an empty result; columns besides doc_id and text are
+never looked at. Two empty fingerprints resemble each other by 1, an empty
 one and another by 0.
 """
 

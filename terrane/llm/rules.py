@@ -4,11 +4,18 @@ Fixed rules first (too few words, too much repeated). Then each statistic gets
 fences from a mergeable quantile sketch for each language and source: a histogram
 of integers cut to their six leading bits, so a quantile is off by 1/32 of its
 value at most, and sketches of parts, sources or languages merge by adding counts.
-A group with fewer than MIN_ROWS rows uses its language's merged sketch, and a
-language with fewer the corpus's. Everything runs as DataFrame expressions.
-
-A null text has no words and fails the fixed rules; null languages and sources
-are groups of their own. Repeated rows count as often as they occur.
+A fence lies WIDE spreads beyond the outer tenth, the spread being the distance
+from there to the median. Where more than nine tenths of a group have the same
+value, which most have of repeated lines, say, that spread is 0, and the least
+spread that counts decides alone. A group with fewer than MIN_ROWS rows uses its
+language's merged sketch, and a language with fewer the corpus's. Everything runs
+as DataFrame expressions.
+
+Defined results: a null text has no words and, like an empty one, fails the fixed
+rules; null languages and sources are groups of their own; texts of any length are
+counted whole; repeated rows count as often as they occur, and rows that tie with
+a fence are kept; an empty table gives an empty result; columns besides doc_id,
+text, lang and source are never looked at.
 """
 
 from __future__ import annotations
@@ -19,14 +26,14 @@ from pyspark.sql import functions as F
 from terrane.llm.common import WORD, let, next_hashes, stage, whole_text, words
 
 MIN_ROWS = 50
-#: Spreads beyond the quartiles that are still accepted.
-WIDE = 6
+#: Spreads beyond the outer tenths that are still accepted.
+WIDE = 3
 #: Each statistic in thousandths, the least spread that counts, and whether low values fail too.
 STATISTICS = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 50, False),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 100, False),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 50, False),
-    "word_length": ("1000 * word_chars div greatest(n_words, 1)", 600, True),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 120, False),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 95, False),
+    "word_length": ("1000 * word_chars div greatest(n_words, 1)", 100, True),
 }
 
 
@@ -107,28 +114,27 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and quartile fences by keys, from sketches merged over all else."""
+    """Rows and fences by keys, from sketches merged over all else."""
     merged = sketch.groupBy(*keys, "statistic", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "statistic")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("rows", F.sum("n").over(w))
-    quartiles = ranked.groupBy(*keys, "statistic").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("rows"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("rows"), F.col("bin"))).alias("q3"),
-        F.max("rows").alias("rows"),
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("rows"), F.col("bin")))
+    tenths = ranked.groupBy(*keys, "statistic").agg(
+        at(1).alias("t1"), at(5).alias("t5"), at(9).alias("t9"), F.max("rows").alias("rows")
     )
-    wide = F.lit(0)
+    least = F.lit(0)
     both = F.lit(False)
     for k, (_, spread, low) in STATISTICS.items():
-        wide = F.when(F.col("statistic") == k, F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))).otherwise(wide)
+        least = F.when(F.col("statistic") == k, F.lit(spread)).otherwise(least)
         both = F.when(F.col("statistic") == k, F.lit(low)).otherwise(both)
     return (
-        quartiles.withColumn("fence", F.struct(
-            F.when(both, F.col("q1") - WIDE * wide).otherwise(F.lit(-1)).cast("long").alias("low"),
-            (F.col("q3") + WIDE * wide).cast("long").alias("high"),
+        tenths.withColumn("fence", F.struct(
+            F.when(both, F.col("t1") - WIDE * F.greatest(F.col("t5") - F.col("t1"), least)).otherwise(F.lit(-1)).cast("long").alias("low"),
+            (F.col("t9") + WIDE * F.greatest(F.col("t9") - F.col("t5"), least)).cast("long").alias("high"),
         ))
         .groupBy(*keys)
         .agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("statistic") == k, F.col("fence"))).alias(k) for k in STATISTICS))
-    )
+    )
 
 
 def ruled(docs: DataFrame) -> DataFrame:
@@ -140,7 +146,9 @@ def ruled(docs: DataFrame) -> DataFrame:
         "rule-stats",
     )
     sketch = stage(sketches(stats), "rule-sketches")
-    own, lang, world = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
+    own, lang = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
+    # The corpus's own fences are one row, and so constants of the plan.
+    world = fences(sketch, []).first()
 
     def named(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
@@ -148,14 +156,13 @@ def ruled(docs: DataFrame) -> DataFrame:
     out = stats.join(
         named(own, "a"), F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left"
     ).join(named(lang, "b"), F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-    # One row for the corpus: a join on a constant key, broadcast like any table of one row.
-    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(named(world, "c").withColumn("_one", F.lit(1))), "_one", "left")
     kept = ~F.col("base_failed")
     for k, (e, _, _) in STATISTICS.items():
+        whole = world[k] if world and world[k] else {"low": None, "high": None}
         fence = (
             F.when(F.col("a_rows") >= MIN_ROWS, F.col(f"a_{k}"))
             .when(F.col("b_rows") >= MIN_ROWS, F.col(f"b_{k}"))
-            .otherwise(F.col(f"c_{k}"))
+            .otherwise(F.struct(*(F.lit(whole[c]).cast("long").alias(c) for c in ("low", "high"))))
         )
         v = F.expr(f"cast({e} as bigint)")
         kept = kept & F.coalesce((v >= fence["low"]) & (v <= fence["high"]), F.lit(True))

@@ -12,7 +12,13 @@ Labelled findings are a DataFrame (token, before, after, label); the built-in on
 are what the scan finds in texts made by rule from formats of keys and of strings
 that are mistaken for them.
 
-A null text has no candidates; repeated rows and repeated strings give a row each.
+Not scanned: strings of under 12 characters that don't follow an assignment sign,
+and of under six that do; a secret of several words; one that is broken by blanks.
+
+Defined results: null and empty texts have no candidates; texts of any length are
+scanned whole; repeated rows and repeated strings give a row each; a candidate
+that ties with the threshold is a secret; an empty table gives an empty result;
+columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ CANDIDATE = (
 )
 #: Characters of context on either side in which neighbouring words are looked for.
 CONTEXT = 48
-#: Dictionary words, in the order of the alphabet.
+#: Candidates of a text whose places are summed in one piece.
+CHUNK = 256
+#: Words that names and placeholders in code are made of; a parameter of the features.
 DICTIONARY = (
     "admin", "alpha", "and", "api", "app", "auth", "beta", "build", "change", "client", "code", "com", "config",
     "data", "default", "demo", "dev", "dummy", "example", "file", "for", "from", "home", "host", "http", "html",
@@ -95,15 +103,32 @@ def candidates(docs: DataFrame, *more: str) -> DataFrame:
         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("tokens"),
         F.split("text", CANDIDATE, -1).alias("gaps"),
     )
-    # Where each candidate starts: the sum of what lies before it.
-    starts = F.aggregate(
-        F.arrays_zip("tokens", "gaps"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gaps"]) + F.coalesce(F.length(x["tokens"]), F.lit(0))).alias("at"),
-            F.concat(a["starts"], F.array(a["at"] + F.length(x["gaps"]))).alias("starts"),
+    # Where each candidate starts: the sum of what lies before it. Arrays are copied when
+    # they grow, so sums are taken in pieces of CHUNK candidates and the pieces joined.
+    pairs = F.arrays_zip("tokens", "gaps")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("gaps") / CHUNK).cast("int")), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK))
+    )
+    none = F.array().cast("array<int>")
+    sums = F.transform(
+        pieces,
+        lambda piece: F.aggregate(
+            piece,
+            F.struct(F.lit(0).alias("at"), none.alias("starts")),
+            lambda a, x: F.struct(
+                (a["at"] + F.length(x["gaps"]) + F.coalesce(F.length(x["tokens"]), F.lit(0))).alias("at"),
+                F.concat(a["starts"], F.array(a["at"] + F.length(x["gaps"]))).alias("starts"),
+            ),
         ),
-        lambda a: a["starts"],
+    )
+    starts = F.flatten(
+        F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("starts")),
+            lambda a, x: F.struct(
+                (a["at"] + x["at"]).alias("at"), F.concat(a["starts"], F.array(F.transform(x["starts"], lambda s: s + a["at"]))).alias("starts")
+            ),
+        )["starts"]
     )
     # A name long enough to be a candidate stands before the value that is assigned to it.
     named = F.zip_with(
@@ -145,8 +170,8 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     letters = F.translate(b64, "0123456789+/", "qWeRtYuIoPaS")
     small = F.translate(digest("g"), "0123456789", "ghiklmnoprstu")
     formats = [
-        (1, 'of token = "', hex40, '" and'),
-        (1, "the ### token = \"", hex40, '"### $$$'),
+        (1, 'const token = "', hex40, '";'),
+        (1, "let auth_token = \"", hex40, '", null)'),
         (1, "api_key: ", hex40, " "),
         (1, "export SECRET_KEY='", b64, "'\n"),
         (1, "aws_access_key_id=", F.concat(F.lit("AKIA"), F.upper(F.left(F.translate(b64, "+/", "XY"), F.lit(16)))), "\n"),
@@ -169,7 +194,7 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (0, "the ", F.left(F.rpad(number, 16, "7"), F.lit(16)), " of"),
         (0, "card ", F.left(F.rpad(number, 16, "7"), F.lit(16)), " and"),
         (0, " of ", F.concat_ws(".", *((F.conv(F.substring(digest("f"), a, 2), 16, 10).cast("int") % 156 + 100).cast("string") for a in (1, 3, 5, 7))), " is"),
-        (0, "und.34@", F.concat(F.lit("mail"), (n % 10).cast("string"), F.lit(".example.com")), " and"),
+        (0, "jane.doe@", F.concat(F.lit("mail"), (n % 10).cast("string"), F.lit(".example.com")), " and"),
         (0, "to ", F.concat(word, other, F.lit("."), (n % 99 + 1).cast("string")), "@mail3.example.com"),
         (0, "see ", F.concat(F.lit("/usr/"), word, F.lit("/"), other, (n % 99).cast("string"), F.lit(".html")), " for"),
         (0, "https:", F.concat(F.lit("//www."), word, other, F.lit(".com/page"), n.cast("string")), " "),
