@@ -4,6 +4,7 @@
     spark-submit -m terrane.cli load CSV_DIR DIR [--lgcode 131016,26....]
     spark-submit -m terrane.cli download DIR URL...
     spark-submit -m terrane.cli update-check DIR URL...
+    spark-submit -m terrane.cli serve --gazetteer DIR [--port 3000]
 
 LINES may be `-`, the standard input; without OUT, lines go to the standard output.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from terrane.functions.constants import FUZZY
 from terrane.operators.storage import shared_folder
-from terrane.plans.geocode import TARGETS, geocode
+from terrane.plans.geocode import TARGETS, Geocoder, geocode
+from terrane.server import server
 from terrane.session import session
 from terrane.sources import download, gazetteer, sinks
 from terrane.sources.lines import comment_filtered, given_lines, read_lines, without_block_comments
@@ -43,6 +45,9 @@ def parsed(argv: list[str] | None) -> argparse.Namespace:
         u = sub.add_parser(name)
         u.add_argument("folder")
         u.add_argument("urls", nargs="+")
+    s = sub.add_parser("serve")
+    s.add_argument("--gazetteer", required=True)
+    s.add_argument("--port", type=int, default=3000)
     return parser.parse_args(argv)
 
 
@@ -61,6 +66,8 @@ def main(argv: list[str] | None = None) -> None:
             sinks.write(out, a.format, a.out, a.debug)
         else:
             sinks.printed(out, a.format, a.debug)
+    elif a.command == "serve":
+        server(spark, Geocoder(gazetteer.read(spark, a.gazetteer)).geocode, a.port).serve_forever()
     elif a.command == "load":
         for table, changed in gazetteer.load(spark, a.csv, a.out, [c for c in a.lgcode.split(",") if c]).items():
             print(table, *(f"{k} {n}" for k, n in sorted(changed.items())))

@@ -30,7 +30,6 @@ def town_full(town: DataFrame, city: DataFrame, pref: DataFrame) -> DataFrame:
         .withColumn("coordinate_level", F.when(own, F.col("match_level")).otherwise(2))
         .withColumn("rep_lon", F.when(own, F.col("rep_lon")).otherwise(F.col("city_lon")))
         .withColumn("rep_lat", F.coalesce("rep_lat", "city_lat"))
-        .drop("city_lat", "city_lon")
     )
 
 
@@ -57,6 +56,27 @@ def oaza_parents(full: DataFrame) -> DataFrame:
     ).agg(F.min("rep_lat").alias("rep_lat"), F.count("*").alias("n"))
 
 
+def with_parents(full: DataFrame) -> DataFrame:
+    """full and, for each oaza that only has parts of its own, a row for the oaza as a whole.
+
+    Such a row has no key of its own and no flag; its place is its city's.
+    """
+    named = full.filter(has("oaza_cho") & (F.coalesce("koaza_aka_code", F.lit(0)) != 2)).withColumn("_stem", F.substring("machiaza_id", 1, 4))
+    own = named.filter(F.col("machiaza_id").endswith("000")).select("city_key", "_stem").distinct()
+    keys = ["city_key", "_stem", "oaza_cho"]
+    of_city = {"rep_lat": "city_lat", "rep_lon": "city_lon"}
+    shared = [c for c in full.columns if c in ("pref_key", "lg_code", "county", "city", "ward", "pref")]
+    rows = (
+        named.join(own, ["city_key", "_stem"], "left_anti")
+        .groupBy(*keys)
+        .agg(*(F.min(c).alias(c) for c in shared), *(F.min(v if v in full.columns else k).alias(k) for k, v in of_city.items()))
+        .withColumn("machiaza_id", F.concat("_stem", F.lit("000")))
+        .withColumns({"match_level": F.lit(3), "coordinate_level": F.lit(2), "koaza_aka_code": F.lit(0), "rsdt_addr_flg": F.lit(-1)})
+    )
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in full.schema.fields if f.name not in rows.columns}
+    return full.unionByName(rows.withColumns(missing).select(*full.columns))
+
+
 def by_precedence(parts: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:
     """Union in which a later part's row overwrites an earlier one's with the same keys."""
     rows = None

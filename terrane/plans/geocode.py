@@ -113,10 +113,10 @@ class Geocoder:
                 gazetteer.town,
                 {k: FIELDS[k] for k in ("town_key", "city_key", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code", "rsdt_addr_flg")} | _PLACE,
             )
-            full = settled(D.inherited(D.town_full(town, city, pref)), "book-towns")
+            full = settled(D.inherited(D.with_parents(D.town_full(town, city, pref))), "book-towns")
             rows = D.town_keys(full.filter(F.coalesce("koaza_aka_code", F.lit(0)) != 2))
             rows = rows.withColumn("key", self.spell_town(F.col("key"))).filter("key <> ''")
-            rows = first_wins(rows, ["city_key", "key", "machiaza_id"], [F.col("town_key")]).withColumn("amb", F.lit(0))
+            rows = first_wins(rows, ["city_key", "key", "machiaza_id"], [F.col("town_key").asc_nulls_last()]).withColumn("amb", F.lit(0))
             # Looked up in a city, in a prefecture, or anywhere, as far as is known.
             scopes = F.array(F.concat(F.lit("c"), F.col("city_key")), F.concat(F.lit("p"), F.col("pref_key")), F.lit(""))
             rows = rows.withColumn("_scope", F.explode(scopes)).withColumn("key", F.concat_ws("|", "_scope", "key")).drop("_scope")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrane.functions import text as T
 from terrane.operators import dictionary as D
 from terrane.operators import upsert as U
+from terrane.operators.progress import counted
 from terrane.operators.storage import shared_folder
 from terrane.queries import _FULL, _full, _results, _table, derived, query
 from terrane.sources import download, gazetteer, registry, sinks
@@ -226,3 +227,19 @@ def ordered_output(spark, d):
     got = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
     got = got.withColumn("at", (F.row_number().over(Window.orderBy("f", "i")) - 1).cast("long")).filter(~F.col("value").isin("[", "]"))
     return got.select("at", F.get_json_object(F.regexp_replace("value", ",$", ""), "$.result.output").cast("long").alias("line_id"))
+
+
+@query("select count(*) as n, sum(s_suppkey) as total from supplier")
+def progress_count(spark, d):
+    """Rows counted as they pass to a file."""
+    rows, seen = counted(_table(spark, d, "supplier").select("s_suppkey"))
+    path = _folder(spark, "progress")
+    rows.write.parquet(path)
+    return spark.read.parquet(path).agg(F.lit(seen()).cast("long").alias("n"), F.sum("s_suppkey").alias("total"))
+
+
+@query(f"""select city_key, machiaza_id, oaza_cho from (select city_key, substr(machiaza_id, 1, 4) || '000' as machiaza_id, oaza_cho, count(*) as n from {_FULL} f
+ where oaza_cho <> '' and koaza_aka_code <> 2 group by all) x where not exists (select 1 from town t where t.city_key = x.city_key and t.machiaza_id = x.machiaza_id and t.oaza_cho <> '' and t.koaza_aka_code <> 2)""")
+def dict_missing_parents(spark, d):
+    full = _full(spark, d)
+    return D.with_parents(full).filter("town_key is null").select("city_key", "machiaza_id", "oaza_cho")
