@@ -117,6 +117,11 @@ def entity(value: str, kind: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
+def words_of(text: str) -> set[str]:
+    """The different words of a text, each lowered by itself (some characters lower otherwise beside others)."""
+    return set(_TERM.findall(text.lower())) if text.isascii() else {m.lower() for m in set(_TERM.findall(text))}
+
+
 def near_terms(text: str, spans: list[tuple[int, int, str]]):
     """(entity, term, context) for each mention and each whole word near it in its line."""
     if not spans:
@@ -195,7 +200,7 @@ def least_counts(docs: DataFrame) -> DataFrame:
                 if key in texts:
                     continue
                 texts.add(key)
-                for word in {m.lower() for m in set(_TERM.findall(text.as_py()))}:
+                for word in words_of(text.as_py()):
                     counts[word] = counts.get(word, 0) + 1
                 if len(counts) >= HELD or len(texts) >= HELD:
                     yield out()
@@ -266,8 +271,8 @@ def text_terms(docs: DataFrame, held: DataFrame, common: dict[str, int], posteri
                     parts.append(whole[at : max(a, at)])
                     at = max(at, b)
                 # Words cut by a span are not free; what a cut leaves of one is no word of the text.
-                free = {m.lower() for m in set(_TERM.findall("@".join([*parts, whole[at:]])))}
-                found = {m.lower() for m in set(_TERM.findall(whole))}
+                free = words_of("@".join([*parts, whole[at:]]))
+                found = words_of(whole)
                 keys.append(key)
                 lists.append([{"term": w, "free": w in free} for w in found if bound >= posterior * common.get(w, 0)])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, kind)], names=["text_key", "terms"])
@@ -282,22 +287,20 @@ def holders(docs: DataFrame, bits: bytes) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[str, str | None] = {}
+        seen: dict[str, bool] = {}
+
+        def hit(word: str) -> bool:
+            found = seen.get(word)
+            if found is None:
+                if len(seen) >= HELD:
+                    seen.clear()
+                found = seen[word] = is_marked(bits, zlib.crc32(word.encode()) % TERM_CELLS)
+            return found
+
         for batch in batches:
             keys, terms = [], []
             for key, text in zip(batch.column(1), batch.column(2), strict=True):
-                own = set()
-                for word in set(_TERM.findall(text.as_py())):
-                    hit = seen.get(word, "")
-                    if hit == "":
-                        if len(seen) >= HELD:
-                            seen.clear()
-                        hit = word.lower()
-                        if not is_marked(bits, zlib.crc32(hit.encode()) % TERM_CELLS):
-                            hit = None
-                        seen[word] = hit
-                    if hit is not None:
-                        own.add(hit)
+                own = list(filter(hit, words_of(text.as_py())))
                 keys += [key.as_py()] * len(own)
                 terms += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"])
@@ -370,7 +373,7 @@ def revealing(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame | No
 
 def term_spans(text: str, spans: list[tuple[int, int, str]], terms: dict) -> list[tuple[int, int, str]]:
     """(start, end, term) of the words of a text that are terms, outside of its base spans."""
-    if not any(w.lower() in terms for w in set(_TERM.findall(text))):
+    if not terms or terms.keys().isdisjoint(words_of(text)):
         return []
     out, k = [], 0
     by_start = sorted(spans)
