@@ -41,8 +41,8 @@ MAGIC = b"TRNC"
 VERSION = 2
 HEAD = "<4sHIIQIII"
 #: Ids of a block at most and at least, blocks that a segment should have, ids of a segment.
-BLOCK, LEAST, LANES = 4096, 512, 1024
-SEGMENT = 3 << 20
+BLOCK, LEAST, LANES = 4096, 512, 2048
+SEGMENT = 4 << 20
 #: Id after each document.
 END_ID = 1
 
@@ -293,7 +293,7 @@ def decode_blocks(words: list[np.ndarray], n: int, names: int) -> np.ndarray:
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int | None = None) -> bytes:
     """One segment's bytes. Blocks are smaller where the segment has few ids, for the sake of lanes."""
     lens = np.array([len(i) for i in ids], "<u4")
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     block = block or min(BLOCK, max(LEAST, len(flat) // LANES))
     if len(flat) and flat.max() < 1 << 20:
         seen = np.bincount(flat)
@@ -316,7 +316,7 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int |
     table = zlib.compress(nulls.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + lens.tobytes())
     named = zlib.compress(names.astype("<u4").tobytes())
     head = struct.pack(HEAD, MAGIC, VERSION, block, len(ids), len(flat), blocks, len(table), len(named)) + table + named
-    raw = flat.astype("<u4")
+    raw = flat.astype("<u4", copy=False)
     marks = [
         struct.pack("<III", len(w), len(part), zlib.crc32(part.tobytes()))
         for i, w in enumerate(words)
