@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import written as W
@@ -27,7 +27,7 @@ from terrane.functions.text import format_address, python_text
 from terrane.operators import dictionary as D
 from terrane.operators import lookup as L
 from terrane.operators import rank as R
-from terrane.operators.prefix_match import BROADCAST_KEYS, digit_boundary, first_wins, fuzzy_match, key_lengths, missing_words, prefix_match
+from terrane.operators.prefix_match import BROADCAST_KEYS, first_wins, fuzzy_match, key_lengths, missing_words
 from terrane.operators.storage import settled
 
 TARGETS = ("all", "residential", "parcel")
@@ -165,72 +165,93 @@ class Geocoder:
             *(F.lit(None).cast(t).alias(c) for c, t in FIELDS.items()),
         )
 
-    def hits(self, asked: DataFrame, book: Book, wild: bool) -> DataFrame:
-        """asked joined with the keys that start its rest, under wild cards too; the book's columns begin with _d_."""
-        d = book.rows.select("key", "amb", *(F.col(c).alias(f"_d_{c}") for c in book.rows.columns if c not in ("key", "amb")))
-        out = prefix_match(asked, d, "rest", cand_id="cand", lengths=book.lengths, small=book.small)
+    def opened(self, c: DataFrame, book: Book, tries: Column, wild: bool) -> DataFrame:
+        """Each candidate as it is (depth 0), and each hit of its tries with the book's columns, which begin with _d_.
+
+        tries: array of the texts to look up. All of it is one pass over the candidates,
+        and a line's rows stay where they are: as lines are dealt by line_id at the start,
+        nothing that follows moves them again as long as dictionaries are broadcast.
+        """
+        d = book.rows.select(F.col("key").alias("_cut"), "amb", F.lit(True).alias("_d_found"), *(F.col(k).alias(f"_d_{k}") for k in book.rows.columns if k not in ("key", "amb")))
+        plain = c.withColumn("_try", F.explode(F.concat(F.array(F.lit(None).cast("string")), tries)))
+        cuts = F.filter(F.array(*map(F.lit, book.lengths or [1])), lambda n: n <= F.length("_try"))
+        cut = plain.withColumn("depth", F.explode(F.when(F.col("_try").isNull(), F.array(F.lit(0))).otherwise(cuts)))
+        # What no key can be equal to stands for the candidate itself, another one for each line.
+        cut = cut.withColumn("_cut", F.when(F.col("depth") == 0, F.concat(F.lit("\0"), F.col("line_id").cast("string"))).otherwise(F.col("_try").substr(F.lit(1), F.col("depth"))))
+        out = cut.join(F.broadcast(d) if book.small else d, "_cut", "left").filter("depth = 0 or _d_found")
         if wild:
-            scope = lambda c: F.regexp_extract(c, r"^[cp]?[0-9]*\|", 0)
-            d = d.withColumnRenamed("amb", "_left_out").withColumn("_scope", scope("key"))
-            more = fuzzy_match(asked.withColumn("_scope", scope("rest")), d, "rest", on=("_scope",))
+            scope = lambda k: F.regexp_extract(k, r"^[cp]?[0-9]*\|", 0)
+            names = d.withColumnRenamed("amb", "_left_out").withColumnRenamed("_cut", "key").withColumn("_scope", scope("key"))
+            asked = plain.filter(F.col("_try").isNotNull()).withColumn("_scope", scope("_try"))
+            more = fuzzy_match(asked, names, "_try", on=("_scope",)).withColumnRenamed("key", "_cut").drop("unmatched")
             more = more.filter("amb > 0").withColumn("amb", F.col("amb") + F.col("_left_out")).drop("_left_out", "_scope")
             out = out.unionByName(more)
-        return digit_boundary(out)
+        out = out.withColumn("unmatched", F.col("_try").substr(F.col("depth") + 1, F.length("_try"))).withColumnRenamed("_cut", "key")
+        return out.filter((F.col("depth") == 0) | ~(F.col("key").rlike("[0-9]$") & F.col("unmatched").rlike("^[0-9]")))
 
-    def taken(self, hits: DataFrame, book: Book, cands: DataFrame, level: Column, values: list[str]) -> DataFrame:
-        """The candidates that hits make, in the columns of cands."""
+    def taken(self, rows: DataFrame, book: Book, cands: DataFrame, level: Column, values: list[str]) -> DataFrame:
+        """The candidates that hits make, beside those that stay as they are, in the columns of cands."""
+        hit = F.col("depth") != 0
         names = [v for v in values if v in book.rows.columns]
         inherits = "coordinate_level" in book.rows.columns
         place = F.col("_d_rep_lat").isNotNull() & F.col("_d_rep_lon").isNotNull()
-        set_ = {v: F.col(f"_d_{v}") for v in names if v not in _PLACE}
-        set_ |= {v: F.when(place, F.col(f"_d_{v}")).otherwise(F.col(v)) for v in _PLACE}
-        found = hits.withColumn("_level", level).withColumns(set_ | {
-            "match_level": F.col("_level"),
-            "coordinate_level": F.when(place, F.col("_d_coordinate_level" if inherits else "_level")).otherwise(F.col("coordinate_level")),
+        new = {v: F.col(f"_d_{v}") for v in names if v not in _PLACE}
+        new |= {v: F.when(place, F.col(f"_d_{v}")).otherwise(F.col(v)) for v in _PLACE}
+        new |= {
+            "match_level": level,
+            "coordinate_level": F.when(place, F.col("_d_coordinate_level") if inherits else level).otherwise(F.col("coordinate_level")),
             "matched_cnt": F.col("matched_cnt") + F.col("depth"),
             "ambiguous_cnt": F.col("ambiguous_cnt") + F.col("amb"),
             "rest": F.regexp_replace("unmatched", f"^[{SPACE} ]+", ""),
-        })
+        }
+        if "original_flg" in values:
+            new["original_flg"] = F.col("_d_rsdt_addr_flg")
+        found = rows.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in new.items()})
         # One name can stand for several rows: a candidate of its own for each.
-        named = found.withColumn("cand", F.concat_ws("/", "cand", F.hex(F.xxhash64(*(F.col(v) for v in names), "key", "rest"))))
-        keys = ["line_id", "rest", "lg_code", "unused", *(v for v in names if v.endswith("_key") or v == "machiaza_id")]
+        own = F.concat_ws("/", "cand", F.hex(F.xxhash64(*(F.col(v) for v in names), "key", "rest")))
+        found = found.withColumn("_of", F.when(~hit, F.col("cand"))).withColumn("cand", F.when(hit, own).otherwise(F.col("cand")))
+        keys = ["line_id", "_of", "rest", "lg_code", "unused", *(v for v in names if v.endswith("_key") or v == "machiaza_id")]
         best = [F.col("ambiguous_cnt"), F.desc("matched_cnt"), F.col("cand")]
-        return first_wins(named, list(dict.fromkeys(keys)), best).select(*cands.columns)
+        return first_wins(found, list(dict.fromkeys(keys)), best).select(*cands.columns)
 
     def stages(self, lines: DataFrame) -> DataFrame:
-        """All candidates of all lines; each stage uses its input more than once and is written down."""
+        """All candidates of all lines.
+
+        Prefectures, cities and towns are one pass over lines dealt by line_id; the
+        numbers that follow meet larger tables, and each of their stages is written down.
+        """
         c = settled(self.start(lines), "geocode-start")
         wild = not c.filter(F.col("rest").contains(FUZZY)).isEmpty()
-        c = settled(self.in_pref(c, wild), "geocode-pref")
-        c = settled(self.in_city(c, wild), "geocode-city")
+        c = self.in_city(self.in_pref(c.repartition("line_id"), wild), wild)
         if self.street is not None:
-            c = settled(self.in_street(c, wild), "geocode-street")
+            c = settled(self.in_street(settled(c, "geocode-city"), wild), "geocode-street").repartition("line_id")
         if self.town is not None:
-            c = settled(self.in_town(c, wild), "geocode-town")
+            c = self.in_town(c, wild)
         for table, step in ((self.blk, self.block), (self.dsp, self.residence), (self.parcel, self.lot)):
             if table is not None:
-                c = settled(step(c, wild), f"geocode-{step.__name__}")
+                c = step(settled(c, f"geocode-before-{step.__name__}"), wild)
         return c
 
     def in_pref(self, c: DataFrame, wild: bool) -> DataFrame:
-        hits = self.hits(c.filter("match_level = 0 and rest <> ''"), self.pref, wild)
-        out = self.taken(hits, self.pref, c, F.lit(1), ["pref_key", "pref", "lg_code", *_PLACE])
-        sure = hits.filter("amb = 0").select("cand").distinct()
-        return out.unionByName(c.join(sure, "cand", "left_anti").select(*c.columns))
+        tries = F.when((F.col("match_level") == 0) & (F.col("rest") != ""), F.array("rest")).otherwise(F.array().cast("array<string>"))
+        rows = self.opened(c, self.pref, tries, wild)
+        sure = F.max((F.col("depth") > 0) & (F.col("amb") == 0)).over(Window.partitionBy("line_id", "cand"))
+        rows = rows.withColumn("_sure", sure).filter("depth > 0 or not coalesce(_sure, false)")
+        return self.taken(rows, self.pref, c, F.lit(1), ["pref_key", "pref", "lg_code", *_PLACE])
 
     def in_city(self, c: DataFrame, wild: bool) -> DataFrame:
         """The steps of cities in one match: a step counts until one before it had only certain hits."""
-        hits = self.hits(c.filter("match_level < 2 and rest <> ''"), self.city, wild)
-        step, known = F.col("_d_step"), F.col("pref_key").isNotNull()
+        tries = F.when((F.col("match_level") < 2) & (F.col("rest") != ""), F.array("rest")).otherwise(F.array().cast("array<string>"))
+        rows = self.opened(c, self.city, tries, wild)
+        step, hit = F.col("_d_step"), F.col("depth") > 0
         # Wards of Tokyo are asked in any prefecture; all else has to lie in the one that is known.
-        hits = hits.filter(~known | (F.col("pref_key") == F.col("_d_pref_key")) | ((step == 4) & (F.substring("lg_code", 1, 2) == "13")))
-        unsure = (F.col("amb") > 0) | ((step == 3) & (F.col("match_level") == 0))
-        unsure |= (step == 4) & F.col("_d_city").isin(*SHARED_WARDS) & (F.coalesce(F.substring("lg_code", 1, 2), F.lit("")) != "13")
-        steps = hits.groupBy("cand", "_d_step").agg(F.max(unsure.cast("int")).alias("unsure"))
-        last = steps.filter("unsure = 0").groupBy("cand").agg(F.min("_d_step").alias("_last"))
-        hits = hits.join(last, "cand", "left").filter(F.col("_last").isNull() | (step <= F.col("_last")))
-        out = self.taken(hits, self.city, c, F.lit(2), ["pref_key", "city_key", "lg_code", "pref", "county", "city", "ward", *_PLACE])
-        return out.unionByName(c.join(last, "cand", "left_anti").select(*c.columns))
+        tokyo = F.coalesce(F.substring("lg_code", 1, 2), F.lit("")) == "13"
+        rows = rows.filter(~hit | F.col("pref_key").isNull() | (F.col("pref_key") == F.col("_d_pref_key")) | ((step == 4) & tokyo))
+        unsure = (F.col("amb") > 0) | ((step == 3) & (F.col("match_level") == 0)) | ((step == 4) & F.col("_d_city").isin(*SHARED_WARDS) & ~tokyo)
+        rows = rows.withColumn("_unsure", F.max(unsure).over(Window.partitionBy("line_id", "cand", "_d_step")))
+        last = F.min(F.when(hit & ~F.col("_unsure"), step)).over(Window.partitionBy("line_id", "cand"))
+        rows = rows.withColumn("_last", last).filter(F.col("_last").isNull() | (hit & (step <= F.col("_last"))))
+        return self.taken(rows, self.city, c, F.lit(2), ["pref_key", "city_key", "lg_code", "pref", "county", "city", "ward", *_PLACE])
 
     def in_street(self, c: DataFrame, wild: bool) -> DataFrame:
         """Streets of Kyoto: the whole rest, the rest without a bearing, and what follows the bearing; the original always stays.
@@ -241,13 +262,13 @@ class Geocoder:
         asked = asked.withColumn("_try", F.explode(street_tries(F.col("rest")))).withColumns(
             {"rest": self.spell_street(F.col("_try.rest")), "unused": F.col("_try.unused"), "ambiguous_cnt": F.col("ambiguous_cnt") + F.col("_try.amb")}
         )
-        hits = self.hits(asked.filter("rest <> ''").drop("_try"), self.street, wild)
+        asked = asked.filter("rest <> ''").drop("_try")
+        hits = self.opened(asked, self.street, F.array("rest"), wild).filter("depth > 0")
         agree = [F.col(k).isNull() | (F.col(k) == F.col(f"_d_{k}")) for k in ("pref_key", "city_key", "oaza_cho")]
         # A number that was taken for a chome has to be followed by a dash.
         chome = F.col("_d_oaza_cho").contains("丁目") & (F.col("unmatched") != "") & ~F.col("unmatched").startswith(DASH)
         hits = hits.filter((F.col("match_level") == 0) | (agree[0] & agree[1] & agree[2] & ~F.coalesce(chome, F.lit(False))))
-        out = self.taken(hits, self.street, c, F.col("_d_match_level"), TOWN_VALUES)
-        return c.unionByName(out.withColumn("original_flg", F.col("rsdt_addr_flg")))
+        return c.unionByName(self.taken(hits, self.street, c, F.col("_d_match_level"), TOWN_VALUES))
 
     def in_town(self, c: DataFrame, wild: bool) -> DataFrame:
         """Towns of the candidate's city, or else of its prefecture, or of all: the scope is part of the key.
@@ -256,26 +277,32 @@ class Geocoder:
         already, of which there are longer names.
         """
         free = (F.col("rest") != "") & (F.coalesce("koaza_aka_code", F.lit(0)) != 2) & ~F.col("rest").rlike("(?:上る|下る|東入る?|西入る?)|(?:角[東西南北])|(?:[東西南北]側)")
-        asked = c.filter(free).withColumn("rest", self.spell_town(F.col("rest")))
+        rows = c.withColumn("_rest", self.spell_town(F.when(free, F.col("rest")).otherwise(F.lit(""))))
         found = F.concat(D.blank("oaza_cho"), D.blank("chome"))
-        again = F.when(F.col("oaza_cho").isNotNull(), F.struct(F.concat(self.spell_town(found), "rest").alias("t"), (-F.length(found)).alias("n"), F.lit(True).alias("w")))
-        plain = F.struct(F.col("rest").alias("t"), F.lit(0).alias("n"), F.lit(False).alias("w"))
-        less = [F.when(F.col("rest").rlike(p), F.struct(F.regexp_replace("rest", p, new).alias("t"), F.lit(0).alias("n"), F.lit(False).alias("w"))) for p, new in ((f"([0-9]){OAZA_BANCHO}", "$1"), ("^([^町]*)町", "$1"))]
-        asked = asked.withColumn("_t", F.explode(F.filter(F.array(plain, again, *less), lambda t: t.isNotNull())))
         scope = F.when(F.col("city_key").isNotNull(), F.concat(F.lit("c"), "city_key")).when(F.col("pref_key").isNotNull(), F.concat(F.lit("p"), "pref_key")).otherwise(F.lit(""))
-        asked = asked.withColumn("_lead", F.length(scope) + 1 - F.col("_t.n")).withColumn("_whole", F.col("_t.w")).withColumn("rest", F.concat_ws("|", scope, "_t.t")).drop("_t")
-        hits = self.hits(asked, self.town, wild)
-        hits = hits.filter(F.col("_whole") | F.col("oaza_cho").isNull() | (F.col("oaza_cho") == F.col("_d_oaza_cho")))
+        again = F.when(F.col("oaza_cho").isNotNull(), F.concat(self.spell_town(found), "_rest"))
+        less = [F.when(F.col("_rest").rlike(p), F.regexp_replace("_rest", p, new)) for p, new in ((f"([0-9]){OAZA_BANCHO}", "$1"), ("^([^町]*)町", "$1"))]
+        tries = F.array_distinct(F.filter(F.array("_rest", again, *less), lambda t: t.isNotNull()))
+        rows = rows.withColumn("_where", F.concat(scope, F.lit("|"))).withColumn("_again", F.concat("_where", again))
+        tries = F.when(F.col("_rest") != "", F.transform(tries, lambda t: F.concat(F.col("_where"), t))).otherwise(F.array().cast("array<string>"))
+        rows = self.opened(rows, self.town, tries, wild)
+        hit = F.col("depth") > 0
+        whole = F.coalesce(F.col("_try") == F.col("_again"), F.lit(False))
+        rows = rows.filter(~hit | whole | F.col("oaza_cho").isNull() | (F.col("oaza_cho") == F.col("_d_oaza_cho")))
+        lead = F.length("_where") + F.when(whole, F.length(found)).otherwise(F.lit(0))
         named = F.concat(D.blank("_d_oaza_cho"), D.blank("_d_chome"))
         # A dash after a chome, or a second town word after a town, belongs to the match.
         swallowed = (named.contains("丁目") & F.col("unmatched").startswith(DASH)).cast("int")
         town = (F.col("_d_oaza_cho").endswith("町") | F.col("_d_chome").endswith("町")) & F.col("unmatched").startswith("町")
         town = F.coalesce(town, F.lit(False)).cast("int")
         behind = F.col("unmatched").substr(swallowed + town + 1, F.length("unmatched"))
-        hits = hits.withColumn("depth", F.col("depth") - F.col("_lead") + swallowed + town).withColumn("unmatched", behind)
-        out = self.taken(hits, self.town, c, F.col("_d_match_level"), TOWN_VALUES).withColumn("original_flg", F.col("rsdt_addr_flg"))
-        sure = hits.groupBy("cand").agg(F.max("amb").alias("m")).filter("m = 0").join(c.filter("match_level < 3").select("cand"), "cand", "left_semi").select("cand")
-        return out.unionByName(c.join(sure, "cand", "left_anti").select(*c.columns))
+        # A hit of the words that were found already gains nothing, but counts.
+        depth = F.when(hit, F.col("depth") - lead + swallowed + town).otherwise(F.lit(0))
+        own = Window.partitionBy("line_id", "cand")
+        rows = rows.withColumn("_none", F.max(F.when(hit, F.col("amb"))).over(own)).filter(hit | F.col("_none").isNull() | (F.col("_none") > 0) | (F.col("match_level") >= 3))
+        rows = rows.withColumns({"unmatched": F.when(hit, behind), "_gain": depth})
+        rows = rows.withColumn("matched_cnt", F.col("matched_cnt") + F.col("_gain") - F.col("depth"))
+        return self.taken(rows, self.town, c, F.col("_d_match_level"), TOWN_VALUES)
 
     def numbered(self, c: DataFrame, table: DataFrame, eligible: Column, level: int, flag: int, on: list[str], column: str, n: int, wild: bool) -> DataFrame:
         number = "_number"
@@ -384,7 +411,7 @@ class Geocoder:
 
 TOWN_VALUES = [
     "pref_key", "city_key", "town_key", "lg_code", "pref", "county", "city", "ward", "machiaza_id", "oaza_cho", "chome", "koaza", "koaza_aka_code",
-    "rsdt_addr_flg", *_PLACE,
+    "rsdt_addr_flg", "original_flg", *_PLACE,
 ]
 
 

@@ -491,16 +491,57 @@ def japanese_normalise(spark, d):
     return _table(spark, d, "part").select("p_partkey", T.python_text(T.normalise)(wide).alias("text"))
 
 
+def _places(spark, d):
+    pref = derived(spark, d, "pref").withColumn("rep_lat", F.lit(None).cast("double")).withColumn("rep_lon", F.lit(None).cast("double"))
+    return pref, derived(spark, d, "city").withColumn("ward", F.lit(None).cast("string")).withColumn("county", F.lit(None).cast("string"))
+
+
 @query()
 def geocode_lines(spark, d):
-    """The whole geocoder over supplier addresses and the derived gazetteer."""
+    """The geocoder over order lines and the derived gazetteer, in which many towns have one name."""
     from terrane.plans.geocode import Gazetteer, geocode
 
-    pref = derived(spark, d, "pref").withColumn("rep_lat", F.lit(None).cast("double")).withColumn("rep_lon", F.lit(None).cast("double"))
-    city = derived(spark, d, "city").withColumn("ward", F.lit(None).cast("string")).withColumn("county", F.lit(None).cast("string"))
     lines = derived(spark, d, "lines").select("line_id", "address")
-    out = geocode(lines, Gazetteer(pref, city, derived(spark, d, "town")), japanese=False)
+    out = geocode(lines, Gazetteer(*_places(spark, d), derived(spark, d, "town")), japanese=False)
     return out.select("line_id", "output", "score", "match_level", "coordinate_level", "city_key", "town_key", "lat", "lon")
 
 
+@query("select l.line_id, c.pref_key, c.city_key, c.lg_code from lines l join city c on c.city_key = l.p_partkey % 25")
+def geocode_cities(spark, d):
+    """Prefecture and city of each line: names that begin other names, numbers that go on."""
+    from terrane.plans.geocode import Gazetteer, geocode
+
+    return geocode(derived(spark, d, "lines").select("line_id", "address"), Gazetteer(*_places(spark, d)), japanese=False).select("line_id", "pref_key", "city_key", "lg_code")
+
+
+_NUMBERED = "(select s_suppkey as line_id, s_suppkey % 12 + 1 as a, s_suppkey % 7 + 1 as b, s_suppkey % 3 as t, n_nationkey as city_key, n_regionkey as pref_key from supplier join nation on n_nationkey = s_nationkey)"
+
+
+@query(f"""select line_id, case when t = 1 and a >= 10 then 3 when t = 2 and a <= 9 then 3 when a >= 10 then 7 when b <= 5 then 6 else 5 end as match_level,
+ case when t = 2 or a >= 10 then null else cast(a as varchar) end as blk_num, case when t = 2 or a >= 10 or b > 5 then null else cast(b as varchar) end as rsdt_num,
+ case when t = 1 or a <= 9 then null else cast(a as varchar) end as prc_num1, case when t = 1 and a >= 10 or t = 2 and a <= 9 then 25.0 when a >= 10 then 40 + a when b <= 5 and b % 2 = 1 then 31 + cast(b as double) / 8 else 30 + cast(a as double) / 4 end as lat
+ from {_NUMBERED} x""")
+def geocode_numbers(spark, d):
+    """Blocks, residences and lots of a town in each city, under each target; a residence without a place has its block's."""
+    from terrane.plans.geocode import Gazetteer, geocode
+
+    pref, city = _places(spark, d)
+    key = F.col("s_suppkey")
+    s = _table(spark, d, "supplier").join(_table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(_table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    lines = s.select(
+        key.alias("line_id"), F.concat("r_name", "n_name", F.lit("TOWN "), key % 12 + 1, F.lit("-"), key % 7 + 1).alias("address"),
+        F.element_at(F.array(*map(F.lit, ("all", "residential", "parcel"))), (key % 3 + 1).cast("int")).alias("target"),
+    )
+    town = city.select((F.col("city_key") + 1000).alias("town_key"), "city_key", F.lit("0001000").alias("machiaza_id"), F.lit("TOWN").alias("oaza_cho"), F.lit(1).alias("rsdt_addr_flg"), F.lit(25.0).alias("rep_lat"), F.lit(135.0).alias("rep_lon"))
+    numbers = town.select("town_key", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("a"))
+    text = lambda c: F.col(c).cast("string")
+    at = {"rep_lon": F.lit(135.0)}
+    blk = numbers.filter("a <= 9").select("town_key", F.lpad(text("a"), 3, "0").alias("blk_id"), text("a").alias("blk_num"), (30 + F.col("a") / 4).alias("rep_lat")).withColumns(at)
+    both = numbers.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    dsp = both.filter("a <= 9 and b <= 5").select("town_key", F.lpad(text("a"), 3, "0").alias("blk_id"), F.lpad(text("b"), 3, "0").alias("rsdt_id"), text("b").alias("rsdt_num"), F.when(F.col("b") % 2 == 1, 31 + F.col("b") / 8).alias("rep_lat")).withColumns(at)
+    lots = both.filter("a > 9").select("town_key", T.parcel_id(F.col("a"), F.col("b"), F.lit(0)).alias("prc_id"), text("a").alias("prc_num1"), text("b").alias("prc_num2"), (40.0 + F.col("a")).alias("rep_lat")).withColumns(at)
+    out = geocode(lines, Gazetteer(pref, city, town, blk, dsp, lots), japanese=False)
+    return out.select("line_id", "match_level", "blk_num", "rsdt_num", "prc_num1", "lat")
+
+
 from terrane import queries_io, queries_text  # noqa: E402, F401  they register more queries
