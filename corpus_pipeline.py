@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm import bpe, mixing, near_dedup, pii, quality
-from terrane.llm.common import documents, stage
+from terrane.llm.common import discard, documents, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

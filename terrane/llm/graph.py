@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import stage
+from terrane.llm.common import discard, stage
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -42,12 +42,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         )
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
+        before = e
         e = stage(
             small.select("hi", F.col("m").alias("lo"))
             .union(small.filter("lo <> m").select("lo", "m"))
             .distinct(),
             name,
         )
+        discard(before)
         now = digest(e)
         if now == seen:
             break

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import stage
+from terrane.llm.common import discard, stage
 from terrane.llm.graph import components
 from terrane.llm.hashing import U, mix, odd_constants, row_shingles
 
@@ -189,9 +189,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
         .join(one.toDF("b", "sb"), "b")
         .withColumn("common", F.size(F.array_intersect("sa", "sb")))
     )
-    return both.filter(
-        100 * F.col("common") >= plan.percent * (F.size("sa") + F.size("sb") - F.col("common"))
-    ).select("a", "b").distinct()
+    near = 100 * F.col("common") >= plan.percent * (F.size("sa") + F.size("sb") - F.col("common"))
+    links = stage(both.filter(near).select("a", "b").distinct(), "near-confirmed")
+    discard(sets)
+    return links
 
 
 def blocks_of(batches, key: int):
@@ -371,10 +372,13 @@ def links_across(buckets: DataFrame, found: DataFrame, side: DataFrame, docs: Da
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     wanted = texts.join(parts.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
-    sets = stage(shingle_sets(wanted.select("node", "text"), plan), "near-sets").dropDuplicates(["node", "shingles"])
-    together = parts.join(sets.withColumnRenamed("node", "rep"), "rep").select(*key, "at", "rep", "c", "partners", "shingles")
+    sets = stage(shingle_sets(wanted.select("node", "text"), plan), "near-sets")
+    own = sets.dropDuplicates(["node", "shingles"]).withColumnRenamed("node", "rep")
+    together = parts.join(own, "rep").select(*key, "at", "rep", "c", "partners", "shingles")
     together = together.repartition(*key).sortWithinPartitions(*key, "at")
-    return stage(together.mapInArrow(links_of_parts(plan), "a long, b long"), "near-more")
+    links = stage(together.mapInArrow(links_of_parts(plan), "a long, b long"), "near-more")
+    discard(member, parts, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
@@ -407,11 +411,15 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     hubs = F.array_distinct(F.array(F.max_by("leader", F.struct("n", F.expr("-leader"))), F.min("leader")))
     starred = shared.groupBy("rep").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("a"), F.col("rep").alias("b"))
     first = stage(with_sides(starred).select("a", "b"), "near-first")
-    linked = stage(confirmed(first, docs, plan).union(same_document(named, reps, key)), "near-links")
+    sure = confirmed(first, docs, plan)
+    linked = stage(sure.union(same_document(named, reps, key)), "near-links")
+    discard(first, sure)
     found = stage(components(linked, "near-stars"), "near-found")
     more = links_across(buckets, found, side, docs, plan)
     if not more.isEmpty():
-        found = stage(components(linked.union(more), "near-stars"), "near-found")
+        before, found = found, stage(components(linked.union(more), "near-stars"), "near-found")
+        discard(before)
+    discard(buckets, linked, more)
     classes = (
         reps.select(*key, "rep")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")

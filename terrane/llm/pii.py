@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from terrane.llm.common import stage, unused, whole_text
+from terrane.llm.common import discard, stage, unused, whole_text
 
 #: Kinds of base spans, in the order in which ties are listed; then terms.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -368,7 +368,9 @@ def revealing(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame | No
         .agg(F.max(F.struct("posterior", "bits", F.substring_index("entity", ":", 1).alias("kind"))).alias("x"))
         .select("term", "x.*")
     )
-    return stage(terms, "pii-terms")
+    out = stage(terms, "pii-terms")
+    discard(base, pairs, with_entity, held, least, together)
+    return out
 
 
 def term_spans(text: str, spans: list[tuple[int, int, str]], terms: dict) -> list[tuple[int, int, str]]:
