@@ -485,7 +485,7 @@ def geojson_feature(spark, d):
     return sinks.formatted(_results(spark, d), "ndgeojson")
 
 
-@query()
+@query("select p_partkey, '東京都千代田区' || cast(p_partkey as varchar) || '@' || cast(20 + p_size as varchar) || '␣け' as text from part")
 def japanese_normalise(spark, d):
     wide = F.concat(F.lit("東京都千代田区"), F.col("p_partkey").cast("string"), F.lit("丁目二十"), F.col("p_size").cast("string"), F.lit("番地 ガ"))
     return _table(spark, d, "part").select("p_partkey", T.python_text(T.normalise)(wide).alias("text"))
