@@ -17,6 +17,8 @@ one and another by 0.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,28 +90,41 @@ def range_of(doc_id: Column, bounds: list[int]) -> Column:
 
 
 def in_ranges(text: DataFrame) -> DataFrame:
-    """(doc_id, text, part, ghost): rows dealt into ranges of doc_id.
-
-    The rows of a range's greatest doc_id are also put, as ghosts, before the
-    next range (those of the last before the first), so that each range holds
-    the next document of all its own. The driver learns one bound and one
-    greatest doc_id for each range, as many as four times the partitions of a shuffle.
+    """(doc_id, text, part, salt, ghost): rows dealt into ranges of doc_id, as tasks get them.
+
+    A doc_id that fills several ranges by itself is one range, dealt further by its
+    texts (salt). The least text of a range's greatest doc_id is also put, as a
+    ghost, before the next range (that of the last before the first), in each of
+    its salts; so every task holds the next document of all its own. The driver
+    learns one bound and one greatest doc_id for each range, as many as four times
+    the partitions of a shuffle.
     """
     ids = text.select("doc_id")
     n = 4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
-    bounds = sorted(set(found or []))
+    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    # A quantile that comes up k times is the doc_id of as many shares of the rows.
+    hot = {v: k for v, k in Counter(found).items() if k > 1}
+    bounds = sorted({*found, *(v - 1 for v in hot)})
+    salts = [hot.get(v, 1) for v in bounds] + [1]
     part = range_of(F.col("doc_id"), bounds)
+    at = (F.col("part") + 1).cast("int")
     top = {r.part: r.top for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top")).collect()}
     used = sorted(top)
     after = dict(zip(used, [*used[1:], *used[:1]], strict=True))
     ranges = range(len(bounds) + 1)
-    at = (F.col("part") + 1).cast("int")
-    own = F.struct("part", F.lit(0).alias("ghost"))
-    ghost = F.struct(F.element_at(longs([after.get(r, 0) for r in ranges]), at).alias("part"), F.lit(1).alias("ghost"))
+    dealt = text.withColumn("part", part)
+    salted = F.pmod(F.xxhash64("text"), F.element_at(longs(salts), at))
+    rows = dealt.select("doc_id", "text", "part", salted.alias("salt"), F.lit(0).alias("ghost"))
     is_top = F.col("doc_id") == F.element_at(longs([top.get(r, 0) for r in ranges]), at)
-    placed = F.when(is_top, F.array(own, ghost)).otherwise(F.array(own))
-    return text.withColumn("part", part).select("doc_id", "text", F.inline(placed))
+    ghosts = (
+        dealt.filter(is_top)
+        .groupBy("part", "doc_id")
+        .agg(F.min("text").alias("text"))
+        .withColumn("part", F.element_at(longs([after.get(r, 0) for r in ranges]), at))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(longs(salts), at) - 1)))
+        .select("doc_id", "text", "part", "salt", F.lit(1).alias("ghost"))
+    )
+    return rows.unionByName(ghosts)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -124,11 +139,11 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     order = [F.desc("ghost"), F.col("doc_id"), F.desc("text")]
     rows = (
         in_ranges(text.filter("doc_id is not null"))
-        .repartition("part")
-        .sortWithinPartitions("part", *order)
+        .repartition("part", "salt")
+        .sortWithinPartitions("part", "salt", *order)
         .withColumn("fp", fingerprint(F.col("text")))
     )
-    near = Window.partitionBy("part").orderBy(*order)
+    near = Window.partitionBy("part", "salt").orderBy(*order)
     # The first row of a doc_id follows the least text of the next; its other rows take over what it found.
     first = (F.lag("ghost").over(near) == 1) | (F.lag("doc_id").over(near) != F.col("doc_id"))
     met = F.when(first, F.struct(F.lag("text").over(near).alias("text"), F.lag("fp").over(near).alias("fp")))

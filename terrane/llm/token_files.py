@@ -48,7 +48,7 @@ END_ID = 1
 
 U = np.uint64
 #: Places of the tables of orders 1 and 2, by a hash of the context; counts of right predictions.
-_SLOTS, _RIGHT = 1024, 16
+_SLOTS, _RIGHT = 512, 16
 #: Bits of a probability; the steps of the adaptive ones as shifts; the most that a mixed share may be.
 _BITS, _FAST, _SLOW = 14, 5, 5
 _ONE = 1 << _BITS
