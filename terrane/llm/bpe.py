@@ -591,6 +591,8 @@ def encoded(docs, path: str | None = None, as_ids: bool = False):
     """
     from pyspark.sql import functions as F
 
+    from terrane.llm.common import mapped
+
     named = path
 
     def digests(t, texts):
@@ -638,4 +640,4 @@ def encoded(docs, path: str | None = None, as_ids: bool = False):
                     [part.column(0), *(pa.array(x, k) for x, k in zip(found, types, strict=True))], names=["doc_id", "n_tokens", *names]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

@@ -36,6 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a batch that is sent to a Python worker, where the session leaves Spark's own number.
+BATCH = "2048"
+
+
+def released() -> None:
+    """Give back to the system what a worker has freed: it lives on, and its memory counts for its executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH rows; workers give their memory back when a task ends."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(lean, schema)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage.
 

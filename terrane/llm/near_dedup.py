@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import discard, stage
+from terrane.llm.common import discard, mapped, stage
 from terrane.llm.graph import components
 from terrane.llm.hashing import U, mix, odd_constants, row_shingles
 
@@ -144,8 +144,7 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
             for first in range(0, batch.num_rows, ROWS):
                 yield signed(batch.slice(first, ROWS))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run,
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run,
         "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, "
         + ", ".join(f"s{i} long" for i in range(LONGS)),
     )
@@ -165,7 +164,7 @@ def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
                     [batch.column(0), pa.ListArray.from_arrays(ends, flat.view(np.int64))], names=["node", "shingles"]
                 )
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return mapped(docs, run, "node long, shingles array<long>")
 
 
 def odd_cells(x, y) -> Column:
@@ -367,7 +366,7 @@ def links_across(buckets: DataFrame, found: DataFrame, side: DataFrame, docs: Da
     met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "rep")
     key = ["bucket", "i", "j", "p", "q"]
     parts = stage(
-        met.mapInArrow(to_confirm(plan), ", ".join(f"{k} long" for k in (*key, "at", "rep", "c")) + ", partners array<long>"),
+        mapped(met, to_confirm(plan), ", ".join(f"{k} long" for k in (*key, "at", "rep", "c")) + ", partners array<long>"),
         "near-parts",
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
@@ -376,7 +375,7 @@ def links_across(buckets: DataFrame, found: DataFrame, side: DataFrame, docs: Da
     own = sets.dropDuplicates(["node", "shingles"]).withColumnRenamed("node", "rep")
     together = parts.join(own, "rep").select(*key, "at", "rep", "c", "partners", "shingles")
     together = together.repartition(*key).sortWithinPartitions(*key, "at")
-    links = stage(together.mapInArrow(links_of_parts(plan), "a long, b long"), "near-more")
+    links = stage(mapped(together, links_of_parts(plan), "a long, b long"), "near-more")
     discard(member, parts, sets)
     return links
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from terrane.llm.common import discard, stage, unused, whole_text
+from terrane.llm.common import discard, mapped, stage, unused, whole_text
 
 #: Kinds of base spans, in the order in which ties are listed; then terms.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -162,8 +162,7 @@ def base_table(docs: DataFrame) -> DataFrame:
                 names=["text_key", "entities", "near"],
             )
 
-    return keyed(docs).mapInArrow(
-        run, "text_key binary, entities array<string>, near array<struct<entity: string, term: string, context: long>>"
+    return mapped(keyed(docs), run, "text_key binary, entities array<string>, near array<struct<entity: string, term: string, context: long>>"
     )
 
 
@@ -207,7 +206,7 @@ def least_counts(docs: DataFrame) -> DataFrame:
                     texts, counts = set(), {}
         yield out()
 
-    return keyed(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.max("n").alias("least"))
+    return mapped(keyed(docs), run, "term string, n long").groupBy("term").agg(F.max("n").alias("least"))
 
 
 def marked(cells: DataFrame, size: int) -> bytes:
@@ -277,7 +276,7 @@ def text_terms(docs: DataFrame, held: DataFrame, common: dict[str, int], posteri
                 lists.append([{"term": w, "free": w in free} for w in found if bound >= posterior * common.get(w, 0)])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, kind)], names=["text_key", "terms"])
 
-    words = keyed(docs).mapInArrow(run, "text_key binary, terms array<struct<term: string, free: boolean>>").filter(F.size("terms") > 0)
+    words = mapped(keyed(docs), run, "text_key binary, terms array<struct<term: string, free: boolean>>").filter(F.size("terms") > 0)
     return words.dropDuplicates(["text_key"]).join(held, "text_key")
 
 
@@ -305,7 +304,7 @@ def holders(docs: DataFrame, bits: bytes) -> DataFrame:
                 terms += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"])
 
-    return keyed(docs).mapInArrow(run, "text_key binary, term string")
+    return mapped(keyed(docs), run, "text_key binary, term string")
 
 
 def revealing(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame | None:
@@ -443,8 +442,7 @@ def found_spans(docs: DataFrame, rule: Disclosure | None = None, sent: int = SEN
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return rows.select("doc_id", "text", of).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long"
+    return mapped(rows.select("doc_id", "text", of), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long"
     )
 
 

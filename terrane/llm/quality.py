@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import unused
+from terrane.llm.common import mapped, unused
 from terrane.llm.hashing import U, mix, odd_constants, text_buffers, word_hashes
 
 SAMPLE = 20_000
@@ -121,8 +121,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
     kinds = [f"`{k.replace('`', '``')}` {docs.schema[k].dataType.simpleString()}" for k in keep]
     columns = [F.col(f"`{k.replace('`', '``')}`") for k in keep]
-    return docs.select(*columns, F.col("text").cast("string").alias(prefix + "text")).mapInArrow(
-        run, ", ".join([*kinds, *(f"{prefix}{k} double" for k in STATS)])
+    return mapped(docs.select(*columns, F.col("text").cast("string").alias(prefix + "text")), run, ", ".join([*kinds, *(f"{prefix}{k} double" for k in STATS)])
     )
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.bpe import ROWS, tokenizer_path, transducer
-from terrane.llm.common import stage
+from terrane.llm.common import mapped, stage
 
 MAGIC = b"TRNC"
 VERSION = 2
@@ -415,7 +415,7 @@ def written(docs: DataFrame, path: str | None = None, partitions: int | None = N
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    segments = dealt.select("doc_id", "text").mapInArrow(run, "part int, segment int, n_ids long, data binary")
+    segments = mapped(dealt.select("doc_id", "text"), run, "part int, segment int, n_ids long, data binary")
     return stage(segments, "token-segments")
 
 
@@ -455,7 +455,7 @@ def read_back(segments: DataFrame, as_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "part int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long" + (", ids array<int>" if as_ids else "")
-    found = segments.select("part", "segment", "data").mapInArrow(run, schema)
+    found = mapped(segments.select("part", "segment", "data"), run, schema)
     sizes = segments.select("part", "segment", "n_ids")
     # One row for each part, as many as there are partitions; then each part's segments.
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))

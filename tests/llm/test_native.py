@@ -123,6 +123,23 @@ def test_rule_fences(spark):
     assert rules.ruled(d.filter("doc_id < 0")).count() == 0 and rules.ruled(d.withColumn("text", F.lit("few"))).filter("kept").count() == 0
 
 
+def test_rules_equal_their_sql(spark):
+    """On the smaller tables the whole query and its SQL in another engine."""
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from terrane.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    there = con.sql(queries.ORACLE_SQL["op5_adaptive_rules"])
+    df = queries.op5_adaptive_rules(spark, folder)
+    assert sorted(map(tuple, df.select(*there.columns).collect())) == sorted(there.fetchall())
+
+
 def long_hash(values, seed=42):
     xxhash = pytest.importorskip("xxhash")
     for v in values:
