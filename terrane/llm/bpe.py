@@ -33,7 +33,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries of the memo of short runs; it is emptied when full.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: Symbols of a run that are encoded at once, besides the lookahead.
 WINDOW = 1024
 #: Runs of fewer bytes than this are one window; of at most PACKED, a key of two longs.
