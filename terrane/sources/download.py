@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.functions.text import url_key
+from terrane.functions.text import url_key, url_ordered
 from terrane.operators.storage import settled
 
 CACHE = "url_key string, url string, etag string, last_modified string, content_length long, crc32 long, status int"
@@ -26,18 +26,24 @@ def cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
+def met(rows: DataFrame, others: DataFrame, how: str, *columns: str) -> DataFrame:
+    """rows joined with columns of others by their URLs, since different URLs can share a key."""
+    of = others.select(url_ordered(F.col("url")).alias("_url"), *columns)
+    return rows.withColumn("_url", url_ordered(F.col("url"))).join(of, "_url", how).drop("_url")
+
+
 def cache_put(known: DataFrame, rows: DataFrame) -> DataFrame:
     """known with rows written over the entries of the same URL."""
-    return known.join(rows.select("url_key"), "url_key", "left_anti").unionByName(rows)
+    return met(known, rows, "left_anti").unionByName(rows)
 
 
 def cache_without(known: DataFrame, urls: DataFrame) -> DataFrame:
-    return known.join(urls.select(url_key(F.col("url")).alias("url_key")), "url_key", "left_anti")
+    return met(known, urls, "left_anti")
 
 
 def stored(rows: DataFrame, path: str) -> DataFrame:
     """rows in place of the cache at path, which they may have been read from."""
-    settled(rows, "dataset-cache").coalesce(1).write.mode("overwrite").parquet(path)
+    settled(rows, "dataset-cache").write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(CACHE).parquet(path)
 
 
@@ -64,7 +70,7 @@ def fetched(urls: DataFrame, known: DataFrame, head: bool = False, parallel: int
     run at a time; the rows are few, one for each archive.
     """
     asked = urls.select("url").distinct().withColumn("url_key", url_key(F.col("url")))
-    asked = asked.join(known.select("url_key", "etag", "last_modified"), "url_key", "left").select("url_key", "url", "etag", "last_modified")
+    asked = met(asked, known, "left", "etag", "last_modified").select("url_key", "url", "etag", "last_modified")
 
     def run(batches) -> Iterator:
         import zlib
@@ -87,8 +93,20 @@ def fetched(urls: DataFrame, known: DataFrame, head: bool = False, parallel: int
 def to_update(urls: DataFrame, known: DataFrame, **how) -> DataFrame:
     """(url, status) of archives that the server says are new; those not in the cache always are."""
     found = fetched(urls, known, head=True, **how)
-    new = found.join(known.select("url_key"), "url_key", "left_anti").select("url", "status")
-    return new.unionByName(found.join(known.select("url_key"), "url_key", "left_semi").filter("status = 200").select("url", "status")).distinct()
+    new = met(found, known, "left_anti").select("url", "status")
+    return new.unionByName(met(found, known, "left_semi").filter("status = 200").select("url", "status")).distinct()
+
+
+def archives(new: DataFrame, folder: str) -> DataFrame:
+    """What is to be written below folder/archives: new ones, and those of other URLs that lie in the same folders."""
+    rows = new.select("url_key", "url", "content")
+    try:
+        there = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/archives")
+    except AnalysisException:
+        return rows
+    beside = met(there.join(F.broadcast(rows.select("url_key").distinct()), "url_key", "left_semi"), rows, "left_anti")
+    # What is read is written over, so it has to lie elsewhere first.
+    return rows.unionByName(settled(beside, "archives-beside"))
 
 
 def download(urls: DataFrame, folder: str, **how) -> DataFrame:
@@ -100,6 +118,6 @@ def download(urls: DataFrame, folder: str, **how) -> DataFrame:
     known = cache(spark, f"{folder}/cache")
     found = settled(fetched(urls, known, **how), "downloads")
     new = found.filter("status = 200")
-    new.select("url_key", "url", "content").write.mode("append").partitionBy("url_key").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/archives")
+    archives(new, folder).write.mode("append").partitionBy("url_key").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/archives")
     stored(cache_put(known, new.drop("content")), f"{folder}/cache")
     return found.select("url", "status")

@@ -6,6 +6,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrane import cli
 from terrane.sources import download, gazetteer, sinks
@@ -162,6 +163,23 @@ def test_download(spark, tmp_path):
     server.shutdown()
 
 
+def test_urls_with_one_key(spark, tmp_path):
+    from terrane.functions.text import url_key
+
+    one, other = ("https://h.example/x?k=5004826", "https://h.example/x?k=1958091")
+    rows = spark.createDataFrame([(u, "old") for u in (one, other)], "url string, etag string").withColumn("url_key", url_key(F.col("url")))
+    assert rows.select("url_key").distinct().count() == 1
+    newer = rows.filter(F.col("url") == one).withColumn("etag", F.lit("new"))
+    got = lambda df: {r["url"]: r["etag"] for r in df.collect()}
+    assert got(download.cache_put(rows, newer)) == {one: "new", other: "old"}
+    assert got(download.cache_without(rows, newer)) == {other: "old"}
+    # What lies in the same folder of archives isn't written over.
+    new = rows.select("url_key", "url", F.encode("etag", "utf-8").alias("content"))
+    new.write.partitionBy("url_key").parquet(str(tmp_path / "archives"))
+    both = download.archives(newer.select("url_key", "url", F.encode("etag", "utf-8").alias("content")), str(tmp_path)).collect()
+    assert sorted((r["url"], bytes(r["content"])) for r in both) == [(other, b"old"), (one, b"new")]
+
+
 def test_server(folder, spark):
     import urllib.error
     import urllib.parse
