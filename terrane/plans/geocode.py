@@ -42,6 +42,10 @@ FIELDS = {
     "rsdtblk_key": "long", "rsdtdsp_key": "long", "parcel_key": "long", "unused": "string",
 }
 _PLACE = {"rep_lat": "double", "rep_lon": "double"}
+# Fields of numbers, which rows don't carry before there are numbers to look up.
+_NUMBERS = ("blk_id", "blk_num", "rsdt_id", "rsdt2_id", "rsdt_num", "rsdt_num2", "prc_id", "prc_num1", "prc_num2", "prc_num3", "rsdtblk_key", "rsdtdsp_key", "parcel_key")
+#: Lines in a task: few enough that the sorts of their candidates stay in memory, as what they spill is many times the lines.
+LINES_A_TASK = 20_000
 # Wards of Tokyo whose names other prefectures have too.
 SHARED_WARDS = ("北区", "中央区", "港区", "大田区", "板橋区")
 # Words that say on which side of a street of Kyoto a place lies, and what may be missing in its name.
@@ -73,6 +77,11 @@ class Book:
         return Book(rows, key_lengths(rows), rows.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS)
 
 
+def tasks(lines: int, usual: int) -> int:
+    """How many tasks lines are dealt to: as many as usual, fewer of few lines, more where a task would have too many."""
+    return max(-(-lines // LINES_A_TASK), min(usual, -(-lines // 1000)), 1)
+
+
 def padded(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with exactly these columns, cast; missing ones are null."""
     return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
@@ -148,21 +157,25 @@ class Geocoder:
             rows = keyed if rows is None else rows.unionByName(keyed)
         return rows
 
-    def start(self, lines: DataFrame) -> DataFrame:
-        """One candidate for each line: (line_id, address[, target])."""
+    def spelled(self, lines: DataFrame) -> DataFrame:
+        """What is written down and dealt of each line: (line_id, address[, target]); rest is null where it is the input."""
         target = F.coalesce(F.col("target"), F.lit("all")) if "target" in lines.columns else F.lit("all")
-        text = F.coalesce(F.col("address"), F.lit(""))
-        return lines.select(
+        rows = lines.select("line_id", F.coalesce(F.col("address"), F.lit("")).alias("input"), target.alias("target"))
+        return rows.withColumn("rest", self.spell(F.col("input"))).withColumn("rest", F.nullif("rest", "input"))
+
+    def start(self, spelled: DataFrame) -> DataFrame:
+        """One candidate for each line."""
+        return spelled.select(
             "line_id",
-            text.alias("input"),
-            target.alias("target"),
-            self.spell(text).alias("rest"),
+            "input",
+            "target",
+            F.coalesce("rest", "input").alias("rest"),
             F.lit(0).alias("match_level"),
             F.lit(0).alias("coordinate_level"),
             F.lit(0).alias("matched_cnt"),
             F.lit(0).alias("ambiguous_cnt"),
             F.concat(F.col("line_id").cast("string"), F.lit(":")).alias("cand"),
-            *(F.lit(None).cast(t).alias(c) for c, t in FIELDS.items()),
+            *(F.lit(None).cast(t).alias(c) for c, t in FIELDS.items() if c not in _NUMBERS),
         )
 
     def opened(self, c: DataFrame, book: Book, tries: Column, wild: bool) -> DataFrame:
@@ -220,13 +233,16 @@ class Geocoder:
         Prefectures, cities and towns are one pass over lines dealt by line_id; the
         numbers that follow meet larger tables, and each of their stages is written down.
         """
-        c = settled(self.start(lines), "geocode-start")
-        wild = not c.filter(F.col("rest").contains(FUZZY)).isEmpty()
-        c = self.in_city(self.in_pref(c.repartition("line_id"), wild), wild)
+        spelled = settled(self.spelled(lines), "geocode-start")
+        wild = not spelled.filter(F.coalesce("rest", "input").contains(FUZZY)).isEmpty()
+        parts = tasks(spelled.count(), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        c = self.in_city(self.in_pref(self.start(spelled.repartition(parts, "line_id")), wild), wild)
         if self.street is not None:
-            c = settled(self.in_street(settled(c, "geocode-city"), wild), "geocode-street").repartition("line_id")
+            c = settled(self.in_street(settled(c, "geocode-city"), wild), "geocode-street").repartition(parts, "line_id")
         if self.town is not None:
             c = self.in_town(c, wild)
+        whole = [x for x in c.columns if x not in FIELDS]
+        c = c.select(*whole, *(F.lit(None).cast(t).alias(x) if x in _NUMBERS else F.col(x) for x, t in FIELDS.items()))
         for table, step in ((self.blk, self.block), (self.dsp, self.residence), (self.parcel, self.lot)):
             if table is not None:
                 c = step(settled(c, f"geocode-before-{step.__name__}"), wild)
@@ -387,7 +403,7 @@ class Geocoder:
             # Of a town's lots, whose table has the town itself only, streets of Kyoto take theirs.
             c = c.withColumn("rsdt_addr_flg", F.when(F.col("city") == "京都市", 0).otherwise(F.col("rsdt_addr_flg")))
         end = self.end(F.col("input"), F.col("rest"))
-        c = settled(c.withColumn("end", F.when(F.col("rest") == "", "").otherwise(end)), "geocode-ends")
+        c = c.withColumn("end", F.when(F.col("rest") == "", "").otherwise(end))
         number = lambda k: F.nullif(F.col(k), F.lit("0"))
         output = format_address(
             F.col("pref"), F.col("county"), F.col("city"), F.col("ward"), F.col("oaza_cho"), F.col("chome"), F.col("koaza"),

@@ -79,6 +79,25 @@ def test_residence_or_lot(spark):
     assert sorted((r["line_id"], r["match_level"], r["rsdt_addr_flg"]) for r in out.collect()) == [(1, 5, 1), (2, 7, 0)]
 
 
+def test_lines_in_a_task(spark, monkeypatch):
+    """Candidates aren't written down for their ends, and no task has more lines than it can sort in memory."""
+    from terrane.plans import geocode as G
+
+    assert [G.tasks(n, 200) for n in (0, 5, 90_000, 4_600_000)] == [1, 1, 90, 230]
+    place = "rep_lat double, rep_lon double"
+    coder = Geocoder(Gazetteer(
+        spark.createDataFrame([(1, "A", "010000", None, None)], f"pref_key long, pref string, lg_code string, {place}"),
+        spark.createDataFrame([(11, 1, "010011", "B", None, None)], f"city_key long, pref_key long, lg_code string, city string, {place}"),
+    ), japanese=False)
+    written = {}
+    monkeypatch.setattr(G, "LINES_A_TASK", 10)
+    monkeypatch.setattr(G, "settled", lambda df, name, f=G.settled: written.setdefault(name, f(df, name)))
+    out = coder.geocode(spark.range(95).selectExpr("id as line_id", "if(id % 2 = 0, 'A?', ' A ') as address")).select("line_id", "input", "match_level")
+    assert {k: v.columns for k, v in written.items()} == {"geocode-start": ["line_id", "input", "target", "rest"]}
+    assert out.rdd.getNumPartitions() == 10
+    assert {tuple(r)[1:] for r in out.collect()} == {("A?", 1), (" A ", 1)}
+
+
 def test_formats(spark, geocoder):
     rows = geocoder.geocode(spark.createDataFrame(LINES[:1], "line_id long, address string")).cache()
     assert json.loads(sinks.formatted(rows, "ndjson").first()[1])["result"]["rsdt_id"] == "003"
