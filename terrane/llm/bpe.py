@@ -32,7 +32,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Entries of the memo of short runs; it is emptied when full.
+#: Entries of the memo of short runs, if no other number is asked for; it is emptied when full.
 MEMO = 1 << 18
 #: Symbols of a run that are encoded at once, besides the lookahead.
 WINDOW = 1024
@@ -162,11 +162,16 @@ class Pairs:
 
 
 class Known:
-    """Ids of short runs by their bytes, exactly: open addressing, at most MEMO entries."""
+    """Ids of short runs by their bytes, exactly: open addressing; emptied when it holds more than a limit."""
 
     def __init__(self) -> None:
-        self.bits = MEMO.bit_length()
-        self.empty()
+        self.most = 0
+        self.limit(MEMO)
+
+    def limit(self, most: int) -> None:
+        if most != self.most:
+            self.most, self.bits = most, most.bit_length()
+            self.empty()
 
     def empty(self) -> None:
         self.a = np.zeros(1 << self.bits, U)
@@ -406,7 +411,7 @@ class Transducer:
         b &= (U(1) << (U(8) * rest)) - U(1)
         b |= n.astype(U) << U(56)
         known = self.known
-        if known.entries > MEMO:
+        if known.entries > known.most:
             known.empty()
         at = known.find(a, b)
         new = np.flatnonzero(at == 0)
@@ -566,11 +571,12 @@ class Readable:
         return tail
 
 
-def transducer(path: str) -> Transducer:
-    """The transducer of a file, one for each Python process."""
+def transducer(path: str, memo: int = MEMO) -> Transducer:
+    """The transducer of a file, one for each Python process; its memo has the size that was asked for last."""
     kept = sys.__dict__.setdefault("_terrane_transducers", {})
     if path not in kept:
         kept[path] = Transducer(path)
+    kept[path].known.limit(memo)
     return kept[path]
 
 

@@ -38,19 +38,25 @@ from terrane.llm.bpe import ROWS, tokenizer_path, transducer
 from terrane.llm.common import mapped, stage
 
 MAGIC = b"TRNC"
-VERSION = 2
+VERSION = 3
 HEAD = "<4sHIIQIII"
 #: Ids of a block at most and at least, blocks that a segment should have, ids of a segment.
 BLOCK, LEAST, LANES = 4096, 512, 2048
 SEGMENT = 4 << 20
 #: Id after each document.
 END_ID = 1
+#: Runs that the tokeniser's memo holds: those of several segments, so that most of a segment's are known from those before.
+MEMO = 1 << 20
 
 U = np.uint64
 #: Places of the tables of orders 1 and 2, by a hash of the context; counts of right predictions.
 _SLOTS, _RIGHT = 512, 16
+#: Tables lie this far apart: at a power of two, lanes would push each other out of the processor's cache.
+_STRIDE = _SLOTS + 8
 #: Bits of a probability; the steps of the adaptive ones as shifts; the most that a mixed share may be.
 _BITS, _FAST, _SLOW = 14, 5, 5
+#: Frequencies of classes take up so many ids at a time, fewer than 1 << _SLOW.
+_PERIOD = 8
 _ONE = 1 << _BITS
 _LOW, _HIGH = _ONE >> 9, _ONE - (_ONE >> 7)
 _SPAN = _HIGH - _LOW
@@ -68,71 +74,70 @@ class DamagedBlock(ValueError):
 class Model:
     """What coder and decoder both know before each id; one lane per block.
 
-    All is kept in longs, so that no array changes its type along the way.
+    All is kept in longs, so that no array changes its type along the way, and
+    choices are masks of all bits or none, which cost a fifth of NumPy's where.
     """
 
     def __init__(self, lanes: int, classes: int) -> None:
         self.lanes, self.classes = lanes, classes
         self.lane = np.arange(lanes)
-        self.place = self.lane * _SLOTS
-        self.row = self.lane * _RIGHT
+        self.place = self.lane * _STRIDE
         #: Id named, times 16, plus how often in a row it was right.
-        self.t1 = np.zeros(lanes * _SLOTS, np.int32 if classes < 27 else np.int64)
+        self.t1 = np.zeros(lanes * _STRIDE, np.int32 if classes < 27 else np.int64)
         self.t2 = np.zeros_like(self.t1)
-        self.p1 = np.tile((np.arange(_RIGHT) + 1) * (_ONE // 20), lanes)
-        self.p2 = np.tile((np.arange(_RIGHT) + 2) * (_ONE // 20), lanes)
+        #: By count, then by lane: counts are small mostly, and what is read lies together.
+        self.p1 = np.repeat((np.arange(_RIGHT) + 1) * (_ONE // 20), lanes)
+        self.p2 = np.repeat((np.arange(_RIGHT) + 2) * (_ONE // 20), lanes)
         #: Cumulative frequencies of the classes without the floor of one each: all alike at first.
-        self.free = np.int16(_ONE - classes - 1)
-        self.edge = np.arange(classes + 1, dtype=np.int16)[:, None]
-        self.cum = np.repeat(self.edge * np.int16(self.free // classes), lanes, axis=1)
+        self.free = _ONE - classes - 1
+        self.edge = np.arange(classes + 1, dtype=np.int32)[:, None]
+        self.cum = np.repeat(self.edge * np.int32(self.free // classes), lanes, axis=1)
         self.cum[-1] = self.free
-        self.flat = self.cum.reshape(-1)
-        self.step = np.empty_like(self.cum)
+        #: How many of the ids since the last time lay below each edge; hits lie below all.
+        self.low_edge = self.edge.astype(np.int8)
+        self.below = np.zeros(self.cum.shape, np.int8)
         self.above = np.empty(self.cum.shape, bool)
-        self.a = np.zeros(lanes, np.int64)
-        self.ha = self.hb = self.a
+        self.seen = 0
+        self.spread()
 
-    def look(self) -> None:
+    def places(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the tables of orders 1 and 2 after x, and y before it."""
+        return (x & (_SLOTS - 1)) + self.place, ((x * 0x9E3779B1 + (y * 0x9E3779B1 >> 7) * 5) >> 15 & (_SLOTS - 1)) + self.place
+
+    def look(self, at1: np.ndarray, at2: np.ndarray) -> None:
         """What orders 2 and 1 name, with what weight."""
-        self.at1 = (self.a & (_SLOTS - 1)) + self.place
-        self.at2 = ((self.ha + self.hb) >> 15 & (_SLOTS - 1)) + self.place
-        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
+        self.at1, self.at2 = at1, at2
+        self.e1, self.e2 = self.t1[at1].astype(np.int64), self.t2[at2].astype(np.int64)
         self.c1, self.c2 = self.e1 & 15, self.e2 & 15
-        self.g1, self.g2 = self.e1 >> 4, self.e2 >> 4
-        self.row1, self.row2 = self.row + self.c1, self.row + self.c2
+        self.row1, self.row2 = self.c1 * self.lanes + self.lane, self.c2 * self.lanes + self.lane
         self.w1, self.w2 = self.p1[self.row1], self.p2[self.row2]
         # Where both name the same id order 1 has no say.
-        self.other = self.g1 != self.g2
-        self.m1 = self.w1 * self.other
-
-    def shares(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of class k among the classes, of _ONE in all."""
-        at = k * self.lanes + self.lane
-        first = self.flat[at] + k
-        return first, self.flat[at + self.lanes] + k + 1 - first
-
-    def learn(self, x: np.ndarray, k: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """x is the id, k its class; hit1: named by order 1, whatever order 2 said."""
-        self.p2[self.row2] = self.w2 + (hit2 * _SPAN + _LOW - self.w2 >> _FAST)
-        asked = self.other > hit2
-        self.p1[self.row1] = self.w1 + (hit1 * _SPAN + _LOW - self.w1 >> _FAST) * asked
-        plain = x << 4
-        self.t2[self.at2] = np.where(hit2, self.e2 + (self.c2 < _RIGHT - 1), plain)
-        self.t1[self.at1] = np.where(hit1, self.e1 + (self.c1 < _RIGHT - 1), plain)
+        self.other = 15 - (self.e1 ^ self.e2) >> 63
+        self.m1 = self.w1 & self.other
+
+    def spread(self) -> None:
+        """Start and width of each class among the classes, of _ONE in all."""
+        starts = self.cum + self.edge
+        self.first = starts[:-1].astype(np.int64).reshape(-1)
+        self.width = (starts[1:] - starts[:-1]).astype(np.int64).reshape(-1)
+        self.inner = starts[1:-1].astype(np.int16)
+
+    def learn(self, plain: np.ndarray, k: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """plain is the id times 16, k its class; masks: hit1 where order 1 named it, whatever order 2 said."""
+        self.p2[self.row2] = self.w2 + ((hit2 & _SPAN) + _LOW - self.w2 >> _FAST)
+        self.p1[self.row1] = self.w1 + (((hit1 & _SPAN) + _LOW - self.w1 >> _FAST) & self.other & ~hit2)
+        self.t2[self.at2] = (plain + (np.minimum(self.c2 + 1, _RIGHT - 1) & hit2)).astype(self.t2.dtype)
+        self.t1[self.at1] = (plain + (np.minimum(self.c1 + 1, _RIGHT - 1) & hit1)).astype(self.t1.dtype)
         # Only where neither order named the id: the class becomes likelier.
-        np.greater(self.edge, k, out=self.above, casting="unsafe")
-        np.multiply(self.above, self.free, out=self.step)
-        np.subtract(self.step, self.cum, out=self.step)
-        np.right_shift(self.step, _SLOW, out=self.step)
-        np.multiply(self.step, ~(hit2 | hit1), out=self.step)
-        np.add(self.cum, self.step, out=self.cum)
-        self.a = x
-        self.ha, self.hb = x * 0x9E3779B1, (self.ha >> 7) * 5
-
-
-def _class(x: np.ndarray) -> np.ndarray:
-    """k of ranks x: the bits of x + 1, less one."""
-    return np.frexp((x + 1).astype(np.float64))[1].astype(np.int64) - 1
+        np.greater(self.low_edge, (k | hit2 | hit1).astype(np.int8), out=self.above)
+        np.add(self.below, self.above.view(np.int8), out=self.below)
+        self.seen += 1
+        if self.seen == _PERIOD:
+            below = (self.below - self.below[0]).astype(np.int32)
+            self.cum += below * np.int32(self.free) - below[-1] * self.cum >> _SLOW
+            self.below[:] = 0
+            self.seen = 0
+            self.spread()
 
 
 def _classes(names: int) -> int:
@@ -144,6 +149,8 @@ def encode_blocks(ranks: np.ndarray, names: int) -> list[np.ndarray]:
     lanes, n = ranks.shape
     model, classes = Model(lanes, _classes(names)), _classes(names)
     wide = classes - 1 > _WIDE
+    #: Class k of each rank x: the bits of x + 1, less one.
+    kind = np.repeat(np.arange(classes, dtype=np.int8), 1 << np.arange(classes))[:names]
     low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << 62)
     # The first word only takes up a carry, which there is none of.
     room = n + 64
@@ -153,12 +160,14 @@ def encode_blocks(ranks: np.ndarray, names: int) -> list[np.ndarray]:
 
     def widened() -> None:
         nonlocal low, size, at
-        due = size < _SMALL
-        out[at] = low >> 46
-        shift = due * 16
-        low = np.where(due, low & _MASK, low) << shift
+        due = size - _SMALL >> 63
+        out[at] = (low >> 46).astype(np.uint32)
+        shift = due & 16
+        low = (low & (~due | _MASK)) << shift
         size = size << shift
-        at = at + due
+        at = at - due
+        if size.min() >= _SMALL:
+            return
         more = np.flatnonzero(size < _SMALL)
         while len(more):
             rest = low[more]
@@ -168,6 +177,7 @@ def encode_blocks(ranks: np.ndarray, names: int) -> list[np.ndarray]:
             at[more] += 1
             more = more[size[more] < _SMALL]
 
+    past = np.zeros((2, lanes), np.int64)
     for start in range(0, n, 16):
         if (at >= top).any():  # ids that cost more than a word each
             grown = np.zeros(lanes * room * 2, np.uint32)
@@ -176,40 +186,42 @@ def encode_blocks(ranks: np.ndarray, names: int) -> list[np.ndarray]:
             out, room = grown, room * 2
             top = model.lane * room + room - 80
         some = np.ascontiguousarray(ranks[:, start : start + 16].T).astype(np.int64)
-        kinds = _class(some)
-        for x, k, o in zip(some, kinds, some + 1 - (1 << kinds), strict=True):
-            model.look()
-            hit2, hit1 = x == model.g2, x == model.g1
+        kinds = kind[some].astype(np.int64)
+        past = np.concatenate([past[-2:], some])
+        at1, at2 = model.places(past[1:-1], past[:-2])
+        for i, (plain, k, o, of) in enumerate(zip(some << 4, kinds, some + 1 - (1 << kinds), kinds * lanes + model.lane, strict=True)):
+            model.look(at1[i], at2[i])
+            hit2, hit1 = (model.e2 ^ plain) - 16 >> 63, (model.e1 ^ plain) - 16 >> 63
             s2 = (size >> _BITS) * model.w2
             rest = size - s2
             s1 = (rest >> _BITS) * model.m1
-            part = (rest - s1) >> _BITS
-            first, width = model.shares(k)
-            own = part * width
-            begin = part * first + s1
+            part = rest - s1 >> _BITS
+            own = part * model.width[of]
+            begin = part * model.first[of] + s1
             if not wide:
                 own >>= k
                 begin += own * o
-            named = hit1 > hit2
-            size = np.where(hit2, s2, np.where(named, s1, own))
-            low = low + np.where(hit2, 0, np.where(named, 0, begin) + s2)
+            missed = ~hit2
+            named = hit1 & missed
+            neither = missed ^ named
+            size = s2 & hit2 | s1 & named | own & neither
+            low = low + (s2 & missed) + (begin & neither)
             widened()
             if wide:
-                by_name = hit2 | hit1
-                own = np.where(by_name, size, size >> k)
-                low = low + np.where(by_name, 0, own * o)
+                own = size >> (k & neither)
+                low = low + (own * o & neither)
                 size = own
                 widened()
-            model.learn(x, k, hit2, hit1)
+            model.learn(plain, k, hit2, hit1)
     for _ in range(4):
         out[at] = low >> 46
         low = (low & _MASK) << 16
         at = at + 1
     used = at - model.lane * room
-    words = np.ascontiguousarray(out.reshape(lanes, room).T)
-    for i in range(int(used.max()) - 1, 0, -1):
-        words[i - 1] += words[i] >> 16
-    words = np.ascontiguousarray(words.T).astype(np.uint16)
+    while len(over := np.flatnonzero(out >> 16)):
+        out[over] &= 0xFFFF
+        out[over - 1] += 1
+    words = out.astype(np.uint16).reshape(lanes, room)
     return [words[i, : used[i]] for i in range(lanes)]
 
 
@@ -231,15 +243,16 @@ def decode_blocks(words: list[np.ndarray], n: int, names: int) -> np.ndarray:
     at = model.lane * longest
     last = at + longest - 1
     at = at + 3
-    edges = model.edge[1:-1]
 
     def widened() -> None:
         nonlocal ahead, size, at
-        due = size < _SMALL
-        shift = due * 16
-        ahead = ahead << shift | given[np.minimum(at, last)] * due
+        due = size - _SMALL >> 63
+        shift = due & 16
+        ahead = ahead << shift | given[np.minimum(at, last)].astype(np.int64) & due
         size = size << shift
-        at = at + due
+        at = at - due
+        if size.min() >= _SMALL:
+            return
         more = np.flatnonzero(size < _SMALL)
         while len(more):
             ahead[more] = (ahead[more] << 16) | given[np.minimum(at[more], last[more])]
@@ -251,42 +264,44 @@ def decode_blocks(words: list[np.ndarray], n: int, names: int) -> np.ndarray:
         return (a.view(U) // b.view(U)).view(np.int64)
 
     out = np.zeros((n, lanes), np.int32 if classes < 31 else np.int64)
-    bare = np.empty((classes - 1, lanes), np.int16)
-    below = np.empty((classes - 1, lanes), bool)
+    under = np.empty((classes - 1, lanes), bool)
+    x = y = np.zeros(lanes, np.int64)
     for i in range(n):
-        model.look()
+        model.look(*model.places(x, y))
         s2 = (size >> _BITS) * model.w2
         rest = size - s2
         s1 = (rest >> _BITS) * model.m1
-        part = (rest - s1) >> _BITS
-        hit2 = ahead < s2
-        beyond = ahead - s2 - s1
-        plain = beyond >= 0
-        named = plain < ~hit2
-        v = np.minimum(quotient(beyond * plain, part), _ONE - 1).astype(np.int16)
-        # Edges lie at cum + edge; those up to v are counted.
-        np.add(model.cum[1:-1], edges, out=bare)
-        np.less_equal(bare, v, out=below)
-        k = below.view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
-        first, width = model.shares(k)
-        own = part * width
-        beyond -= part * first
+        part = rest - s1 >> _BITS
+        after = ahead - s2
+        hit2 = after >> 63
+        beyond = after - s1
+        by_name = beyond >> 63
+        neither, named = ~by_name, by_name & ~hit2
+        v = np.minimum(quotient(beyond & neither, part), _ONE - 1).astype(np.int16)
+        # Edges up to v are counted.
+        np.less_equal(model.inner, v, out=under)
+        k = under.view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
+        of = k * lanes + model.lane
+        own = part * model.width[of]
+        beyond = beyond - part * model.first[of] & neither
+        base = (1 << k) - 1
         if not wide:
             own >>= k
-            o = np.minimum(quotient(beyond * plain, own), (1 << k) - 1)
+            o = np.minimum(quotient(beyond, own), base)
             beyond -= o * own
-        ahead = np.where(plain, beyond, np.where(named, ahead - s2, ahead))
-        size = np.where(plain, own, np.where(named, s1, s2))
+        ahead = ahead & hit2 | after & named | beyond
+        size = s2 & hit2 | s1 & named | own & neither
         widened()
         if wide:
-            own = np.where(plain, size >> k, size)
-            o = np.minimum(quotient(ahead * plain, own), (1 << k) - 1) * plain
+            own = size >> (k & neither)
+            o = np.minimum(quotient(ahead & neither, own), base)
             ahead = ahead - o * own
             size = own
             widened()
-        x = np.where(plain, (1 << k) - 1 + o, np.where(named, model.g1, model.g2)).astype(np.int64)
+        x, y = model.e2 >> 4 & hit2 | model.e1 >> 4 & named | base + o & neither, x
         out[i] = x
-        model.learn(x, k, hit2, x == model.g1)
+        plain = x << 4
+        model.learn(plain, k, hit2, (model.e1 ^ plain) - 16 >> 63)
     return np.ascontiguousarray(out.T)
 
 
@@ -378,7 +393,7 @@ def written(docs: DataFrame, path: str | None = None, partitions: int | None = N
     def run(batches):
         import pyarrow as pa
 
-        t = transducer(named or tokenizer_path())
+        t = transducer(named or tokenizer_path(), MEMO)
         part, segment = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         ids: list = []

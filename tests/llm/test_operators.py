@@ -178,6 +178,32 @@ def test_coder_of_odd_ids():
     assert np.array_equal(token_files.decode_blocks(words, ranks.shape[1], 1 << 20), ranks)
 
 
+def test_runs_of_a_segment_stay_known(monkeypatch):
+    """More different words than a memo of the usual size holds are merged once, not once for each segment."""
+    words = [f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(bpe.MEMO + 20000)]
+    texts = [" ".join(words[i : i + 70000]) for i in range(0, len(words), 70000)]
+    t = bpe.transducer(bpe.tokenizer_path(), token_files.MEMO)
+    first = [ids for _, ids in t.coded(texts)]
+    merged, own = [], t.merged_runs
+    monkeypatch.setattr(t, "merged_runs", lambda raw, start, size: merged.append(len(start)) or own(raw, start, size))
+    again = [ids for _, ids in t.coded(texts)]
+    assert merged == [] and all(map(np.array_equal, first, again))
+    few = bpe.transducer(bpe.tokenizer_path())
+    assert few is t and t.known.entries == 0 and len(t.known.at) < 1 << 20
+
+
+def test_coder_of_any_length():
+    """Frequencies of classes are taken up after some ids: blocks may end anywhere between."""
+    rng = np.random.default_rng(8)
+    for n in (1, 7, 8, 9, 15, 16, 17, 40):
+        for names in (1, 2, 3, 40000, 1 << 20):
+            ranks = rng.integers(0, names, (3, n))
+            words = token_files.encode_blocks(ranks, names)
+            assert np.array_equal(token_files.decode_blocks(words, n, names), ranks)
+    text = rng.zipf(1.2, 400000) % 40000
+    assert len(token_files.pack_segment([0], [text])) < 1.35 * len(text)
+
+
 def test_pii(spark, docs, empty):
     assert pii.base_spans("x a.b@c.de, 1.2.3.400 10.0.0.255, 4111 1111 1111 1111 +1 (017) 555-7713") == [
         (2, 10, "email"), (22, 32, "ip"), (34, 53, "card"), (54, 71, "phone"),
