@@ -27,7 +27,7 @@ from terrane.functions.text import format_address, python_text
 from terrane.operators import dictionary as D
 from terrane.operators import lookup as L
 from terrane.operators import rank as R
-from terrane.operators.prefix_match import BROADCAST_KEYS, first_wins, fuzzy_match, key_lengths, missing_words
+from terrane.operators.prefix_match import BROADCAST_KEYS, first_wins, fuzzy_match, key_lengths, missing_words, sized
 from terrane.operators.storage import settled
 
 TARGETS = ("all", "residential", "parcel")
@@ -46,6 +46,10 @@ _PLACE = {"rep_lat": "double", "rep_lon": "double"}
 _NUMBERS = ("blk_id", "blk_num", "rsdt_id", "rsdt2_id", "rsdt_num", "rsdt_num2", "prc_id", "prc_num1", "prc_num2", "prc_num3", "rsdtblk_key", "rsdtdsp_key", "parcel_key")
 #: Lines in a task: few enough that the sorts of their candidates stay in memory, as what they spill is many times the lines.
 LINES_A_TASK = 20_000
+#: Lines from which on beginnings are matched in their place, where there are so many times as many lines.
+SHARED_LINES, SHARED_BY = 10_000, 4
+# A line's last number behind a blank, in which lines of one beginning differ; the same where nothing has to stand before it.
+NUMBER, NUMBER_LEFT = rf"([{SPACE} ])([0-9][-0-9{DASH}]*)\z", rf"(?:^|[{SPACE} ])[0-9][-0-9{DASH}]*\z"
 # Wards of Tokyo whose names other prefectures have too.
 SHARED_WARDS = ("北区", "中央区", "港区", "大田区", "板橋区")
 # Words that say on which side of a street of Kyoto a place lies, and what may be missing in its name.
@@ -134,6 +138,8 @@ class Geocoder:
             if not streets.isEmpty():
                 keyed = D.street_keys(streets).withColumn("key", self.spell_street(F.col("key"))).filter("key <> ''")
                 self.street = Book.of(missing_words(keyed, STREET_WORDS), "street")
+        # Where spelling leaves numbers alone and nothing is looked up behind what was found, a last number decides nothing.
+        self.by_beginning = not japanese and self.street is None
         table = lambda df, key, *more: None if df is None else padded(df, {"town_key": "long", key: "long"} | dict.fromkeys(more, "string") | _PLACE)
         self.blk = table(gazetteer.rsdt_blk, "rsdtblk_key", "blk_id", "blk_num")
         self.dsp = table(gazetteer.rsdt_dsp, "rsdtdsp_key", "blk_id", "rsdt_id", "rsdt2_id", "rsdt_num", "rsdt_num2")
@@ -221,7 +227,8 @@ class Geocoder:
             new["original_flg"] = F.col("_d_rsdt_addr_flg")
         found = rows.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in new.items()})
         # One name can stand for several rows: a candidate of its own for each.
-        own = F.concat_ws("/", "cand", F.hex(F.xxhash64(*(F.col(v) for v in names), "key", "rest")))
+        left = F.regexp_replace("rest", NUMBER_LEFT, "") if self.by_beginning else F.col("rest")
+        own = F.concat_ws("/", "cand", F.hex(F.xxhash64(*(F.col(v) for v in names), "key", left)))
         found = found.withColumn("_of", F.when(~hit, F.col("cand"))).withColumn("cand", F.when(hit, own).otherwise(F.col("cand")))
         keys = ["line_id", "_of", "rest", "lg_code", "unused", *(v for v in names if v.endswith("_key") or v == "machiaza_id")]
         best = [F.col("ambiguous_cnt"), F.desc("matched_cnt"), F.col("cand")]
@@ -234,13 +241,26 @@ class Geocoder:
         numbers that follow meet larger tables, and each of their stages is written down.
         """
         spelled = settled(self.spelled(lines), "geocode-start")
-        wild = not spelled.filter(F.coalesce("rest", "input").contains(FUZZY)).isEmpty()
-        parts = tasks(spelled.count(), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        c = self.in_city(self.in_pref(self.start(spelled.repartition(parts, "line_id")), wild), wild)
-        if self.street is not None:
-            c = settled(self.in_street(settled(c, "geocode-city"), wild), "geocode-street").repartition(parts, "line_id")
-        if self.town is not None:
-            c = self.in_town(c, wild)
+        text = F.coalesce("rest", "input")
+        beginning = F.regexp_replace(text, NUMBER, r"$1\0")
+        n, wild, different = spelled.agg(
+            F.count("*"), F.coalesce(F.max(text.contains(FUZZY)), F.lit(False)),
+            F.approx_count_distinct(F.struct(beginning, "target")) if self.by_beginning else F.lit(None),
+        ).first()
+        usual = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = spelled.repartition(tasks(n, usual), "line_id")
+        if self.by_beginning and n >= SHARED_LINES and different * SHARED_BY <= n and not self.numbers_in_keys():
+            rows = spelled.select(beginning.alias("input"), "target").distinct()
+            rows = rows.select(F.monotonically_increasing_id().alias("line_id"), "*", F.lit(None).cast("string").alias("rest"))
+            rows = settled(rows, "geocode-beginnings")
+            parts = tasks(rows.count(), usual)
+            c = self.places(rows.repartition(parts, "line_id"), wild, parts)
+            if self.blk is None and self.dsp is None and self.parcel is None:
+                c = self.leaders(c)
+            c = c.withColumn("cand", F.expr("substr(cand, instr(cand, ':'))"))
+            c = self.with_numbers(dealt, settled(c, "geocode-shared"), beginning)
+        else:
+            c = self.places(dealt, wild, tasks(n, usual))
         whole = [x for x in c.columns if x not in FIELDS]
         c = c.select(*whole, *(F.lit(None).cast(t).alias(x) if x in _NUMBERS else F.col(x) for x, t in FIELDS.items()))
         for table, step in ((self.blk, self.block), (self.dsp, self.residence), (self.parcel, self.lot)):
@@ -248,6 +268,48 @@ class Geocoder:
                 c = step(settled(c, f"geocode-before-{step.__name__}"), wild)
         return c
 
+    def places(self, dealt: DataFrame, wild: bool, parts: int) -> DataFrame:
+        """Candidates down to towns of spelled lines that are dealt by line_id."""
+        c = self.in_city(self.in_pref(self.start(dealt), wild), wild)
+        if self.street is not None:
+            c = settled(self.in_street(settled(c, "geocode-city"), wild), "geocode-street").repartition(parts, "line_id")
+        return c if self.town is None else self.in_town(c, wild)
+
+    def numbers_in_keys(self) -> bool:
+        """Whether some key may reach into a line's last number: one that starts with a number or has one behind a blank."""
+        books = (b for b in (self.pref, self.city, self.town) if b is not None)
+        name = F.regexp_replace("key", r"^[cp]?[0-9]*\|", "")
+        return any(not b.rows.filter(F.col("key").rlike(f"(?:^|[{SPACE} ])[0-9]") | name.rlike("^[0-9]")).isEmpty() for b in books)
+
+    def leaders(self, c: DataFrame) -> DataFrame:
+        """Of a beginning's candidates those that can be the best of a line, where no numbers are looked up.
+
+        Points of a beginning's lines are those of the candidate, plus what is the same for
+        all of them, plus a similarity of 0 to 1. So one that is behind a certain one of
+        its flag by more than 1 is never given, and of those with one output and one sort of
+        points the first is first in every line. Beside a certain residence or lot nothing
+        else is given.
+        """
+        c = c.withColumn("rsdt_addr_flg", F.when(F.col("city") == "京都市", 0).otherwise(F.col("rsdt_addr_flg")))
+        scored = c.withColumns({"unmatched": F.concat(D.blank("unused"), F.trim("rest")), "similarity": F.lit(0.0)})
+        scored = scored.withColumns({"_points": R.score(), "_sure": F.col("match_level") >= 2, "_agrees": R.flag_agrees()})
+        most = F.max(F.when(F.col("_sure"), F.col("_points"))).over(Window.partitionBy("line_id", "rsdt_addr_flg"))
+        numbered = F.coalesce(F.col("rsdt_addr_flg").isin(0, 1), F.lit(False))
+        either = F.max(F.col("_sure") & numbered).over(Window.partitionBy("line_id"))
+        scored = scored.withColumns({"_most": most, "_either": either}).filter("not _sure or _points + 1 >= _most").filter(numbered | ~F.col("_either"))
+        shown = ["rest", "pref", "county", "city", "ward", "oaza_cho", "chome", "koaza", "koaza_aka_code", "unused"]
+        one = ["line_id", *shown, "rsdt_addr_flg", "_agrees", "_sure", "matched_cnt"]
+        return first_wins(scored, one, [F.desc("_points"), F.col("cand")]).select(*c.columns)
+
+    def with_numbers(self, dealt: DataFrame, shared: DataFrame, beginning: Column) -> DataFrame:
+        """The candidates of lines: those of their beginnings, with the lines' own numbers at the end of what is left."""
+        number = F.regexp_extract(F.coalesce("rest", "input"), NUMBER, 2)
+        rows = dealt.select("line_id", "input", "target", beginning.alias("_beginning"), number.alias("_number"))
+        found = rows.join(sized(shared.drop("line_id").withColumnRenamed("input", "_beginning")), ["_beginning", "target"])
+        rest = F.concat(F.expr("left(rest, length(rest) - 1)"), "_number")
+        rest = F.when(F.col("_number") != "", rest).otherwise(F.col("rest"))
+        return found.withColumns({"rest": rest, "cand": F.concat(F.col("line_id").cast("string"), "cand")}).select(*shared.columns)
+
     def in_pref(self, c: DataFrame, wild: bool) -> DataFrame:
         tries = F.when((F.col("match_level") == 0) & (F.col("rest") != ""), F.array("rest")).otherwise(F.array().cast("array<string>"))
         rows = self.opened(c, self.pref, tries, wild)

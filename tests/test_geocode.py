@@ -98,6 +98,48 @@ def test_lines_in_a_task(spark, monkeypatch):
     assert {tuple(r)[1:] for r in out.collect()} == {("A?", 1), (" A ", 1)}
 
 
+def test_lines_of_one_beginning(spark, monkeypatch):
+    """Lines that differ in their last number meet dictionaries once, also large ones, and come out as each by itself."""
+    from terrane.plans import geocode as G
+
+    place = "rep_lat double, rep_lon double"
+    towns = [(100 + i, 11, f"{i:04d}00{i % 2}", ("T", "T町", "TU", "V#1")[i % 4], ("", "W")[i % 3 == 0], "", i % 3, 0, None if i % 5 else 1.0 + i, 2.0) for i in range(48)]
+
+    def coder(towns=towns, lots=None):
+        return Geocoder(Gazetteer(
+            spark.createDataFrame([(1, "A", "010000", None, None)], f"pref_key long, pref string, lg_code string, {place}"),
+            spark.createDataFrame([(11, 1, "010011", "B", 3.0, 4.0), (12, 1, "010029", "BC", None, None)], f"city_key long, pref_key long, lg_code string, city string, {place}"),
+            spark.createDataFrame(towns, f"town_key long, city_key long, machiaza_id string, oaza_cho string, chome string, koaza string, rsdt_addr_flg int, koaza_aka_code int, {place}"),
+            parcel=lots,
+        ), japanese=False)
+
+    heads = ["ABT", "ABT町", " ABTU", "ABCT町W", "ABV#1", "A?TU", "BV#12", "nowhere", "AB T町 7", "", "A"]
+    tails = [" 12", " 0", " 3-4-5", "␣8", " 12 ", "", "-6", " 7b", "\n", " 1\n"]
+    rows = [(h + (t if i % 3 else f" {i}"), ("all", "residential", "parcel", None)[i % 4]) for i, (h, t) in enumerate([(h, t) for h in heads for t in tails] * 4)]
+    lines = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, (None, None)])], "line_id long, address string, target string")
+
+    def found(coder, ways=(10**9, 1)):
+        out = []
+        for least in ways:
+            monkeypatch.setattr(G, "SHARED_LINES", least)
+            written.clear()
+            out.append(sorted(coder.geocode(lines).collect(), key=lambda r: r["line_id"]))
+        assert len(out[0]) == len(rows) + 1 and out[0] == out[-1]
+        return out[-1]
+
+    written = {}
+    monkeypatch.setattr(G, "settled", lambda df, name, f=G.settled: written.setdefault(name, f(df, name)))
+    monkeypatch.setattr(G, "SHARED_BY", 2)
+    monkeypatch.setattr(G, "BROADCAST_KEYS", 1)
+    assert {r["match_level"] for r in found(coder())} == {0, 1, 2, 3, 4}
+    assert written["geocode-beginnings"].count() * G.SHARED_BY <= len(rows)
+    lots = spark.createDataFrame([(t[0], "000120000000000", "12", None, None, 5.0, 6.0) for t in towns], f"town_key long, prc_id string, prc_num1 string, prc_num2 string, prc_num3 string, {place}")
+    assert 7 in {r["match_level"] for r in found(coder(lots=lots))} and "geocode-shared" in written
+    # A key that reaches into numbers tells such lines apart.
+    found(coder([*towns, (200, 11, "0099000", "T 12", None, None, 0, 0, 7.0, 8.0)]), (1,))
+    assert "geocode-start" in written and "geocode-beginnings" not in written
+
+
 def test_formats(spark, geocoder):
     rows = geocoder.geocode(spark.createDataFrame(LINES[:1], "line_id long, address string")).cache()
     assert json.loads(sinks.formatted(rows, "ndjson").first()[1])["result"]["rsdt_id"] == "003"
